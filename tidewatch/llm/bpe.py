@@ -5,97 +5,123 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A vocabulary file is read on the driver and broadcast; it may have this many bytes at most.
 MOST_VOCABULARY_BYTES = 64 << 20
-#: Pieces a worker remembers before it starts anew. Only memory depends on it, never a result.
-_REMEMBERED = 400_000
+#: Words that a worker remembers: this many and up to as many from before. Results don't depend on it.
+_REMEMBERED = 300_000
+
+
+#: Patterns of which no piece holds a space except as its first character, or in a run of white space.
+#: A text may then be cut before every lone space, and words be looked up as they stand.
+SPACE_LED = (public_tokenizers.PATTERN,)
+_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)").split
+_OTHER_SPACE = re.compile(r"\s | \s|^ | $").search
+
+
+class _Recent(dict):
+    """A dictionary that computes what it misses, and forgets what was not asked for lately: when it is
+    full, it becomes the older generation, whose entries come back one by one as they are asked for."""
+
+    def __init__(self, compute, most: int):
+        self.compute, self.most, self.older = compute, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.compute(key)
+        if len(key) < 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
 
 
 class Codec:
     """Encodes and decodes by one vocabulary. ranks: token bytes to id; a lower id merges first."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pieces = ranks, regex.compile(pattern).findall
+        self.ranks = ranks
+        self.pieces, self.space_led = regex.compile(pattern).findall, pattern in SPACE_LED
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
-        self.known: dict[str, bytes] = {}
+        self.of_byte = [ranks.get(bytes([x]), -1) for x in range(256)]
+        #: Two neighbours' ids, packed, to the id that they merge to.
+        self.pairs: dict[int, int] = {}
+        for token, i in ranks.items():
+            for k in range(1, len(token)):
+                if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None:
+                    self.pairs[left << 24 | right] = i
+        self.packed = _Recent(self._pack, _REMEMBERED // 2).__getitem__
+        self.word = _Recent(lambda word: b"".join(map(self.packed, self.pieces(" " + word))), _REMEMBERED).__getitem__
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece. A leaf of the tree stands for the pair that starts at a byte and holds
-        rank * size + position, so the root is the leftmost pair of the lowest rank."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        its rank and, below it, the position; every node is the least of its 16 children, so the root
+        is the leftmost pair of the lowest rank. A merge sets three leaves and the nodes above them."""
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        size = 1 << max(0, n - 2).bit_length()
-        none = 1 << 62
-        end = list(range(1, n + 1))  # where the token that starts at a byte ends
-        before = list(range(-1, n - 1))  # the token on its left
-        tree = [none] * (2 * size)
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                tree[size + i] = r * size + i
-        for k in range(size - 1, 0, -1):
-            left, right = tree[2 * k], tree[2 * k + 1]
-            tree[k] = left if left < right else right
-
-        def put(i: int, value: int) -> None:
-            k = size + i
-            if tree[k] == value:
-                return
-            tree[k] = value
-            while k > 1:
-                value = min(value, tree[k ^ 1])
-                k >>= 1
-                if tree[k] == value:
-                    return
-                tree[k] = value
-
-        def pair(i: int) -> int:
-            if end[i] >= n or (r := ranks.get(piece[i : end[end[i]]])) is None:
-                return none
-            return r * size + i
-
-        while (best := tree[1]) != none:
-            i = best % size
-            gone = end[i]
-            end[i] = after = end[gone]
-            if after < n:
-                before[after] = i
-            if gone < n - 1:
-                put(gone, none)
-            if i < n - 1:
-                put(i, pair(i))
+        n, pair = len(piece), self.pairs.get
+        ids = [self.of_byte[x] for x in piece]
+        shift = n.bit_length()
+        place, none = (1 << shift) - 1, 1 << shift + 26
+        leaves = [none if (r := pair(x << 24 | y)) is None else r << shift | i for i, (x, y) in enumerate(zip(ids, ids[1:], strict=False))]
+        levels = [leaves]
+        while len(levels[-1]) > 16:
+            low = levels[-1]
+            levels.append([min(low[k : k + 16]) for k in range(0, len(low), 16)])
+        top, above = levels[-1], levels[1:]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # live neighbours
+        leaves.append(none)  # of the last byte, which starts no pair
+        while (best := min(top)) < none:
+            i = best & place
+            gone, ids[i] = after[i], best >> shift
+            after[i] = next_ = after[gone]
+            leaves[gone] = leaves[i] = none
+            if next_ < n:
+                before[next_] = i
+                if (r := pair(ids[i] << 24 | ids[next_])) is not None:
+                    leaves[i] = r << shift | i
             if (p := before[i]) >= 0:
-                put(p, pair(p))
-        ids, i = [], 0
+                leaves[p] = none if (r := pair(ids[p] << 24 | ids[i])) is None else r << shift | p
+            if above:
+                low, nodes = leaves, {gone >> 4, i >> 4, max(p, 0) >> 4}
+                for level in above:
+                    for k in nodes:
+                        if k < len(level):
+                            level[k] = min(low[16 * k : 16 * k + 16])
+                    low, nodes = level, {k >> 4 for k in nodes}
+        out, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return ids
+            out.append(ids[i])
+            i = after[i]
+        return out
 
-    def packed(self, piece: str) -> bytes:
-        got = self.known.get(piece)
-        if got is None:
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            got = np.array(self.merge(piece.encode()), dtype="<u4").tobytes()
-            if len(piece) < 64:
-                self.known[piece] = got
-        return got
+    def _pack(self, piece: str) -> bytes:
+        ids = self.merge(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null is the empty text."""
-        return b"".join(map(self.packed, self.pieces(text or "")))
+        if not text:
+            return b""
+        if not self.space_led:
+            return b"".join(map(self.packed, self.pieces(text)))
+        # what follows a lone space is a word
+        first, *words = _LONE_SPACE(text) if _OTHER_SPACE(text) else text.split(" ")
+        return b"".join(map(self.packed, self.pieces(first))) + b"".join(map(self.word, words))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
