@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import json
+import zipfile
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators import normalize
+from tidewatch.sources import files
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    n = 3000
+    (tmp_path / "a.log").write_text("".join(f"line {i}  \n" if i % 7 else "\n" for i in range(n)))
+    (tmp_path / "b.log").write_bytes(b"bad \xff byte\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = files.log_lines(spark, str(tmp_path)).where("source_id like '%a.log'").orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.raw for r in got] == [f"line {i}" if i % 7 else "" for i in range(n)]
+    assert [r.line_no for r in got] == list(range(1, n + 1))
+    assert files.log_lines(spark, str(tmp_path / "b.log")).first().raw == "bad � byte"
+
+
+def test_record_files(spark, tmp_path):
+    two = [{"EventID": 4625, "IpAddress": "1.1.1.1"}, {"EventID": 4624, "IpAddress": "1.1.1.1"}]
+    (tmp_path / "array.json").write_text(json.dumps(two))
+    (tmp_path / "wrapped.json").write_text(json.dumps({"Records": two}))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, two)) + "\n\n")
+    (tmp_path / "text.log").write_text("EventID: 4625\n\n  \nmore\n")
+    got = files.record_files(spark, str(tmp_path))
+    kinds = normalize.normalize_windows(got).groupBy("source_id", "event_type").count().collect()
+    assert sorted((r.source_id.rpartition("/")[2], r.event_type, r["count"]) for r in kinds) == sorted(
+        [(f, t, 1) for f in ("array.json", "wrapped.json", "lines.json") for t in ("failed_login", "successful_login")] + [("text.log", "failed_login", 1), ("text.log", "unparsed_windows", 1)]
+    )
+
+
+def test_admission(spark, tmp_path):
+    (tmp_path / "good.log").write_text("fine\n")
+    (tmp_path / "bad.exe").write_text("x")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "null.txt").write_bytes(b"a\0b")
+    (tmp_path / "latin.txt").write_bytes(b"\xe9\xe8")
+    (tmp_path / "gz.log").write_bytes(b"\x1f\x8b\x08")
+    (tmp_path / "big.log").write_text("x" * 200)
+    with zipfile.ZipFile(tmp_path / "z.txt", "w") as z:
+        z.writestr("a", "b")
+    rule = files.Admission((".log", ".txt"), 150, no_nulls=True, utf8=True)
+    good, bad = files.admit(files.read_files(spark, str(tmp_path)), rule)
+    name = F.element_at(F.split("path", "/"), -1)
+    assert [r[0] for r in good.select(name).collect()] == ["good.log"]
+    got = {r[0]: r[1] for r in bad.select(name, "rejected_reason").collect()}
+    assert got == {"bad.exe": "extension", "null.txt": "null_byte", "latin.txt": "encoding", "gz.log": "archive", "big.log": "size", "z.txt": "archive"}
+    assert "content" not in bad.columns
+    open_, closed = files.admit(files.read_files(spark, str(tmp_path / "gz.log")), files.LOG_FILES)
+    assert open_.count() == 1 and closed.count() == 0
+
+
+def test_text_documents_and_pages(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Title\ntext")
+    (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    good, bad = files.text_documents(files.read_files(spark, str(tmp_path)))
+    assert [(r.filename, r.content) for r in good.collect()] == [("a.md", "# Title\ntext")]
+    assert {r.filename: r.rejected_reason for r in bad.collect()} == {"b.txt": "encoding", "c.pdf": "unsupported"}
+    pages = spark.createDataFrame([("d", 2, "two"), ("d", 1, "one"), ("d", 3, "  "), ("e", 1, None)], "doc_id string, page_no int, text string")
+    assert [tuple(r) for r in files.assemble_pages(pages).collect()] == [("d", "--- Page 1 ---\none\n--- Page 2 ---\ntwo")]
+
+
+def test_benchmark_cases_and_sinks(spark, tmp_path):
+    case = {"case_id": "1", "description": "d", "analysis": {"total_lines": 3, "ip_aggregations": [{"ip": "1.1.1.1", "failed_attempts": 2}]}, "chunks": [{"chunk_id": "c1", "word_count": 4}], "expected_risk_level": "low"}
+    (tmp_path / "case.json").write_text(json.dumps(case, indent=1))
+    got = files.benchmark_cases(spark, str(tmp_path / "case.json"))
+    row = got.first()
+    assert row.analysis.ip_aggregations[0].failed_attempts == 2 and row.chunks[0].chunk_id == "c1"
+    files.write_json(got, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first().case_id == "1"
+    files.write_lines(got, "case_id", str(tmp_path / "lines"))
+    assert spark.read.text(str(tmp_path / "lines")).first().value == "1"
