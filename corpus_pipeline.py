@@ -39,12 +39,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, their digest, and the digest of what they decode to."""
-    coded = bpe.encode(docs, CODE_VOCABULARY, PATTERN)
-    both = bpe.decode(coded.select("doc_id", "source", "ids"), CODE_VOCABULARY, PATTERN)
-    return both.select(
-        "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    """The number of tokens of each document, its ids, their digest, and that of what they decode to."""
+    return bpe.digests(docs, CODE_VOCABULARY, PATTERN, with_ids=True)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near-dedup", near_copies), ("mixing", mixture), ("byte-level bpe", tokens)]

@@ -11,15 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewatch.llm.common import Recent
 
 #: A vocabulary file is read on the driver and broadcast; it may have this many bytes at most.
 MOST_VOCABULARY_BYTES = 64 << 20
 #: Words that a worker remembers: this many and up to as many from before. Results don't depend on it.
-_REMEMBERED = 300_000
+_REMEMBERED = 250_000
+#: Rows whose results are put together at once.
+_ROWS = 1000
 
 
 #: Patterns of which no piece holds a space except as its first character, or in a run of white space.
@@ -29,25 +35,6 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)").split
 _OTHER_SPACE = re.compile(r"\s | \s|^ | $").search
 
 
-class _Recent(dict):
-    """A dictionary that computes what it misses, and forgets what was not asked for lately: when it is
-    full, it becomes the older generation, whose entries come back one by one as they are asked for."""
-
-    def __init__(self, compute, most: int):
-        self.compute, self.most, self.older = compute, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        got = self.older.get(key)
-        if got is None:
-            got = self.compute(key)
-        if len(key) < 64:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[key] = got
-        return got
-
-
 class Codec:
     """Encodes and decodes by one vocabulary. ranks: token bytes to id; a lower id merges first."""
 
@@ -64,8 +51,8 @@ class Codec:
             for k in range(1, len(token)):
                 if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None:
                     self.pairs[left << 24 | right] = i
-        self.packed = _Recent(self._pack, _REMEMBERED // 2).__getitem__
-        self.word = _Recent(lambda word: b"".join(map(self.packed, self.pieces(" " + word))), _REMEMBERED).__getitem__
+        self.packed = Recent(self._pack, _REMEMBERED // 2).__getitem__
+        self.word = Recent(lambda word: b"".join(map(self.packed, self.pieces(" " + word))), _REMEMBERED).__getitem__
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece. A leaf of the tree stands for the pair that starts at a byte and holds
@@ -200,13 +187,26 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     return docs.withColumn(out, of(F.col(text)))
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text encoded, and its ids decoded again: (id_col, n_tokens, ids_sha256, decoded_sha256)."""
-    kept = encode(docs.select(id_col, F.col(text).alias("_text")), vocabulary, pattern, "_text", "_ids").select(id_col, "_ids")
-    both = decode(kept, vocabulary, pattern, "_ids", "_decoded")
-    return both.select(
-        id_col,
-        (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("_ids", 256).alias("ids_sha256"),
-        F.sha2("_decoded", 256).alias("decoded_sha256"),
-    )
+def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Each text encoded, and its ids decoded again, in one pass: (id_col, n_tokens, ids_sha256,
+    decoded_sha256), and with `with_ids` the binary column ids. Rows are mapped in batches, so no row
+    waits beside Python for its result."""
+    codec = CodecOnWorkers(docs.sparkSession, vocabulary, pattern)
+    own = docs.schema[id_col]
+    schema = T.StructType([own, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = schema.add("ids", T.BinaryType()) if with_ids else schema
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = codec.get()
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                rows = []
+                for t in batch.column(1):
+                    ids = one.encode(t.as_py())
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(one.decode(ids)).hexdigest(), ids if with_ids else None))
+                n, coded, decoded, every = map(list, zip(*rows, strict=True))
+                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(every, pa.binary())] if with_ids else columns, schema.names)
+
+    return docs.select(id_col, text).mapInArrow(both, schema)

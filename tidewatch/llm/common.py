@@ -37,10 +37,30 @@ def cut(df: DataFrame) -> DataFrame:
 FEW = 300_000
 
 
-def few(table: DataFrame, most: int = FEW) -> DataFrame:
-    """A written table of narrow rows, marked for broadcasting if a count shows `most` rows or fewer; a
-    larger one is joined by shuffle."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+def few(table: DataFrame, most: int = FEW, numbers: str | None = None) -> DataFrame:
+    """A written table of narrow rows, marked for broadcasting if a count shows `most` rows or fewer, and
+    ten times as many numbers at most in all of its arrays `numbers`; a larger one is joined by shuffle."""
+    rows, inside = table.agg(F.count("*"), F.coalesce(F.sum(F.size(numbers)), F.lit(0)) if numbers else F.lit(0)).first()
+    return F.broadcast(table) if rows <= most and inside <= 10 * most else table
+
+
+class Recent(dict):
+    """A dictionary that computes what it misses, and forgets what was not asked for lately: when it is
+    full, it becomes the older generation, whose entries come back one by one as they are asked for."""
+
+    def __init__(self, compute, most: int):
+        self.compute, self.most, self.older = compute, most, {}
+
+    def __missing__(self, key: str):
+        got = self.older.get(key)
+        if got is None:
+            got = self.compute(key)
+        if len(key) < 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
 
 
 def same(a: Column, b: Column) -> Column:
