@@ -1,0 +1,42 @@
+from __future__ import annotations
+
+import collections
+
+import corpus_pipeline as pipeline
+import numpy as np
+import tiktoken
+
+from tidewatch.llm import bpe, line_dedup, simhash_dedup
+from tidewatch.llm.queries import CODE_VOCABULARY, PATTERN, oracle_sql, queries
+
+
+def test_stages(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = [docs]
+    for n, (_, stage) in enumerate(pipeline.STAGES):
+        got = stage(spark, docs, sf_dir)
+        assert n == len(pipeline.STAGES) - 1 or tuple(got.columns) == pipeline.COLUMNS
+        got.write.parquet(str(tmp_path / str(n)))
+        docs = spark.read.parquet(str(tmp_path / str(n)))
+        kept.append(docs)
+    start, good, lines, alone, mixed, coded = (d.toPandas() for d in kept)
+    assert 0.6 * len(start) < len(good) < len(start) and set(good.doc_id) < set(start.doc_id)
+    # every line of five words or more is there once
+    left = collections.Counter(x for t in lines.text for x in (" ".join(y.lower().split()) for y in t.split("\n")) if len(x.split()) >= 5)
+    assert max(left.values()) == 1 and (lines.n_chars == lines.text.str.len()).all()
+    fps = [simhash_dedup.fingerprint(t) for t in alone.text]
+    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") > 3 for i, a in enumerate(fps) for b in fps[:i])
+    assert set(mixed.doc_id) <= set(alone.doc_id) and mixed.groupby("doc_id").size().max() <= 3
+    oracle = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.parse_vocabulary(bpe.read_vocabulary(CODE_VOCABULARY)), special_tokens={})
+    text = dict(zip(mixed.doc_id, mixed.text, strict=True))
+    assert len(coded) == len(mixed) and all(np.frombuffer(i, "<u4").tolist() == oracle.encode_ordinary(text[d]) for d, i in zip(coded.doc_id, coded.ids, strict=True))
+
+
+def test_run_agrees_with_itself(spark, sf_dir):
+    a, b = (pipeline.run(spark, sf_dir).select("doc_id", "ids_sha256").collect() for _ in range(2))
+    assert sorted(a) == sorted(b) and a
+
+
+def test_registered():
+    assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert [n for n, _ in pipeline.STAGES] and line_dedup.MOST_BITS == 3
