@@ -98,19 +98,18 @@ def _minimise(f, x: np.ndarray, rounds: int = 80, memory: int = 8) -> np.ndarray
     return x
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, decay: float = 0.001, least: int | None = None) -> OrdinalModel:
-    """Fits the model to (buckets, values) of each document. Buckets in fewer than `least` documents
-    (one in 400, 3 at least) have weight 0. Every grade counts one document more than it has, so that an absent one is allowed."""
-    flat = np.concatenate([k for k, _ in rows] or [np.zeros(0, np.int32)])
-    values = np.concatenate([v for _, v in rows] or [np.zeros(0)])
-    row = np.repeat(np.arange(len(rows)), [len(k) for k, _ in rows])
-    least = max(3, len(rows) // 400) if least is None else least
+def fit_ordinal(sizes: np.ndarray, flat: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, decay: float = 0.001, least: int | None = None) -> OrdinalModel:
+    """Fits the model to documents of `sizes` buckets each; flat and values hold all of their buckets
+    and values in turn. Buckets in fewer than `least` documents (one in 400, 3 at least) have weight 0.
+    Every grade counts one document more than it has, so that an absent one is allowed."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    least = max(3, len(sizes) // 400) if least is None else least
     used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= least)
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     keep = place[flat] >= 0
     flat, values, row = place[flat[keep]], values[keep], row[keep]
-    n, cuts = max(1, len(rows)), n_grades - 1
+    n, cuts = max(1, len(sizes)), n_grades - 1
     share = np.cumsum(np.bincount(grades, minlength=n_grades) + 1.0)[:-1] / (len(grades) + n_grades)
     theta = np.log(share / (1 - share))
     start = np.concatenate([np.zeros(len(used)), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
@@ -119,7 +118,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, gaps = x[: len(used)], np.exp(np.clip(x[len(used) + 1 :], -30, 30))
         cut = x[len(used)] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(row, w[flat] * values, len(rows))
+        score = np.bincount(row, w[flat] * values, len(sizes))
         edge = np.concatenate([[-np.inf], cut, [np.inf]])
         hi, lo = edge[grades + 1] - score, edge[grades] - score
         up, down = np.where(np.isinf(hi), 1.0, sigmoid(hi)), np.where(np.isinf(lo), 0.0, sigmoid(lo))
@@ -161,11 +160,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
 def fit(docs: DataFrame, labels: DataFrame, n_grades: int, id_col: str = "doc_id", text: str = "text", grade: str = "grade", most: int = MOST_LABELLED, seed: int = 5, decay: float = 0.001) -> OrdinalModel | None:
     """The model for labels(id_col, grade), grades 0 to n_grades - 1; None if no labelled document is
     there. The driver gets the bucket counts of `most` documents at most."""
-    sample = labelled_sample(docs, labels, id_col, text, grade, most, seed).toPandas()
-    if not len(sample):
+    sample = labelled_sample(docs, labels, id_col, text, grade, most, seed).toArrow().combine_chunks()
+    if not sample.num_rows:
         return None
-    grades = sample["grade"].clip(0, n_grades - 1).to_numpy(np.int64)
-    return fit_ordinal(list(zip(sample["buckets"], sample["values"], strict=True)), grades, n_grades, decay)
+    grades = np.clip(sample.column("grade").to_numpy(), 0, n_grades - 1).astype(np.int64)
+    sizes = sample.column("buckets").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    flat, values = (sample.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("buckets", "values"))
+    return fit_ordinal(sizes, flat, values, grades, n_grades, decay)
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel | None, text: str = "text", tail: int = 2, least: float = 0.7) -> DataFrame:
