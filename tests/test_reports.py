@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import facts, privacy, reports, scoring
+from tidewatch.operators import bursts, facts, normalize, privacy, reports, scoring
+from tidewatch.plans import incidents
 
 GOOD = {"summary": "s", "possible_interpretations": ["i"], "risk_level": "low", "risk_reasoning": "r", "recommended_actions": ["a"], "citations": ["chunk-1"]}
 
@@ -108,3 +109,13 @@ def test_evidence(spark):
     c = spark.createDataFrame([("{}", [("c1", "T", "S", "body")])], "f string, c array<struct<chunk_id:string,source_title:string,section_or_page:string,content:string>>")
     got = c.select(reports.evidence(F.col("f"), F.col("c"))).first()[0]
     assert got == "## Parser Findings (Deterministic Facts)\n{}\n\n## Retrieved Context (Security Guidance)\n--- Chunk ID: c1 ---\nSource: T\nSection: S\nContent:\nbody\n\n"
+
+
+def test_incident_evidence(spark):
+    lines = [f"Aug 14 10:20:{s:02d} h sshd[1]: Failed password for root from 10.9.8.7 port 1 ssh2" for s in range(5)] + ["Aug 14 10:30:00 h sshd[1]: Accepted password for amy from 10.1.1.1 port 1 ssh2"]
+    raw = spark.createDataFrame([("log", i, x) for i, x in enumerate(lines)], "source_id string, line_no long, raw string")
+    e = normalize.normalize_ssh(raw, 2026)
+    chunks = spark.createDataFrame([("c1", "d1", "SSH", "Guide", "SSH authentication failures and password attempts", 6), ("c2", "d2", "Web", "Guide", "sql injection", 2)], "chunk_id string, document_id string, source_title string, section_or_page string, content string, word_count int")
+    got = incidents.incident_evidence(bursts.burst_incidents(e, threshold=5, window_seconds=60), e, chunks, k=1).collect()
+    assert len(got) == 1 and got[0].packed_ids == ["c1"] and "repeated password attempts" in got[0].query
+    assert "10.9.8.7" not in got[0].query and '"total_lines":5' in got[0].evidence and "--- Chunk ID: c1 ---" in got[0].evidence and "10.1.1.1" not in got[0].evidence

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import bursts, corpus, facts, normalize, privacy, reports, retrieval, scoring
-from tidewatch.plans import render
+from tidewatch.plans import incidents, render
 
 YEAR = 2024
 DAY = 86400
@@ -476,3 +476,12 @@ def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = render.table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.col("turn").cast("string").alias("chunk_id"), F.col("role").alias("source_title"), F.lit("s").alias("section_or_page"), F.col("text").alias("content")).alias("c"))
     rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("c")).alias("chunks"))
     return rows.select("conv_id", F.sha2(reports.evidence(F.to_json(F.struct("conv_id")), F.col("chunks")), 256).alias("evidence_sha256"))
+
+
+@query()
+def incident_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = render.failures(spark, sf_dir).withColumn("ts_assumed", F.lit(False))
+    found = bursts.burst_incidents(e, ("source_id", "user"), 3, 2 * DAY)
+    d = render.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.col("source").alias("source_title"), F.col("text").alias("content"))
+    got = incidents.incident_evidence(found, e, corpus.chunk_documents(d), ("source_id", "user"))
+    return got.select("incident_id", "query", F.array_join("packed_ids", ",").alias("packed_ids"), F.length("evidence").alias("evidence_chars"))
