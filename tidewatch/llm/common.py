@@ -63,6 +63,13 @@ class Recent(dict):
         return got
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality that also holds between nulls; usable as a join key."""
     return a.eqNullSafe(b)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import spare
+
 #: Buckets that words are hashed to.
 BUCKETS = 1 << 18
 #: Labelled documents that the model is fitted on at most: those with the smallest seeded hash of their id.
@@ -191,8 +193,9 @@ def grade_documents(docs: DataFrame, model: OrdinalModel | None, text: str = "te
             tails = m.tails(score)
             yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_probability": tails[:, tail - 1]})
 
-    got = docs.withColumn("_grades", of(F.col(text)))
-    got = got.withColumns({"expected_grade": F.col("_grades.expected_grade"), "tail_probability": F.col("_grades.tail_probability")}).drop("_grades")
+    g = spare(docs, "_grades")
+    got = docs.withColumn(g, of(F.col(text)))
+    got = got.withColumns({n: F.col(f"{g}.{n}") for n in ("expected_grade", "tail_probability")}).drop(g)
     return got.withColumn("kept", F.col("tail_probability") >= least)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, same
+from tidewatch.llm.common import cut, same, spare
 
 #: Rules on one document: name and condition for failing.
 BASE_RULES = {"short": "n_words < 10", "repeats": "100 * n_repeat_words > 20 * n_words"}
@@ -44,8 +44,9 @@ def document_features(docs: DataFrame, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([measure(t) for t in texts], columns=names, dtype="int64")
 
-    got = docs.withColumn("_m", of(F.col(text)))
-    got = got.withColumns({n: F.col(f"_m.{n}") for n in names}).drop("_m")
+    m = spare(docs, "_measures")
+    got = docs.withColumn(m, of(F.col(text)))
+    got = got.withColumns({n: F.col(f"{m}.{n}") for n in names}).drop(m)
     got = got.withColumns({f"failed_{r}": F.expr(c) for r, c in BASE_RULES.items()})
     return got.withColumn("base_failed", F.expr(" or ".join(f"failed_{r}" for r in BASE_RULES)))
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import connected_components, cut
+from tidewatch.llm.common import connected_components, cut, spare
 
 #: Hashes whose bits are counted at once, so that a very long text takes little memory.
 _BLOCK = 1 << 16
@@ -108,5 +108,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one document of each group: the one whose id names the component. Rows with a null
     id stay (nothing can name them). Repeated rows of the kept id stay as they are."""
-    lost = simhash_groups(docs, id_col, text, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, docs[id_col].cast("long") == lost["_lost"], "left_anti")
+    name = spare(docs, "_lost")
+    lost = simhash_groups(docs, id_col, text, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(lost, docs[id_col].cast("long") == lost[name], "left_anti")

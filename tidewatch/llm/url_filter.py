@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import spare
+
 #: Rules are sent to every task with the query's code; there may be this many pattern characters at most.
 MOST_STATES = 1 << 16
 #: URLs simulated together.
@@ -149,5 +151,6 @@ def judge_urls(pages: DataFrame, rules: list[Glob], url: str = "url", default: s
             yield pd.DataFrame({"rule": pd.Series(names, dtype=object), "verdict": pd.Series(verdicts, dtype=object)})
 
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    got = parts.withColumn("_judged", of(canonical(F.col("host"), F.col("path"))))
-    return got.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    j = spare(pages, "_judged")
+    got = parts.withColumn(j, of(canonical(F.col("host"), F.col("path"))))
+    return got.withColumns({n: F.col(f"{j}.{n}") for n in ("rule", "verdict")}).drop(j)
