@@ -110,9 +110,10 @@ def test_line_groups_against_brute_force(spark):
         for _ in range(rng.choice([0, 1, 1, 3])):
             w[rng.randrange(len(w))] = rng.choice(words)
         lines.append(w)
-    lines += [["same"] * n for n in (5, 6, 7, 30, 31, 100)]
+    lines += [["same"] * n for n in (5, 6, 7, 30, 31, 100)] + [[x for w in rng.choice(base) for x in (w, "|")] for _ in range(10)]
     sim = line_dedup._SimHash()
-    sims = [sim.of(w) & (1 << 64) - 1 for w in lines]
+    sims = [int(x) & (1 << 64) - 1 for x in sim.of(lines)]
+    assert sims == [sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64_intdigest(x) >> b & 1 for x in set(w)) > len(set(w))) for w in lines]
     links = [(i, j) for i in range(len(lines)) for j in range(i) if bin(sims[i] ^ sims[j]).count("1") <= 3 and plain_edit(lines[i], lines[j]) >= 0.8]
     want = components(len(lines), links)
     docs = documents(spark, *(" ".join(w).upper() + "\nshort one" for w in lines))

@@ -88,7 +88,6 @@ def test_mix(spark):
     texts = [" ".join(["w"] * rng.randint(1, 30)) for _ in range(900)]
     sources = [rng.choice(["a"] * 6 + ["b", None]) for _ in texts]
     docs = documents(spark, *texts, sources=sources).withColumnRenamed("lang", "_target")
-    docs = docs.select("doc_id", "text", "source", "n_chars")
     planned = mixing.plan_mix(docs.withColumn("size", mixing.word_count()), mixing.cycle_weights(docs)).collect()
     for name in {"a", "b", None}:
         own = [r for r in planned if r.source == name]
