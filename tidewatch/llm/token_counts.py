@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import count_tokens
+from tidewatch.llm.common import cut
 
 #: Lengths whose running sums are made in one task; the sums over blocks have max length / _BLOCK rows.
 _BLOCK = 4096
@@ -15,7 +16,8 @@ def length_histogram(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     """(length, n_docs): documents by encoded length; null and empty texts have length 0. Counts are
     combined before the shuffle, so a common length is one row from each task."""
     counted = count_tokens(docs.select(F.col(text).alias("_text")), vocabulary, pattern, "_text", "length")
-    return counted.groupBy("length").agg(F.count("*").alias("n_docs"))
+    # written once: sums over it must not encode the documents again
+    return cut(counted.groupBy("length").agg(F.count("*").alias("n_docs")))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
