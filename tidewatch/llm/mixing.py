@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WORD, same
+from tidewatch.llm.common import WORD, cut, same
 
 
 def word_count(text: str = "text") -> Column:
@@ -49,7 +49,8 @@ def unit(seed: int, *keys: Column) -> Column:
 
 
 def plan_mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "size", most: float = 3.0, seed: int = 17) -> DataFrame:
-    """docs (with a long column `size`) with _source_size, _target, _rate and _copies.
+    """docs (with a long column `size`) with _source_size, _target, _rate and _copies; columns of these
+    names are replaced.
 
     weights(source, weight) has one row for each source, null included; a source without a row takes
     nothing. A source's rate is its target over its size. A document is taken floor(rate) times, and
@@ -58,9 +59,11 @@ def plan_mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source
     without any word the rate is 0). The one row of each source is joined to the documents; Spark
     broadcasts it if its size allows, else splits the hot source's partition.
     """
+    docs = docs.drop("_source_size", "_target", "_rate", "_copies", "_src")
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
     w = weights.select(F.col("source").alias("_s"), "weight")
-    sources = sizes.join(w, same(F.col("source"), F.col("_s")), "left").select("source", "source_size", "weight")
+    # one row for each source, written once: the rounds below don't read the documents again
+    sources = cut(sizes.join(w, same(F.col("source"), F.col("_s")), "left").select("source", "source_size", "weight"))
     t = source_targets(sources, most).select(F.col("source").alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     got = docs.join(t, same(docs[source], t["_src"])).drop("_src")
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
@@ -71,8 +74,10 @@ def plan_mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source
 
 def mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix itself: each row of docs repeated as often as it is taken, with docs' own columns."""
-    planned = plan_mix(docs.withColumn("_size", word_count(text)), weights, id_col, source, "_size", **options)
-    return planned.where("_copies > 0").withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    # the row travels as one struct, so that its columns may have any names
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    planned = plan_mix(rows, weights, "id", "source", "size", **options).where("_copies > 0")
+    return planned.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("row.*")
 
 
 def cycle_weights(docs: DataFrame, source: str = "source", cycle: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
