@@ -123,6 +123,28 @@ def test_line_groups_against_brute_force(spark):
     assert 10 < sum(w == i for i, w in enumerate(want)) < len(lines)
 
 
+def test_lines_against_edit_similarity(spark):
+    """Plain edit similarity alone, over all pairs: words changed, dropped, put in and moved."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 6]))) for _ in range(300)]
+    base = [[rng.choice(words) for _ in range(rng.choice([5, 6, 9, 15, 32, 41, 60]))] for _ in range(30)]
+    lines = []
+    for _ in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, len(w) // 4)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 1)] = [rng.choice(words)] * rng.choice([0, 1, 1])
+        lines.append(w if len(w) >= 5 else w + ["x"] * 5)
+    lines += [["same"] * n for n in (5, 6, 8, 20)]
+    similar = [(i, j) for i in range(len(lines)) for j in range(i) if plain_edit(lines[i], lines[j]) >= 0.8]
+    want = components(len(lines), similar)
+    docs = documents(spark, *(" ".join(w) for w in lines))
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs, whole=True).collect()}
+    assert [got[i] for i in range(len(lines))] == [int(c != i) for i, c in enumerate(want)]
+    assert sum(got.values()) > sum(r.n_dropped for r in line_dedup.dedup_lines(docs).collect()) and len(set(want)) > 30
+    assert line_dedup.dedup_lines(docs.limit(0), whole=True).count() == 0
+
+
 def test_line_cases(spark):
     line = "one two three four five six"
     texts = [line, f"start\n{line.upper()}\n\n  One  two three FOUR five six \nend", None, "", line, "a b\na b"]
