@@ -145,6 +145,26 @@ def test_lines_against_edit_similarity(spark):
     assert line_dedup.dedup_lines(docs.limit(0), whole=True).count() == 0
 
 
+def test_short_and_unspaced_lines(spark):
+    """Exact repeats of any length go, empty lines stay; lines of few words are compared by characters."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏") for _ in range(rng.choice([20, 24, 25, 31, 45, 90]))) for _ in range(8)]
+    lines = []
+    for _ in range(60):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, len(w) // 5)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 1)] = [rng.choice("天地玄黃")] * rng.choice([0, 1])
+        lines.append("".join(w))
+    lines += ["", "a b", " A  b", "", "a c", "x", "x", "short one", "short one"]
+    compared = [(i, j) for i in range(len(lines)) for j in range(i) if min(len(lines[i]), len(lines[j])) >= 20 and plain_edit(lines[i], lines[j]) >= 0.8]
+    plain = [" ".join(x.lower().split()) for x in lines]
+    want = components(len(lines), compared + [(i, j) for i in range(len(lines)) for j in range(i) if plain[i] and plain[i] == plain[j]])
+    got = line_dedup.dedup_lines(documents(spark, "\n".join(lines)), whole=True).first()
+    assert got.text.split("\n") == [x for i, x in enumerate(lines) if want[i] == i]
+    assert got.n_dropped == sum(c != i for i, c in enumerate(want)) > 30
+
+
 def test_line_cases(spark):
     line = "one two three four five six"
     texts = [line, f"start\n{line.upper()}\n\n  One  two three FOUR five six \nend", None, "", line, "a b\na b"]
