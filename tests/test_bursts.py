@@ -32,6 +32,22 @@ def test_windows(spark, seconds, threshold, window, want):
     assert [b[1] for b in breaches(frame(spark, seconds), threshold, window)] == want
 
 
+def test_hot_key_is_not_one_row(spark):
+    """A key's failures go over several batches and are never collected."""
+    rng = random.Random(5)
+    seconds = sorted(rng.randrange(60_000) for _ in range(25_000))
+    live, want = [], []
+    for s in seconds:
+        live = [x for x in live if x >= s - 20] + [s]
+        if len(live) >= 12:
+            want.append(("k", s, 12))
+            live = []
+    events = frame(spark, seconds)
+    assert breaches(events, 12, 20) == want and len(want) > 10
+    plan = bursts.burst_incidents(events, ("source_id",), 12, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_parameters(spark):
     with pytest.raises(ValueError):
         bursts.burst_incidents(frame(spark, [0]), threshold=0)

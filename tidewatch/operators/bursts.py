@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators.predicates import is_failure_stream
 
@@ -23,25 +27,36 @@ def incident_id(source: Column, ts: Column, first: Column) -> Column:
 def burst_incidents(events: DataFrame, keys: tuple[str, ...] = ("source_id",), threshold: int = 5, window_seconds: int = 60) -> DataFrame:
     """(keys, incident_id, breach_ts, n_events, first_line, lines) of each breach, by event time.
 
-    A key's failures are folded in time order (ties by line) with the `threshold` - 1 latest ones as
-    state, so a step costs the threshold. They meet in one row; for a very hot key use
-    (source_id, source_ip), or the streaming form, whose state is bounded.
+    A key's failures are read in time order (ties by line) from a sorted partition, with the `threshold`
+    - 1 latest ones as the only state: however many a key has, they never meet in one row or in memory.
     """
     check_window(threshold, window_seconds)
     f = events.where(is_failure_stream(F.col("event_type"), F.col("is_parsed")))
-    item = F.struct((F.unix_micros("ts")).alias("us"), "line_no")
-    rows = f.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_e"))
-    kind = "array<struct<us:bigint,line_no:bigint>>"
-    start = F.struct(F.expr(f"cast(array() as {kind})").alias("open"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        live = F.array_append(F.filter(acc.open, lambda x: x.us >= e.us - window_seconds * 1_000_000), e)
-        full = F.size(live) >= threshold
-        return F.struct(F.when(full, F.expr(f"cast(array() as {kind})")).otherwise(live).alias("open"), F.when(full, F.array_append(acc.out, live)).otherwise(acc.out).alias("out"))
-
-    found = rows.select(*keys, F.explode(F.aggregate("_e", start, step).out).alias("w"))
-    last = F.element_at("w", -1)
-    got = found.select(*keys, F.timestamp_micros(last.us).alias("breach_ts"), F.size("w").cast("long").alias("n_events"), F.col("w")[0].line_no.alias("first_line"), F.transform("w", lambda x: x.line_no).alias("lines"))
+    rows = f.select(*keys, F.unix_micros("ts").alias("_us"), F.col("line_no").alias("_line"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "_us", "_line")
+    window, n = window_seconds * 1_000_000, len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, live = None, []
+        for batch in batches:
+            at, found = [], []
+            for k, (*key, us, line) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if key != of:
+                    of, live = key, []
+                live = [x for x in live if us is not None and x[0] is not None and x[0] >= us - window]
+                live.append((us, line))
+                if len(live) >= threshold:
+                    at.append(k)
+                    found.append([x[1] for x in live])
+                    live = []
+            last = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*last.columns[: n + 1], pa.array(found, pa.list_(batch.schema.field(n + 1).type))], names)
+
+    kinds = rows.schema.fields
+    schema = T.StructType([*kinds[: n + 1], T.StructField("lines", T.ArrayType(kinds[n + 1].dataType))])
+    names = schema.names
+    found = rows.mapInArrow(fold, schema)
+    got = found.select(*keys, F.timestamp_micros("_us").alias("breach_ts"), F.size("lines").cast("long").alias("n_events"), F.col("lines")[0].alias("first_line"), "lines")
     return got.withColumn("incident_id", incident_id(F.concat_ws("|", *keys), F.col("breach_ts"), F.col("first_line")))
 
 
