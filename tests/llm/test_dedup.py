@@ -100,27 +100,81 @@ def test_edit_similarity():
     assert line_dedup.edit_similarity(long, long[:-100] + ["x"] * 100) == 1 - 100 / 5000
 
 
-def test_line_groups_against_brute_force(spark):
+def edited(rng, words, share, vocabulary):
+    """A copy with `share` of its words changed, dropped or doubled by a new one."""
+    w = list(words)
+    for _ in range(int(share * len(w) + 1e-9)):
+        k = rng.randrange(len(w))
+        w[k : k + rng.choice([0, 1, 1])] = [rng.choice(vocabulary)] * rng.choice([0, 1, 1])
+    return w
+
+
+def test_blocks_against_brute_force():
     rng = random.Random(6)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
-    base = [[rng.choice(words) for _ in range(rng.choice([5, 20, 60, 200]))] for _ in range(25)]
-    lines = []
-    for _ in range(150):
-        w = list(rng.choice(base))
-        for _ in range(rng.choice([0, 1, 1, 3])):
-            w[rng.randrange(len(w))] = rng.choice(words)
-        lines.append(w)
-    lines += [["same"] * n for n in (5, 6, 7, 30, 31, 100)] + [[x for w in rng.choice(base) for x in (w, "|")] for _ in range(10)]
-    sim = line_dedup._SimHash()
-    sims = [int(x) & (1 << 64) - 1 for x in sim.of(lines)]
-    assert sims == [sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64_intdigest(x) >> b & 1 for x in set(w)) > len(set(w))) for w in lines]
-    links = [(i, j) for i in range(len(lines)) for j in range(i) if bin(sims[i] ^ sims[j]).count("1") <= 3 and plain_edit(lines[i], lines[j]) >= 0.8]
-    want = components(len(lines), links)
-    docs = documents(spark, *(" ".join(w).upper() + "\nshort one" for w in lines))
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
-    assert all(got[i].n_lines == 2 and got[i].n_dropped == (want[i] != i) for i in range(len(lines)))
-    assert all(got[i].text == ("short one" if want[i] != i else " ".join(w).upper() + "\nshort one") for i, w in enumerate(lines))
-    assert 10 < sum(w == i for i, w in enumerate(want)) < len(lines)
+    powers = line_dedup._Powers()
+    texts = ["one  two\tthree four\nfive", " \n\n", "", "é ü\nü", "x" * 3000] + [" ".join(rng.choice(["a", "bb", "ccc"]) for _ in range(50))]
+    hashes = {}
+    for t in texts:
+        got, starts, ends = line_dedup._words(np.frombuffer(t.encode(), np.uint8), powers)
+        assert [t.encode()[a:b] for a, b in zip(starts, ends, strict=True)] == t.encode().split()
+        assert all(hashes.setdefault(w, h) == h for w, h in zip(t.encode().split(), got.tolist(), strict=True))
+    assert len(set(hashes.values())) == len(hashes)
+    units = np.array([rng.getrandbits(64) for _ in range(40)], np.uint64)
+    for width in (1, 2, 3, 4):
+        turned = lambda i: [(int(units[i + k]) << 13 * k | int(units[i + k]) >> (64 - 13 * k)) & (1 << 64) - 1 for k in range(width)]  # noqa: B023, E731
+        want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in turned(i)) > width) for i in range(40 - width + 1)]
+        assert line_dedup.simhash_of(units, width).tolist() == want
+        sizes = np.array([1, 7, 20, 2, 10])
+        block, line = line_dedup.line_blocks(units, sizes, width, 5)
+        assert np.bincount(line, minlength=5).tolist() == [max(0, min(5, n - width + 1)) for n in sizes]
+        assert set(block.tolist()) <= set(want)
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 9, 12, 20, 40, 80, 200])
+def test_recall_of_blocks(n):
+    """Pairs at the stated similarity, found by edit similarity alone, share a block: at least 0.98 of them."""
+    rng = random.Random(n)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([2, 3, 6, 9]))) for _ in range(3000)]
+    table = line_dedup._LineTable(0.8, 5, 1e-3)
+    import pyarrow as pa
+
+    hits = pairs = 0
+    for _ in range(300):
+        a = [rng.choice(words) for _ in range(n)]
+        b = edited(rng, a, 0.2, words)
+        if plain_edit(a, b) < 0.8 or a == b or len(b) < 5:
+            continue
+        got = table.rows(pa.array([1]), pa.array([1]), [" ".join(a) + "\n" + " ".join(b)]).column("blocks").to_pylist()
+        pairs += 1
+        hits += bool(set(got[0]) & set(got[1]))
+    assert pairs > 150 and hits >= (pairs if n < 10 else 0.98 * pairs)
+
+
+def test_number_of_blocks():
+    assert line_dedup.n_blocks(0.8, 3, 1e-3) == 9 and line_dedup.n_blocks(0.8, 3, 0.1) < 9 < line_dedup.n_blocks(0.7, 3, 1e-3)
+    assert line_dedup.narrow_up_to(0.8, 3) == 6  # five words, one changed in the middle
+
+
+def test_hot_blocks(spark, monkeypatch):
+    """A block that most lines share is compared in parts, and no pair is lost."""
+    monkeypatch.setattr(line_dedup, "CELL", 16)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    base = [[rng.choice(words) for _ in range(9)] for _ in range(150)]
+    lines = [["common-passage-of", "three-very-long", "words-is-here", *w] for w in base + [edited(rng, rng.choice(base), 0.1, words) for _ in range(60)]]
+    want = components(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if plain_edit(lines[i], lines[j]) >= 0.8])
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(documents(spark, *(" ".join(w) for w in lines))).collect()}
+    assert [got[i] for i in range(len(lines))] == [int(c != i) for i, c in enumerate(want)] and 20 < sum(got.values())
+
+
+def test_long_lines(spark):
+    """Lines of many words, one of them a whole batch, and a very long word."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5000)]
+    long = [rng.choice(words) for _ in range(160_000)]
+    texts = [" ".join(long), " ".join(edited(rng, long, 0.02, words)), " ".join(long[:100_000]), "y" * 2_000_000, "y" * 1_999_000 + "z" * 1000, "end"]
+    got = [r.n_dropped for r in line_dedup.dedup_lines(documents(spark, *texts)).orderBy("doc_id").collect()]
+    assert got == [0, 1, 0, 0, 1, 0]
 
 
 def test_lines_against_edit_similarity(spark):
@@ -139,10 +193,10 @@ def test_lines_against_edit_similarity(spark):
     similar = [(i, j) for i in range(len(lines)) for j in range(i) if plain_edit(lines[i], lines[j]) >= 0.8]
     want = components(len(lines), similar)
     docs = documents(spark, *(" ".join(w) for w in lines))
-    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs, whole=True).collect()}
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect()}
     assert [got[i] for i in range(len(lines))] == [int(c != i) for i, c in enumerate(want)]
-    assert sum(got.values()) > sum(r.n_dropped for r in line_dedup.dedup_lines(docs).collect()) and len(set(want)) > 30
-    assert line_dedup.dedup_lines(docs.limit(0), whole=True).count() == 0
+    assert len(set(want)) > 30
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
 def test_short_and_unspaced_lines(spark):
@@ -160,7 +214,7 @@ def test_short_and_unspaced_lines(spark):
     compared = [(i, j) for i in range(len(lines)) for j in range(i) if min(len(lines[i]), len(lines[j])) >= 20 and plain_edit(lines[i], lines[j]) >= 0.8]
     plain = [" ".join(x.lower().split()) for x in lines]
     want = components(len(lines), compared + [(i, j) for i in range(len(lines)) for j in range(i) if plain[i] and plain[i] == plain[j]])
-    got = line_dedup.dedup_lines(documents(spark, "\n".join(lines)), whole=True).first()
+    got = line_dedup.dedup_lines(documents(spark, "\n".join(lines))).first()
     assert got.text.split("\n") == [x for i, x in enumerate(lines) if want[i] == i]
     assert got.n_dropped == sum(c != i for i, c in enumerate(want)) > 30
 
@@ -171,8 +225,8 @@ def test_line_cases(spark):
     docs = documents(spark, *texts).withColumnRenamed("lang", "n_lines").withColumn("key", F.lit(1))
     rows = docs.collect() + [docs.collect()[0]]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, docs.schema)).orderBy("doc_id").collect()
-    assert [r.text for r in got] == [line, line, "start\n\nend", None, "", "", "a b\na b"]
-    assert [r.n_dropped for r in got] == [0, 0, 2, 0, 0, 1, 0] and [r.n_lines for r in got] == [1, 1, 5, 0, 1, 1, 2]
+    assert [r.text for r in got] == [line, line, "start\n\nend", None, "", "", "a b"]
+    assert [r.n_dropped for r in got] == [0, 0, 2, 0, 0, 1, 1] and [r.n_lines for r in got] == [1, 1, 5, 0, 1, 1, 2]
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
     nameless = spark.createDataFrame([(None, line), (4, line)], "doc_id long, text string")
     assert [(r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(nameless).orderBy("doc_id").collect()] == [(None, 1), (4, 0)]

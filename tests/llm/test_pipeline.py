@@ -6,7 +6,7 @@ import corpus_pipeline as pipeline
 import numpy as np
 import tiktoken
 
-from tidewatch.llm import bpe, line_dedup, simhash_dedup
+from tidewatch.llm import bpe, simhash_dedup
 from tidewatch.llm.queries import CODE_VOCABULARY, PATTERN, oracle_sql, queries
 
 
@@ -39,4 +39,4 @@ def test_run_agrees_with_itself(spark, sf_dir):
 
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
-    assert [n for n, _ in pipeline.STAGES] and line_dedup.MOST_BITS == 3
+    assert [n for n, _ in pipeline.STAGES]

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The words of a text: runs of anything but ASCII white space.
@@ -19,29 +20,51 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own
-    checkpoint folder, else (local tests only) a new temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder()
+    """The folder of this application in the one that driver and executors share: spark.checkpoint.dir,
+    else the context's own checkpoint folder. Without either a master within this process, as in tests,
+    gets a new temporary one; on a cluster that is an error, as executors would not see it."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not re.fullmatch(r"local(\[[\w*,]+\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(folder or _own_folder()).rstrip('/')}/tidewatch-{context.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete what cut() has written for this application. Frames that an operator returned read those
+    tables, so call this when their results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and aggregates over its rows, which the task that writes them makes on its way."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, *(c.alias(n) for n, c in metrics.items())).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and return the table read back. Lineage ends there,
     so the loss of an executor costs no more than a read, and its size is known to the optimizer."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows of ids and numbers that may be broadcast.
-FEW = 300_000
+FEW = 100_000
 
 
-def few(table: DataFrame, most: int = FEW, numbers: str | None = None) -> DataFrame:
-    """A written table of narrow rows, marked for broadcasting if a count shows `most` rows or fewer, and
-    ten times as many numbers at most in all of its arrays `numbers`; a larger one is joined by shuffle."""
-    rows, inside = table.agg(F.count("*"), F.coalesce(F.sum(F.size(numbers)), F.lit(0)) if numbers else F.lit(0)).first()
-    return F.broadcast(table) if rows <= most and inside <= 10 * most else table
+def few(df: DataFrame, most: int = FEW, numbers: str | None = None) -> DataFrame:
+    """cut(df) of narrow rows, marked for broadcasting if they are `most` or fewer and have ten times as
+    many numbers at most in all of their arrays `numbers`; a larger one is joined by shuffle."""
+    inside = F.sum(F.size(numbers)) if numbers else F.max(F.lit(0))
+    table, got = measured(df, rows=F.count(F.lit(1)), inside=inside)
+    return F.broadcast(table) if got["rows"] <= most and (got["inside"] or 0) <= 10 * most else table
 
 
 class Recent(dict):
@@ -75,8 +98,10 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _edges(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges, their number and a checksum that doesn't depend on their order."""
+    table, got = measured(df.select("a", "b"), rows=F.count(F.lit(1)), sum=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    return table, (got["rows"], got["sum"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -89,8 +114,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     id to itself, are left out; no edges give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
-    e = cut(e.where("x is not null and y is not null and a <> b").select("a", "b").distinct())
-    before = _state(e)
+    e, before = _edges(e.where("x is not null and y is not null and a <> b").select("a", "b").distinct())
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy(F.col("a").alias("u")).agg(F.least("u", F.min("b")).alias("m")))
@@ -99,8 +123,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # after the large star an id has few smaller neighbours
         mins = large.withColumn("m", F.min("b").over(_by("a")))
         small = mins.select("a", F.col("m").alias("b")).unionByName(mins.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = cut(small.distinct())
-        after = _state(e)
+        e, after = _edges(small.distinct())
         if after == before:
             break
         before = after
