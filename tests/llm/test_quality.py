@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents
 from tidewatch.llm import quality_classifier as qc
@@ -18,7 +19,7 @@ def brute(text):
     lines = [x for x in t.split("\n") if WORD.search(x)]
     wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
     hit = {i + k for i, x in enumerate(wins) if wins.count(x) > 1 for k in range(5)}
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit), len(lines)
 
 
 def test_measures():
@@ -30,19 +31,30 @@ def test_measures():
 
 
 def test_hosts(spark):
-    good, bad = "one two three four five six seven eight nine ten", "too short"
-    texts = [bad] * 60 + [good] * 5 + [good] * 90 + [bad] * 5 + [bad, good, None]
-    sources = ["spam"] * 65 + ["fine"] * 95 + ["tiny", None, None]
-    docs = documents(spark, *texts, sources=sources).withColumnRenamed("lang", "host")
+    """Two planted bad hosts, one by short documents and one by symbols, and a tiny one that is not judged."""
+    good, bad, signs = "one two three four five six seven eight nine ten", "too short", "one# two# three four five six seven eight nine ten"
+    texts = [bad] * 60 + [good] * 5 + [good] * 290 + [bad] * 5 + [bad, good, None] + [signs] * 40 + [good] * 40
+    sources = ["spam"] * 65 + ["fine"] * 295 + ["tiny", None, None] + ["signs"] * 80
+    docs = documents(spark, *texts, sources=sources).withColumnRenamed("lang", "host").withColumn("n_lines", F.lit("x"))
     got = {r.doc_id: r for r in rules.judge_documents(docs).collect()}
-    assert len(got) == len(texts) and all(got[i].base_failed == (t != good) for i, t in enumerate(texts))
-    assert not any(got[i].kept for i in range(65)) and got[0].host_failed and got[0].host_docs == 65
-    assert all(got[i].kept for i in range(65, 155)) and not got[155].kept
-    # one failure of one document is not held against a host as 60 of 65 are
-    assert got[160].host_rate < got[0].host_rate and got[161].kept and not got[162].kept
+    assert len(got) == len(texts) and all(got[i].base_failed == (t in (bad, None)) for i, t in enumerate(texts))
+    assert not any(got[i].kept for i in range(65)) and got[64].host_rules == ["short"] and got[0].host_docs == 65
+    assert all(got[i].kept and got[i].host_rules == [] for i in range(65, 355)) and not got[355].kept
+    assert not got[360].host_failed and got[361].kept and not got[362].kept
+    assert got[363].failed_symbols and got[440].host_rules == ["symbols"] and not got[440].kept
+    rates = {r.host: r for r in rules.host_rates(rules.document_features(docs)).collect()}
+    assert rates["spam"].n_short == 60 and 0.8 < rates["spam"].rate_short < 60 / 65 and rates["tiny"].rate_short < 1
     assert rules.judge_documents(docs.limit(0)).count() == 0
 
 
+def test_long_and_repeated_documents(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    docs = documents(spark, " ".join(words), " ".join(words[:50] * 3), "x " * 300_000, "a b\n" * 2000)
+    got = rules.judge_documents(docs.unionByName(docs)).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [True, True] + [False] * 6
+    assert [r.n_words for r in got[::2]] == [200_000, 150, 300_000, 4000] and [r.failed_lines for r in got[::2]] == [False, False, False, True]
+
+
 def test_ordinal_gradient_and_order():
     rng = np.random.default_rng(0)
     rows, grades = [], []

@@ -50,6 +50,46 @@ URLS = [
 ]
 
 
+def test_literal_patterns():
+    odd = r"a*b?c\\d"
+    urls = [odd, "aXbXc\\d", "a*b?c", odd + "/more", "ab"]
+    rule = url_filter.prefix_rule("h.com", odd, "block")
+    fits = lambda pattern, us: url_filter.Automaton([url_filter.Glob("x", pattern, "block")]).fits([u.encode() for u in us])[:, 0].tolist()
+    assert fits(url_filter.literal(odd), urls) == [True, False, False, False, False]
+    assert fits(rule.pattern, [".h.com" + u for u in urls]) == [True, False, False, True, False]
+
+
+def test_canonical():
+    for url, want in [
+        ("HTTP://User:pw@WWW.Example.COM.:8080/a/./b/../c?x=1&utm_source=f&ref=y#top", ".www.example.com/a/c?x=1"),
+        ("http://a.com", ".a.com/"),
+        ("http://a.com/?utm_medium=1", ".a.com/"),
+        ("http://a.com/%7Eme/%c3%a9/%2e%2e/x", ".a.com/~me/x"),
+        ("http://a.com/../../x/..", ".a.com/"),
+        ("http://a.com/x/.", ".a.com/x/"),
+        ("http://a.com/r?reference=1&refs&ref", ".a.com/r?reference=1&refs"),
+        ("no scheme", "."),
+        ("", "."),
+        (None, "."),
+    ]:
+        assert url_filter.canonical(url) == want, url
+
+
+def test_own_globs(spark):
+    """The filter's own verdicts, from canonical URLs, where no rule fits."""
+    urls = ["https://u:p@blog.CASINO-win.org:443/a", "http://a.org/x?b=1&page=2", "http://a.org/x?homepage=2", "http://a.org/%77p-admin/x", "http://a.org/q/../wp-admin/", "http://a.org/f.exe?ref=1", "http://a.org/f.exe?v=1", "http://a.com/wp-admin/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, *urls])], "page_id int, url string")
+    got = url_filter.judge_urls(df, URL_RULES).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block", "block", "allow", "block", "block", "block", "allow", "allow"] * 2
+
+
+def test_rules_from_a_table(spark):
+    table = spark.createDataFrame([("b", "*.b.com/**", "block"), ("a", "*.a.com/**", "allow"), (None, "x", "block")], "name string, pattern string, verdict string")
+    assert [g.name for g in url_filter.rules_from(table)] == ["a", "b"]
+    with pytest.raises(ValueError, match="more than 1"):
+        url_filter.rules_from(table, 1)
+
+
 def test_urls(spark):
     df = spark.createDataFrame([(i, u[0], "was") for i, u in enumerate(URLS)], "page_id int, url string, verdict string")
     got = url_filter.judge_urls(df, URL_RULES).orderBy("page_id").collect()

@@ -34,7 +34,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.judge_documents(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_base_failed")
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", *(f"failed_{r}" for r in quality_rules.OWN_RULES), "host_docs", "host_base_failed", "host_failed")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,45 +100,52 @@ f as (select r, doc_id, source, len(w) as n_words,
     coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols from d),
 l as (select r, unnest(string_split(text, chr(10))) as line from d),
-dup as (select r, (count(*) - count(distinct line))::bigint as n_dup_lines from l
+dup as (select r, count(*) as n_lines, (count(*) - count(distinct line))::bigint as n_dup_lines from l
     where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
 g as (select r, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5),
 win as (select r, i, array_to_string(w[i:i+4], ' ') as s from g),
 twice as (select r, i from (select r, i, count(*) over (partition by r, s) as c from win) where c > 1),
 rep as (select r, count(distinct i + k) as n_repeat_words from twice, range(0, 5) as t(k) group by r),
-m as (select f.*, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+m as (select f.*, coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
     from f left join dup using (r) left join rep using (r)),
-b as (select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed from m),
-h as (select source, count(*) as n, count(*) filter (base_failed) as k from b where source is not null group by source),
-p as (select sum(k) / sum(n) as mean, count(*) as hosts, sum(1 / n) as inverse from h),
-v as (select mean, greatest((select avg((k / n - mean) * (k / n - mean)) from h) - mean * (1 - mean) * inverse / hosts, 1e-9) as between_hosts from p),
-s as (select mean, case when mean * (1 - mean) = 0 then 1.0 else least(greatest(mean * (1 - mean) / between_hosts - 1, 1.0), 1e6) end as strength from v),
-j as (select source, n, k, (k + mean * strength) / (n + strength) > 0.5 as host_failed from h, s)
-select doc_id, n_words::bigint as n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and not coalesce(host_failed, false) as kept, n as host_docs, k as host_base_failed
-from b left join j using (source)
+b as (select *, {', '.join(f"({c}) as failed_{n}" for n, c in quality_rules.RULES.items())} from m),
+c as (select doc_id, source, rule, failed from b unpivot (failed for rule in ({', '.join(f'failed_{n}' for n in quality_rules.RULES)}))),
+h as (select source, rule, count(*) as n, count(*) filter (failed) as k from c where source is not null group by all),
+p as (select rule, sum(k) / sum(n) as mean, count(*) as hosts, sum(1 / n) as inverse from h group by rule),
+v as (select rule, mean, greatest(avg((k / n - mean) * (k / n - mean)) - mean * (1 - mean) * any_value(inverse / hosts), 1e-9) as between_hosts from h join p using (rule) group by rule, mean),
+s as (select rule, mean, case when mean * (1 - mean) = 0 then 1.0 else least(greatest(mean * (1 - mean) / between_hosts - 1, 1.0), 1e6) end as strength from v),
+q as (select source, mean, n + strength as total, (k + mean * strength) / (n + strength) as post from h join s using (rule)),
+j as (select source, bool_or(post - 3 * sqrt(post * (1 - post) / (total + 1)) > 2 * mean) as host_failed from q group by source),
+t as (select source, count(*) as n, count(*) filter ({' or '.join(f'failed_{n}' for n in quality_rules.BASE_RULES)}) as k from b where source is not null group by source)
+select doc_id, n_words::bigint as n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, ({' or '.join(f'failed_{n}' for n in quality_rules.BASE_RULES)}) as base_failed,
+    {', '.join(f'failed_{n}' for n in quality_rules.OWN_RULES)}, not ({' or '.join(f'failed_{n}' for n in quality_rules.RULES)}) and not coalesce(host_failed, false) as kept, n as host_docs, k as host_base_failed, host_failed
+from b left join j using (source) left join t using (source)
 """
 
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The canonical URL as SQL can say it: without undoing percent forms and dot segments.
+_CANONICAL = rf"""'.' || regexp_replace(regexp_replace({_HOST}, '(?s)^.*@', ''), ':[0-9]*$', '') || regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)
+    || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1), '&'), lambda x: not regexp_matches(x, '^(utm_[^=&]*|ref|gclid|fbclid)(=|$)')), '&'), ''), '')"""
+
 OP6_SQL = rf"""
-with u as (select page_id, {_HOST} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+with u as (select page_id, {_CANONICAL} as c, {_HOST} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
 r(h, p, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 f as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as verdict from u, r
     where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
-select u.page_id, host, path, rule, coalesce(verdict, case when regexp_matches(host, '(^|\.)spam-[^/]*\.')
-    or ends_with(host || path, '.exe') or contains(host || path, '/wp-admin/') then 'block' else 'allow' end) as verdict
+select u.page_id, host, path, rule, coalesce(verdict, case when regexp_matches(c, '^[^/]*\.(spam|casino|cheap)-[^/]*\.')
+    or ends_with(c, '.exe') or contains(c, '/wp-admin/') or regexp_matches(c, '[?&](page|sort|sessionid|replytocom)=') then 'block' else 'allow' end) as verdict
 from u left join f on u.page_id = f.page_id
 """
 
 OP7_SQL = """
-with recursive e as (select vec_id, embedding::double[] as v from embeddings where embedding is not null
+with recursive e as (select distinct vec_id, embedding::double[] as v from embeddings where embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
     and list_cosine_similarity(a.v, b.v) >= 0.95),
 reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join l on r.b = l.a),
 c as (select a, min(b) as component_id from reach group by a),
-n as (select a, count(*) as n from l group by a)
+n as (select a, count(distinct b) as n from l group by a)
 select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
 from embeddings join c on vec_id = c.a left join n on vec_id = n.a
 """

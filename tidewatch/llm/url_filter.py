@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,8 +20,8 @@ _BLOCK = 2048
 
 
 class Glob(NamedTuple):
-    """A rule. In pattern `?` is any byte but /, `*` any run without /, `**` any run; the pattern fits
-    whole canonical URLs. The longest rule that fits wins (length counts the rule's name), then a
+    """A rule. In pattern `?` is any byte but /, `*` any run without /, `**` any run, and a backslash
+    takes the next byte as it is; the pattern fits whole URLs in the form that it is meant for. The longest rule that fits wins (length counts the rule's name), then a
     block before an allow, then the earlier rule."""
 
     name: str
@@ -28,17 +29,67 @@ class Glob(NamedTuple):
     verdict: str
 
 
+def literal(text: str) -> str:
+    """A pattern that fits this text alone."""
+    return re.sub(r"([\\*?])", r"\\\1", text)
+
+
 def prefix_rule(host: str, path: str, verdict: str) -> Glob:
     """A host with all of its subdomains, and every path that starts with `path`."""
-    return Glob(host + path, f"*.{host}{path}**", verdict)
+    return Glob(host + path, f"*.{literal(host)}{literal(path)}**", verdict)
+
 
+def rules_from(table: DataFrame, most: int = 10_000) -> list[Glob]:
+    """The rules of a table (name, pattern, verdict), in that order of columns and sorted; a table of more
+    than `most` rows is refused, as every task gets all rules. Rows with a null are left out."""
+    rows = table.select("name", "pattern", "verdict").dropna().orderBy("name", "pattern", "verdict").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return [Glob(*r) for r in rows]
 
-#: Hosts and paths that the filter blocks by itself, after the caller's rules: link farms and executables.
+
+#: What the filter blocks by itself where no rule of the caller's fits; read from canonical URLs: link farms,
+#: executables, administration, and pages that only list or repeat others.
 DEFAULT_GLOBS = (
-    Glob("*.spam-*", "*.spam-*.**", "block"),
+    *(Glob(f"*.{w}-*", f"*.{w}-*.**", "block") for w in ("spam", "casino", "cheap")),
     Glob("**.exe", "**.exe", "block"),
     Glob("**/wp-admin/**", "**/wp-admin/**", "block"),
+    *(Glob(f"**{c}{k}=**", f"**{literal(c)}{k}=**", "block") for c in "?&" for k in ("page", "sort", "sessionid", "replytocom")),
 )
+#: Parameters of a query that say where a reader came from, not which page is meant.
+TRACKING = re.compile(r"(?:utm_[^=&]*|ref|gclid|fbclid)(?:=|$)")
+_FORM, _ESCAPE = re.compile(r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"), re.compile(r"%([0-9A-Fa-f]{2})")
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_PLAIN = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+
+
+def _unescaped(text: str) -> str:
+    """Percent forms of letters, digits and -._~ as themselves, the others in capitals."""
+    one = lambda m: chr(int(m[1], 16)) if chr(int(m[1], 16)) in _PLAIN else m[0].upper()
+    return _ESCAPE.sub(one, text) if "%" in text else text
+
+
+def canonical(url: str | None) -> str:
+    """What the filter's own globs read: a dot, so that a host is its own subdomain, the host in lower
+    case without user, port and final dots, the path without dot segments, and the query without
+    tracking parameters; percent forms are undone where they mean the same. Null, or without ://: a dot."""
+    m = _FORM.match(url or "")
+    if not m:
+        return "."
+    host = re.sub(r":[0-9]*$", "", m[1].rpartition("@")[2])
+    host = _unescaped(host).translate(_LOWER).rstrip(".")
+    path = _unescaped(m[2])
+    if "/." in path:
+        kept: list[str] = []
+        parts = path.split("/")[1:]
+        for p in parts:
+            if p == "..":
+                del kept[-1:]
+            elif p != ".":
+                kept.append(p)
+        path = "/" + "/".join(kept + ([""] if parts[-1] in (".", "..") and kept else []))
+    asked = [p for p in _unescaped((m[3] or "?")[1:]).split("&") if p and not TRACKING.match(p)]
+    return f".{host}{path or '/'}" + ("?" + "&".join(asked) if asked else "")
 
 
 def host_of(url: Column) -> Column:
@@ -51,11 +102,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """What the automaton reads: a dot, so that a host is its own subdomain, then host and path."""
-    return F.concat(F.lit("."), host, path)
-
-
 class Automaton:
     """Shift-And over 64-bit words. Each pattern has a start state and one state for each byte or `?`;
     a state that a star follows stays on with the bytes that the star takes. Bit i moves to i + 1, over
@@ -77,7 +123,9 @@ class Automaton:
                     stays[-1] |= segment
                     i += 1
                 else:
-                    moves.append(segment if raw[i : i + 1] == b"?" else {raw[i]})
+                    escaped = raw[i : i + 1] == b"\\" and i + 1 < len(raw)
+                    i += escaped
+                    moves.append(segment if not escaped and raw[i : i + 1] == b"?" else {raw[i]})
                     stays.append(set())
                     i += 1
             ends.append(len(moves) - 1)
@@ -128,29 +176,34 @@ class Automaton:
 def judge_urls(pages: DataFrame, rules: list[Glob], url: str = "url", default: str = "allow", globs: tuple[Glob, ...] = DEFAULT_GLOBS) -> DataFrame:
     """pages with string columns host, path, rule and verdict (columns of these names are replaced).
 
-    The caller's rules come first; where none fits, rule is null and verdict is that of the longest
-    glob that fits, else `default`. A null URL, or one without ://, has an empty host and path and is
-    judged like any other. All rules run as one automaton in one pass over the bytes of a URL; rows
-    don't depend on each other, so nothing is shuffled, and URLs of any length are read to the end in
-    blocks of rows.
+    The caller's rules come first and read a dot, host and path as they stand in the URL; where none
+    fits, rule is null and verdict is that of the longest glob that fits the canonical URL, else
+    `default`. A null URL, or one without ://, has an empty host and path and is judged like any other.
+    All rules run as one automaton in one pass over the bytes of a URL; rows don't depend on each
+    other, so nothing is shuffled, repeated rows are judged each, and URLs of any length are read to
+    the end in blocks of rows.
     """
-    every = list(rules) + list(globs)
-    own = len(rules)
+    rules = list(rules)
 
     @F.pandas_udf("rule string, verdict string")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        first, then = Automaton(every[:own]), Automaton(every[own:])
-        for batch in batches:
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        first, then = Automaton(rules), Automaton(list(globs))
+        for plain, whole in batches:
             names: list[str | None] = []
             verdicts: list[str] = []
-            for i in range(0, len(batch), _BLOCK):
-                urls = [u.encode() for u in batch.iloc[i : i + _BLOCK]]
-                for a, b in zip(first.judge(urls), then.judge(urls), strict=True):
-                    names.append(every[a].name if a >= 0 else None)
-                    verdicts.append(every[a].verdict if a >= 0 else every[own + b].verdict if b >= 0 else default)
+            for i in range(0, len(plain), _BLOCK):
+                mine = first.judge([u.encode() for u in plain.iloc[i : i + _BLOCK]])
+                left = np.flatnonzero(mine < 0)
+                own = np.full(len(mine), -1)
+                own[left] = then.judge([canonical(u).encode("utf-8", "replace") for u in whole.iloc[i : i + _BLOCK].iloc[left]])
+                for a, b in zip(mine, own, strict=True):
+                    names.append(rules[a].name if a >= 0 else None)
+                    verdicts.append(rules[a].verdict if a >= 0 else globs[b].verdict if b >= 0 else default)
             yield pd.DataFrame({"rule": pd.Series(names, dtype=object), "verdict": pd.Series(verdicts, dtype=object)})
 
+    if url in ("host", "path"):
+        raise ValueError("the column of URLs must not be called host or path")
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     j = spare(pages, "_judged")
-    got = parts.withColumn(j, of(canonical(F.col("host"), F.col("path"))))
+    got = parts.withColumn(j, of(F.concat(F.lit("."), F.col("host"), F.col("path")), F.col(url)))
     return got.withColumns({n: F.col(f"{j}.{n}") for n in ("rule", "verdict")}).drop(j)
