@@ -256,6 +256,34 @@ def test_embedding_links(spark, block):
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_repeated_vectors(spark):
+    """Repeated rows count once; columns with the operator's own names do no harm."""
+    v, w, u = [1.0, 0.0, 0.0], [2.0, 0.0, 0.0], [1.0, 0.1, 0.0]
+    rows = [(1, v), (1, v), (2, w), (3, v), (4, u), (5, [0.0, 0.0, 1.0]), (5, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, x, i, "x") for i, x in rows], "vec_id long, embedding array<double>, n_links long, node string")
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_groups(df).collect()]
+    assert sorted(got) == [(1, 3, 1, True)] * 2 + [(2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False)] + [(5, 0, 5, True)] * 2
+
+
+@pytest.mark.parametrize("cosine", [0.95, 0.99])
+def test_recall_of_links(spark, cosine):
+    """All pairs of 6,000 vectors by brute force, with the settings of production."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((3000, 24))
+    angle = np.arccos(cosine) * rng.uniform(0.2, 1.1, 3000)
+    other = rng.standard_normal((3000, 24))
+    u = base / np.linalg.norm(base, axis=1, keepdims=True)
+    other -= (other * u).sum(axis=1, keepdims=True) * u
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    x = np.concatenate([u, np.cos(angle)[:, None] * u + np.sin(angle)[:, None] * other])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= cosine).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_groups(df, cosine=cosine).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= links).all() and links.sum() > 4000 and found.sum() >= 0.999 * links.sum()
+
+
 def test_recall(spark):
     bits, tables = embedding_dedup.tables_for(10**9, 0.95)
     assert bits > 16 and 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables >= 1 - 1e-4

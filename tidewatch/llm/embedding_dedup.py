@@ -7,13 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import connected_components, cut
+from tidewatch.llm.common import connected_components, cut, few, measured
 
 #: Rows of a bucket, or of a part of it, that one task compares at once.
 BLOCK = 1024
+#: Signs of a vector's code, by which pairs of a bucket are told apart before their vectors are fetched.
+CODE = 128
 
 
 def tables_for(n: int, cosine: float, miss: float = 1e-4, bucket: int = 200) -> tuple[int, int]:
@@ -36,37 +39,77 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def code_limit(cosine: float) -> int:
+    """The signs that may differ between the codes of two vectors at `cosine`: six standard deviations
+    over the mean, so that one pair in 10^8 is taken for unlike."""
+    p = math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    return min(CODE, math.ceil(CODE * p + 6 * math.sqrt(CODE * p * (1 - p))))
+
+
 def _signatures(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """vectors(node, copies, vec) with sigs array<int>, one of `bits` signs for each table. The
-    hyperplanes depend on the seed and the number of components alone."""
+    """vectors(.., vec) with a struct s: sigs array<int>, one of `bits` signs for each table, and c0, c1
+    of CODE more signs. The hyperplanes depend on the seed and the number of components alone."""
 
-    @F.pandas_udf("array<int>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("sigs array<int>, c0 long, c1 long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits)
         for batch in batches:
-            out: list[np.ndarray | None] = [None] * len(batch)
+            sigs: list[np.ndarray | None] = [None] * len(batch)
+            codes = np.zeros((len(batch), CODE // 64), np.int64)
             sizes = np.array([len(v) for v in batch])
             for d in np.unique(sizes):
                 if d not in planes:
-                    planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), bits * tables))
+                    planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), bits * tables + CODE))
                 rows = np.flatnonzero(sizes == d)
-                signs = (_unit(batch.iloc[rows]) @ planes[d] > 0).reshape(len(rows), tables, bits)
-                for i, s in zip(rows, (signs @ weights).astype(np.int32), strict=True):
-                    out[i] = s
-            yield pd.Series(out, dtype=object)
-
-    return vectors.withColumn("sigs", of("vec"))
+                signs = _unit(batch.iloc[rows]) @ planes[d] > 0
+                codes[rows] = np.packbits(signs[:, bits * tables :], axis=1).view(np.int64)
+                numbers = (signs[:, : bits * tables].reshape(len(rows), tables, bits) @ weights).astype(np.int32)
+                for i, x in zip(rows, numbers, strict=True):
+                    sigs[i] = x
+            yield pd.DataFrame({"sigs": pd.Series(sigs, dtype=object), "c0": codes[:, 0], "c1": codes[:, 1]})
+
+    return vectors.withColumn("s", of("vec"))
+
+
+def _alike(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by cell, that have one in their cell whose code differs in `limit` signs or fewer."""
+
+    def kept(rows: pa.Table) -> pa.Table:
+        cell = rows.column("cell").to_numpy()
+        codes = np.stack([rows.column(c).to_numpy() for c in ("c0", "c1")]).view(np.uint64)  # bitwise_count takes the absolute value of a negative number
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        found = np.zeros(len(cell), bool)
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
+            for k in range(i, j, 256):
+                end = min(j, k + 256)
+                apart = sum(np.bitwise_count(c[k:end, None] ^ c[None, i:j]).astype(np.int16) for c in codes)
+                found[k:end] = (apart <= limit).sum(axis=1) > 1  # each is like itself
+        return rows.select(["cell", "h", "at"]).filter(pa.array(found))
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.table(batch) if rest is None else pa.concat_tables([rest, pa.table(batch)]).combine_chunks()
+        cell = rows.column("cell").to_numpy()
+        other = np.flatnonzero(cell != cell[-1])
+        end = int(other[-1]) + 1 if len(other) else 0  # the last cell may go on in the next batch
+        yield from kept(rows.slice(0, end).combine_chunks()).to_batches()
+        rest = rows.slice(end)
+    if rest is not None:
+        yield from kept(rest.combine_chunks()).to_batches()
 
 
 def _compare(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """One bucket, or one pair of its parts: for each row with a link, the copies that it links to here
+    """One bucket, or one pair of its parts: for each row with a link, the ids that it links to here
     and the smallest node of its component here. A pair counts in the first table that has both in one
     bucket, and nowhere else."""
-    table = int(group["table"].iloc[0])
-    node, copies, side = group["node"].to_numpy(), group["copies"].to_numpy(), group["side"].to_numpy()
+    table = int(group["at"].iloc[0]) // 4
+    node, copies, side = group["node"].to_numpy(), group["copies"].to_numpy(), (group["at"].to_numpy() % 4 == 2).astype(int)
+    crossed = (group["at"].to_numpy() % 4 > 0).any()
     x, sigs = _unit(group["vec"]), np.stack(group["sigs"].to_list())[:, :table]
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(x)),) * 2
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if crossed else (np.arange(len(x)),) * 2
     links, root = np.zeros(len(x), np.int64), np.arange(len(x))
 
     def top(i: int) -> int:
@@ -104,26 +147,35 @@ def _compare(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
         for p, q in zip(a[up[a] != up[b]].tolist(), b[up[a] != up[b]].tolist(), strict=True):
             joined(p, q)
     some = np.flatnonzero(links)
-    return pd.DataFrame({"node": node[some], "links": links[some], "root": node[[top(int(i)) for i in some]] if len(some) else node[some]})
+    return pd.DataFrame({"h": group["h"].to_numpy()[some], "node": node[some], "links": links[some], "root": node[[top(int(i)) for i in some]] if len(some) else node[some]})
 
 
 def embedding_links(vectors: DataFrame, cosine: float, bits: int, tables: int, seed: int, block: int = BLOCK) -> DataFrame:
-    """(node, links, root) for vectors(node, copies, vec): what each bucket found for each node. Summed
-    over a node's rows, links is the number of linked vectors; (node, root) are edges that connect
-    what is linked.
-
-    A bucket of more than `block` rows is dealt into parts, and each two parts meet in a task of their
-    own, so no task holds a whole large bucket; only counts and one edge a row leave it.
+    """(h, node, links, root) for vectors(h, node, copies, vec), h being a hash of vec: what each bucket found
+    for each node. Summed over a node's rows, links is the number of linked vectors; (node, root) are
+    edges that connect what is linked.
+
+    Only codes are dealt out to the buckets of all tables; vectors follow to the buckets where another
+    code is near, where their cosines decide. A bucket of more than `block` rows is dealt into parts,
+    and each two parts meet in a task of their own, so no task holds a whole large bucket; only counts
+    and one edge a row leave it.
     """
-    signed = cut(_signatures(vectors, bits, tables, seed))
-    rows = signed.select("node", "copies", "vec", "sigs", F.posexplode("sigs").alias("table", "sig"))
-    sizes = signed.select(F.size("vec").alias("dim2"), F.posexplode("sigs").alias("table2", "sig2")).groupBy("dim2", "table2", "sig2").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(sizes, (F.size("vec") == F.col("dim2")) & (F.col("table") == F.col("table2")) & (F.col("sig") == F.col("sig2")))
-    parts = F.ceil(F.col("size") / block).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("node", "copies", "vec", "sigs", "table", "sig", "dim2", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-    return rows.groupBy("table", "sig", "dim2", "p", "q").applyInPandas(lambda g: _compare(g, cosine), "node long, links long, root long")
+    signed = _signatures(vectors.select("h", "vec"), bits, tables, seed)
+    coded = cut(signed.select("h", "s.c0", "s.c1", F.transform("s.sigs", lambda s, t: F.xxhash64(F.size("vec"), t, s)).alias("buckets")))
+    hot = coded.select(F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("size"))
+    hot = few(hot.where(F.col("size") > block))
+    rows = coded.select("h", "c0", "c1", F.posexplode("buckets").alias("table", "bucket"))
+    rows = rows.join(hot, F.col("bucket") == F.col("b"), "left")
+    rows = rows.withColumn("parts", F.ceil(F.coalesce("size", F.lit(1)) / block).cast("int")).withColumn("part", F.pmod("h", F.col("parts")).cast("int"))
+    side = lambda q: F.when(q == F.col("part"), 0).when(q > F.col("part"), 1).otherwise(2)
+    cell = lambda q: F.struct(F.xxhash64("bucket", F.least("part", q), F.greatest("part", q)).alias("cell"), (4 * F.col("table") + side(q)).alias("at"))
+    rows = rows.select("h", "c0", "c1", F.inline(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cell)))
+    dealt = rows.repartition("cell").sortWithinPartitions("cell")
+    limit = code_limit(cosine)
+    near = cut(dealt.mapInArrow(lambda batches: _alike(batches, limit), "cell long, h long, at int"))
+    some = _signatures(vectors.join(near.select("h").distinct(), "h", "left_semi"), bits, tables, seed)
+    rows = near.join(some.select("h", "node", "copies", "vec", "s.sigs"), "h")
+    return rows.groupBy("cell").applyInPandas(lambda g: _compare(g, cosine), "h long, node long, links long, root long")
 
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, seed: int = 11, miss: float = 1e-4, block: int = BLOCK) -> DataFrame:
@@ -132,19 +184,23 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector: str = "
     Two vectors link if they have equally many components, share a bucket of a table and have a cosine
     of at least `cosine` in double precision; equal vectors are one node and link to each other.
     Vectors that are null, empty or zero, hold null or non-finite components, or have a null id link
-    with nothing and are kept. Rows that share an id are one vector if they are equal; if they differ,
-    their links add up. Other columns are not read.
+    with nothing and are kept. n_links counts ids: repeated rows count once, in their own links and in
+    those of others; the vectors of an id that has several are one in the components, and each has its
+    own links. Other columns are not read.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vec"))
-    v = v.withColumn("ok", usable(F.col("vec")) & F.col("id").isNotNull())
-    nodes = cut(v.where("ok").groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-    bits, tables = tables_for(nodes.count(), cosine, miss)
-    found = cut(embedding_links(nodes, cosine, bits, tables, seed, block))
+    v = v.withColumn("ok", usable(F.col("vec")) & F.col("id").isNotNull()).withColumns({"h": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(seed), "vec")})
+    good = v.where("ok")
+    ids = good.groupBy("h", "h2", "id").agg(F.lit(1).alias("_")).groupBy("h", "h2").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+    nodes = good.groupBy("h", "h2").agg(F.any_value("vec").alias("vec")).join(ids, ["h", "h2"])
+    nodes, n = measured(nodes, rows=F.count(F.lit(1)))
+    bits, tables = tables_for(n["rows"], cosine, miss)
+    found = cut(embedding_links(nodes.select("h", "node", "copies", "vec"), cosine, bits, tables, seed, block))
     parts = connected_components(found, "node", "root")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.join(links, "node", "left").join(parts.withColumnRenamed("id", "node"), "node", "left")
-    named = named.select("vec", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "node").alias("component_id"))
-    good = v.where("ok").join(named, "vec").select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
+    links = found.groupBy("node", "h").agg(F.sum("links").alias("links"))
+    named = nodes.drop("vec").join(links, ["node", "h"], "left").join(parts.withColumnRenamed("id", "node"), "node", "left")
+    named = cut(named.select("h", "h2", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "node").alias("component_id")))
+    got = good.select("id", "h", "h2").join(named, ["h", "h2"]).select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
     rest = v.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    every = good.unionByName(rest)
+    every = got.unionByName(rest)
     return every.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
