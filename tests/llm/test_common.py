@@ -46,6 +46,19 @@ def test_components(spark, seed):
     assert got == {i: want[i] for i in touched}
 
 
+def test_contraction(monkeypatch):
+    import pyarrow as pa
+
+    from tidewatch.llm import common
+
+    monkeypatch.setattr(common, "_CHUNK", 40)
+    rng = random.Random(4)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(70, 90)]
+    batches = [pa.RecordBatch.from_pydict({"a": [a for a, _ in links[i : i + 7]], "b": [b for _, b in links[i : i + 7]]}) for i in range(0, len(links), 7)]
+    got = [(x, y) for r in common._contracted(iter(batches)) for x, y in zip(r.column("a").to_pylist(), r.column("b").to_pylist(), strict=True)]
+    assert components(100, got) == components(100, links) and all(y < x for x, y in got)
+
+
 def test_no_edges(spark):
     empty = spark.createDataFrame([], "a long, b long")
     assert connected_components(empty).collect() == []

@@ -6,7 +6,10 @@ import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Rows of ids and numbers that may be broadcast.
-FEW = 100_000
+FEW = 10_000
 
 
 def few(df: DataFrame, most: int = FEW, numbers: str | None = None) -> DataFrame:
@@ -98,6 +101,42 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+#: Edges that a task contracts at once.
+_CHUNK = 1 << 20
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a part of a graph, as an edge from each id to the smallest one that the part connects
+    it to."""
+
+    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = place[: len(a)], place[len(a) :]
+        root = np.arange(len(ids))
+        while True:
+            low = np.minimum(root[x], root[y])
+            new = root.copy()
+            for end in (x, y):
+                np.minimum.at(new, root[end], low)
+                np.minimum.at(new, end, low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        up = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[up]), pa.array(ids[root[up]])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(h.num_rows for h in held) >= _CHUNK:
+            yield stars(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in "ab"))
+            held = []
+    if held:
+        yield stars(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in "ab"))
+
+
 def _edges(df: DataFrame) -> tuple[DataFrame, tuple]:
     """The written edges, their number and a checksum that doesn't depend on their order."""
     table, got = measured(df.select("a", "b"), rows=F.count(F.lit(1)), sum=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
@@ -108,13 +147,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """The components of an undirected graph of long ids: one row (id, component) for each id that
     has an edge to another id; component is the smallest id reachable.
 
-    Alternating large-star and small-star rounds: only edges move between executors, the driver gets
+    Each task first contracts the edges that it has to stars, once before and once after they are dealt
+    out anew. Then alternating large-star and small-star
+    rounds: only edges move between executors, the driver gets
     one count and one checksum a round. A hub's minimum is aggregated map-side and written before it
     is joined back, so that adaptive execution can split the hub. Edges with a null end, and from an
     id to itself, are left out; no edges give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
-    e, before = _edges(e.where("x is not null and y is not null and a <> b").select("a", "b").distinct())
+    e, before = _edges(e.where("x is not null and y is not null and a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long").distinct().mapInArrow(_contracted, "a long, b long"))
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy(F.col("a").alias("u")).agg(F.least("u", F.min("b")).alias("m")))
