@@ -46,14 +46,18 @@ def attack_class(text: Column, rules=ATTACK_RULES) -> Column:
     """The class of the first payload in the raw, decoded and twice decoded text, or null: all classes
     are tried on one form of the text before the next form."""
 
+    anything = "(?iuU)" + "|".join(p for _, patterns in rules for p in patterns)
+
     def one(form: Column) -> Column:
         out = F.lit(None).cast("string")
         for name, patterns in reversed(rules):
             out = F.when(form.rlike("(?iuU)" + "|".join(patterns)), name).otherwise(out)
-        return out
+        return F.when(form.rlike(anything), out)  # most requests hold none: one search instead of one a class
 
+    coded = lambda form: form.contains("%") | form.contains("+")
     once = url_decoded(text)
-    return F.coalesce(one(text), F.when(once != text, one(once)), one(url_decoded(once)))
+    twice = F.when(coded(once), one(url_decoded(once)))
+    return F.coalesce(one(text), F.when(coded(text), F.coalesce(one(once), twice)))
 
 
 def http_event_type(attack: Column, status: Column, request: Column, user: Column) -> Column:

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import stripped
+
 #: What ends a line: more than \n, as in str.splitlines.
 LINE_ENDS = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 HEADING, PAGE = r"(?U)^#+\s+(.+)$", r"(?U)^---\s+(Page\s+\d+)\s+---$"
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def word_list(text: Column) -> Column:
     """The words of a text: runs without (Unicode) white space."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

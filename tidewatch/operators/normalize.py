@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import times, web
-from tidewatch.functions.json_maps import first_text, inner, json_map, named
+from tidewatch.functions.json_maps import first_present, first_text, inner, json_map, named
+from tidewatch.functions.text import stripped
 from tidewatch.functions.times import found
 from tidewatch.schema import EVENT
 
@@ -26,7 +27,11 @@ SSH_MESSAGES = (
     ("connection_closed", r"Connection closed by (?:(?:authenticating|invalid) user (\S+) )?(\S+) port (\d+)", (None, 1, 2, 3)),
     ("disconnected", r"Disconnected from (?:(?:authenticating|invalid) user (\S+) )?(\S+) port (\d+)", (None, 1, 2, 3)),
 )
+# Where an sshd message starts.
+_SSHD = r"sshd(?:\[\d+\])?:\s+.*"
 _UNICODE = "(?U)"
+#: All messages as one pattern whose branches are tried in order, each at any place.
+_SSH_ANY = _UNICODE + "^(?:" + "|".join(f".*?{p}" for _, p, _ in SSH_MESSAGES) + ").*$"
 
 
 def _finish(df: DataFrame, ts: Column, fallback_ts: Column | None, ip: Column, user: Column, event_type: Column, port: Column, is_parsed: Column, method: Column | None = None) -> DataFrame:
@@ -49,17 +54,22 @@ def _finish(df: DataFrame, ts: Column, fallback_ts: Column | None, ip: Column, u
 def normalize_ssh(df: DataFrame, year: int | None = None, fallback_ts: Column | None = None) -> DataFrame:
     """sshd lines. year is that of stamps without one (default: a column `year`)."""
     raw = F.col("raw")
-    message = F.regexp_extract(raw, r"sshd(?:\[\d+\])?:\s+(.*)", 1)
-    # the message is cut out once; the patterns then read the column
-    df = df.withColumn("_ts", F.coalesce(times.iso(raw, times.ISO_AT_START), times.syslog(raw, F.lit(year) if year is not None else F.col("year")))).withColumn("_msg", message).withColumn("_sshd", raw.rlike(r"sshd(?:\[\d+\])?:\s+"))
-    msg = F.col("_msg")
-    out = F.when(F.col("_sshd"), F.struct(F.lit("unparsed_sshd").alias("event_type"), *(F.lit(None).cast("string").alias(n) for n in ("method", "user", "ip", "port")), F.lit(False).alias("ok")))
-    out = out.otherwise(F.struct(F.lit("unparsed").alias("event_type"), *(F.lit(None).cast("string").alias(n) for n in ("method", "user", "ip", "port")), F.lit(False).alias("ok")))
-    for name, pattern, groups in reversed(SSH_MESSAGES):
-        parts = [(F.lit(None).cast("string") if g is None else found(msg, _UNICODE + pattern, g)).alias(n) for n, g in zip(("method", "user", "ip", "port"), groups, strict=True)]
-        out = F.when(F.col("_sshd") & msg.rlike(_UNICODE + pattern), F.struct(F.lit(name).alias("event_type"), *parts, F.lit(True).alias("ok"))).otherwise(out)
-    df = df.withColumn("_e", out)
-    return _finish(df, F.col("_ts"), fallback_ts, F.col("_e.ip"), F.col("_e.user"), F.col("_e.event_type"), F.col("_e.port").try_cast("int"), F.col("_e.ok"), F.col("_e.method"))
+    stamp = F.coalesce(times.iso(raw, times.ISO_AT_START), times.syslog(raw, F.lit(year) if year is not None else F.col("year")))
+    df = df.withColumn("_ts", stamp).withColumn("_msg", F.regexp_extract(raw, _SSHD, 0))
+    # one search puts the groups of all messages on lines of their own; no group holds white space
+    n = sum(len([g for g in groups if g]) for _, _, groups in SSH_MESSAGES)
+    df = df.withColumn("_g", F.split(F.regexp_replace("_msg", _SSH_ANY, "\n".join(f"${g}" for g in range(1, n + 1))), "\n"))
+    kind, parts, start = [], {p: [] for p in ("method", "user", "ip", "port")}, 0
+    for name, _, groups in SSH_MESSAGES:
+        at = [F.nullif(F.get("_g", F.lit(start + g - 1)), F.lit("")) if g else None for g in groups]
+        kind.append(F.when((F.size("_g") == n) & at[3].isNotNull(), name))
+        for p, x in zip(parts, at, strict=True):
+            parts[p] += [x] if x is not None else []
+        start += len([g for g in groups if g])
+    hit = F.size("_g") == n
+    found_in = {p: F.when(hit, F.coalesce(*x)) for p, x in parts.items()}
+    event = F.coalesce(*kind, F.when(F.col("_msg") != "", "unparsed_sshd"), F.lit("unparsed"))
+    return _finish(df, F.col("_ts"), fallback_ts, found_in["ip"], found_in["user"], event, found_in["port"].try_cast("int"), hit, found_in["method"])
 
 
 # Keys of Windows records in the order in which they are tried; those with a dot are inside.
@@ -76,7 +86,7 @@ _WIN_TEXT_PORT = r"(?iuU)(?:Source\s*Port|IpPort|Port)[\s:=]+['\"]?(\d+)['\"]?"
 
 
 def _windows_time(text: Column) -> Column:
-    return F.coalesce(times.iso(text), times.first_format(F.trim(text), "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "d/MMM/yyyy:HH:mm:ss"))
+    return F.coalesce(times.iso(text), times.first_format(stripped(text), "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "d/MMM/yyyy:HH:mm:ss"))
 
 
 def _windows_type(event_id: Column) -> Column:
@@ -86,19 +96,19 @@ def _windows_type(event_id: Column) -> Column:
 def normalize_windows(df: DataFrame, year: int | None = None, fallback_ts: Column | None = None) -> DataFrame:
     """Windows security records: a JSON object in a line, else text with labelled fields."""
     text = F.col("_line")
-    df = df.withColumn("_line", F.trim("raw")).withColumn("_m", json_map(text))
+    df = df.withColumn("_line", stripped(F.col("raw"))).withColumn("_m", json_map(text))
     df = df.withColumn("_m", F.coalesce(inner(F.col("_m"), "Event"), F.col("_m")))
     df = df.withColumns({"_json": F.col("_m").isNotNull(), "System": inner(F.col("_m"), "System"), "EventData": inner(F.col("_m"), "EventData")})
     v = F.col("_m")
     df = df.withColumns({"_u": first_text(v, *_WIN_USER), "_other": named(first_text(v, "EventData.SubjectUserName", "SubjectUserName"), "-"), "_stamp": F.when(F.col("_json"), first_text(v, *_WIN_TIME, key="@SystemTime")).otherwise(text)})
-    user = named(F.when(F.trim("_u").isin("-", "", "SYSTEM", "ANONYMOUS LOGON"), F.coalesce("_other", "_u")).otherwise(F.col("_u")), "-")
-    df = df.withColumn("_id", F.when(F.col("_json"), F.trim(first_text(v, *_WIN_ID)).try_cast("long")).otherwise(found(text, _WIN_TEXT_ID).try_cast("long")))
+    user = named(F.when(stripped(F.col("_u")).isin("-", "", "SYSTEM", "ANONYMOUS LOGON"), F.coalesce("_other", "_u")).otherwise(F.col("_u")), "-")
+    df = df.withColumn("_id", F.when(F.col("_json"), stripped(first_present(v, *_WIN_ID)).try_cast("long")).otherwise(found(text, _WIN_TEXT_ID).try_cast("long")))
     hit = F.col("_id").isNotNull()
     df = df.withColumns(
         {
             "_user": F.when(F.col("_json"), user).when(hit, named(found(text, _WIN_TEXT_USER), "-", "ANONYMOUS LOGON", "SYSTEM")),
             "_ip": F.when(F.col("_json"), named(first_text(v, *_WIN_IP), "-")).when(hit, found(text, _WIN_TEXT_IP)),
-            "_port": F.when(F.col("_json"), F.trim(first_text(v, *_WIN_PORT))).when(hit, found(text, _WIN_TEXT_PORT)).try_cast("int"),
+            "_port": F.when(F.col("_json"), stripped(first_text(v, *_WIN_PORT))).when(hit, found(text, _WIN_TEXT_PORT)).try_cast("int"),
             "_ts": _windows_time(F.col("_stamp")),
         }
     )
@@ -108,27 +118,28 @@ def normalize_windows(df: DataFrame, year: int | None = None, fallback_ts: Colum
     return _finish(df, F.col("_ts"), fallback_ts, F.col("_ip"), F.col("_user"), kind, F.col("_port"), ok)
 
 
+# An access record: address, user, time, request, status.
 _ACCESS = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d{3})'
 
 
 def normalize_nginx(df: DataFrame, year: int | None = None, fallback_ts: Column | None = None, attack_rules=web.ATTACK_RULES) -> DataFrame:
     """Web access records: a JSON object in a line, else the combined or the short log format."""
     text = F.col("_line")
-    df = df.withColumn("_line", F.trim("raw")).withColumn("_m", json_map(text))
+    df = df.withColumn("_line", stripped(F.col("raw"))).withColumn("_m", json_map(text))
     df = df.withColumns({"_json": F.col("_m").isNotNull(), "_hit": text.rlike(_UNICODE + _ACCESS), "_code": first_text(F.col("_m"), "status", "status_code")})
     v = F.col("_m")
     pick = lambda a, b: F.when(F.col("_json"), a).when(F.col("_hit"), b)
     part = lambda group: F.regexp_extract(text, _UNICODE + _ACCESS, group)
     df = df.withColumns(
         {
-            "_ip": pick(F.trim(first_text(v, "remote_addr", "client_ip", "ip")), part(1)),
+            "_ip": pick(stripped(first_text(v, "remote_addr", "client_ip", "ip")), part(1)),
             "_user": pick(named(first_text(v, "remote_user", "user"), "-"), named(part(2), "-")),
             "_time": pick(first_text(v, "time_local", "time_iso8601", "timestamp"), part(3)),
             "_request": pick(F.coalesce(first_text(v, "request", "uri"), F.lit("")), part(4)),
             "_status": pick(F.coalesce(F.when(F.col("_code").rlike(r"^\d+$"), F.col("_code").try_cast("int")), F.lit(200)), part(5).try_cast("int")),
         }
     )
-    stamp = F.trim("_time")
+    stamp = stripped(F.col("_time"))
     ts = F.coalesce(times.first_format(stamp, "d/MMM/yyyy:HH:mm:ss Z", "d/MMM/yyyy:HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss"))
     df = df.withColumn("_attack", web.attack_class(F.col("_request"), attack_rules))
     ok = F.col("_json") | F.col("_hit")
@@ -136,19 +147,25 @@ def normalize_nginx(df: DataFrame, year: int | None = None, fallback_ts: Column
     return _finish(df, ts, fallback_ts, F.col("_ip"), F.col("_user"), kind, F.lit(None), ok & (F.col("_line") != ""))
 
 
+# What the text form of a cloud audit record is searched for.
+_CLOUD_TEXT, _CLOUD_USER = "ConsoleLogin|AWSCloudTrail", r"(?iuU)(?:user(?:Name)?|arn)=['\"]?([^\s,'\"]+)"
+_CLOUD_IP = r"(?i)(?:sourceIPAddress|ip)=['\"]?([0-9a-fA-F:\.]+)"
+_CLOUD_FAILED, _CLOUD_GOOD = "(?i)(Failure|failed|error|Unauthorized)", "(?i)(Success|accepted)"
+
+
 def normalize_cloudtrail(df: DataFrame, year: int | None = None, fallback_ts: Column | None = None) -> DataFrame:
     """Cloud audit records: a JSON object in a line (all records of a `Records` list, each a row), else
     text that names a console login."""
     text = F.col("_line")
-    df = df.withColumn("_line", F.trim("raw")).withColumn("_m", json_map(text))
+    df = df.withColumn("_line", stripped(F.col("raw"))).withColumn("_m", json_map(text))
     records = F.from_json(F.try_element_at("_m", F.lit("Records")), "array<map<string,string>>")
     df = df.withColumn("_m", F.explode_outer(F.coalesce(records, F.array("_m"))))
     v = F.col("_m")
     df = df.withColumns({"_json": v.isNotNull(), "userIdentity": inner(v, "userIdentity"), "responseElements": inner(v, "responseElements")})
     df = df.withColumns(
         {
-            "_name": F.lower(F.coalesce(F.trim(first_text(v, "eventName", "event_name")), F.lit(""))),
-            "_console": text.rlike("ConsoleLogin|AWSCloudTrail") & v.isNull(),
+            "_name": F.lower(F.coalesce(stripped(first_text(v, "eventName", "event_name")), F.lit(""))),
+            "_console": text.rlike(_CLOUD_TEXT) & v.isNull(),
             "_u": named(first_text(v, "userIdentity.userName", "userIdentity.principalId", "userIdentity.arn", "userName", "user"), "-", "null"),
             "_error": first_text(v, "errorMessage", "errorCode").isNotNull(),
             "_status": F.lower(F.coalesce(first_text(v, "responseElements.ConsoleLogin", "ConsoleLogin"), F.lit(""))),
@@ -159,8 +176,8 @@ def normalize_cloudtrail(df: DataFrame, year: int | None = None, fallback_ts: Co
     ip = named(first_text(v, "sourceIPAddress", "source_ip_address", "sourceIP", "ip"), "-", "AWS Internal", "null")
     df = df.withColumns(
         {
-            "_user": F.when(F.col("_json"), user).when(F.col("_console"), found(text, r"(?iuU)(?:user(?:Name)?|arn)=['\"]?([^\s,'\"]+)")),
-            "_ip": F.when(F.col("_json"), ip).when(F.col("_console"), found(text, r"(?i)(?:sourceIPAddress|ip)=['\"]?([0-9a-fA-F:\.]+)")),
+            "_user": F.when(F.col("_json"), user).when(F.col("_console"), found(text, _CLOUD_USER)),
+            "_ip": F.when(F.col("_json"), ip).when(F.col("_console"), found(text, _CLOUD_IP)),
             "_ts": times.iso(F.col("_stamp")),
         }
     )
@@ -169,7 +186,7 @@ def normalize_cloudtrail(df: DataFrame, year: int | None = None, fallback_ts: Co
         .when(F.col("_name") != "", F.concat(F.when(F.col("_error"), "failed_aws_").otherwise("aws_"), F.col("_name")))
         .otherwise("unparsed_cloudtrail")
     )
-    text_kind = F.when(text.rlike("(?i)(Failure|failed|error|Unauthorized)"), "failed_login").when(text.rlike("(?i)(Success|accepted)"), "successful_login").otherwise("aws_consolelogin")
+    text_kind = F.when(text.rlike(_CLOUD_FAILED), "failed_login").when(text.rlike(_CLOUD_GOOD), "successful_login").otherwise("aws_consolelogin")
     empty = F.col("_line") == ""
     kind = F.when(empty, "empty_line").when(F.col("_json"), json_kind).when(F.col("_console"), text_kind).otherwise("unparsed_cloudtrail")
     ok = ~empty & F.when(F.col("_json"), (F.col("_name") != "") | F.col("_user").isNotNull() | F.col("_ip").isNotNull()).otherwise(F.col("_console"))
@@ -204,9 +221,13 @@ def normalize(df: DataFrame, kind: str, **options) -> DataFrame:
 
 
 def normalize_mixed(df: DataFrame, type_col: str = "log_type", **options) -> DataFrame:
-    """Rows of several kinds, told apart by a column; rows of an unknown kind are left out."""
-    out = None
+    """Rows of several kinds, told apart by a column. Rows of a null or unknown kind come back as
+    `unknown_log_type`, not parsed; each kind reads the input, so a large one should be stored by kind."""
+    asked = F.lower(stripped(F.col(type_col)))
+    known = sorted({x for kind, names in ALIASES.items() for x in (*names, kind)})
+    rest = df.where(~F.coalesce(asked.isin(*known), F.lit(False)))
+    none = F.lit(None)
+    out = _finish(rest, none.cast("timestamp"), options.get("fallback_ts"), none, none, F.lit("unknown_log_type"), none, F.lit(False))
     for kind, names in ALIASES.items():
-        part = NORMALIZERS[kind](df.where(F.lower(F.trim(type_col)).isin(*names, kind)), **options)
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(NORMALIZERS[kind](df.where(asked.isin(*names, kind)), **options))
     return out
