@@ -59,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Rows of ids and numbers that may be broadcast.
-FEW = 10_000
+FEW = 300_000
 
 
 def few(df: DataFrame, most: int = FEW, numbers: str | None = None) -> DataFrame:
