@@ -103,6 +103,52 @@ def test_watch_lines(spark, tmp_path):
     assert [r.n_events for r in got] == [3]
 
 
+def watched(spark, folder, handler, name, **options):
+    from tidewatch.sources.files import stream_lines
+
+    lines = stream_lines(spark, str(folder / "in"), folder=str(folder / name))
+    stream.watch(lines, "ssh", handler, str(folder / name), threshold=2, window_seconds=60, available_now=True, year=2026, **options).awaitTermination(120)
+
+
+def test_arrival_clock_and_evidence(spark, tmp_path):
+    """Lines hours apart arrive together; the evidence of a breach tells of its own events."""
+    line = "Aug 10 {:02d}:00:00 server sshd[1]: Failed password for {} from 10.0.0.{} port 22 ssh2\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("".join(line.format(i, "root" if i < 2 else "bob", i) for i in range(5)))
+    chunks = spark.createDataFrame([("g", "d", "Guide", "S", "evidence log preservation", 3)], "chunk_id string, document_id string, source_title string, section_or_page string, content string, word_count int")
+    watched(spark, tmp_path, stream.write_incidents(str(tmp_path / "event")), "c1")
+    assert spark.read.parquet(str(tmp_path / "event")).count() == 0
+    watched(spark, tmp_path, stream.evidence_to(str(tmp_path / "out"), chunks, "2026-01-02 03:04:05"), "c2", clock="arrival")
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 2 and all(r.packed_ids == ["g"] and "evidence log preservation" in r.evidence and r.incident_id in r.alert for r in got)
+    assert sum('"root"' in r.evidence for r in got) == 1 and all('"total_lines": 2' in r.evidence for r in got)
+
+
+def test_files_that_were_there_before(spark, tmp_path):
+    import os
+    import time
+
+    from tidewatch.sources.files import stream_lines
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "old.txt").write_text("old\n")
+    os.utime(folder / "old.txt", (time.time() - 3600,) * 2)
+
+    def read():
+        lines = stream_lines(spark, str(folder), process_existing=False, folder=str(tmp_path / "state"))
+        query = lines.select("raw").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state" / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return sorted(r.raw for r in spark.read.schema("raw string").parquet(str(tmp_path / "out")).collect())
+
+    assert read() == []
+    (folder / "new.txt").write_text(" \u00a0new \n\n")
+    os.utime(folder / "new.txt", (time.time() + 60,) * 2)
+    assert read() == ["new"]
+    with pytest.raises(ValueError):
+        stream_lines(spark, str(folder), process_existing=False)
+
+
 def test_range_windows(spark):
     f = frame(spark, (0, 10, 20, 500))
     got = facts.repeated_failures(f, "source_ip", 3, 300).collect()

@@ -75,7 +75,13 @@ def test_embeddings(spark):
     q = spark.createDataFrame([(1, "ssh login failures"), (2, "xss and sql attack")], "query_id int, query string")
     top = retrieval.semantic_search(docs, q, k=1).orderBy("query_id").collect()
     assert [r.chunk_id for r in top] == ["ssh", "web"]
-    assert retrieval.extend_index(docs, retrieval.embed(docs.limit(1), "chunk_id", "content")).count() == 1
+    half = retrieval.indexed_vectors(docs.limit(1))
+    more = retrieval.extend_index(docs, half)
+    assert more.count() == 1
+    by_index = retrieval.semantic_search(docs, q, k=2, index=half.unionByName(more)).orderBy("query_id", "rank").collect()
+    assert by_index == retrieval.semantic_search(docs, q, k=2).orderBy("query_id", "rank").collect()
+    mine = retrieval.indexed_vectors(docs, lambda t: F.array(F.length(t).cast("double"), F.lit(0.0))).collect()
+    assert [list(r.embedding) for r in mine] == [[1.0, 0.0]] * 2
 
 
 def test_vector_search_is_exact(spark):
@@ -86,6 +92,22 @@ def test_vector_search_is_exact(spark):
     assert got == want
 
 
+def test_blocks_of_queries(spark):
+    v = spark.createDataFrame([(i, [float(i % 3), float(i % 5)]) for i in range(20)], "chunk_id int, embedding array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(12)], "query_id int, embedding array<double>")
+    one, many = (sorted(retrieval.vector_search(v, q, k=3, batch=n).collect()) for n in (100, 4))
+    assert one == many and len(one) == 36
+
+
+def test_long_texts(spark):
+    """Pieces of a long text and norms of long vectors are worked out once."""
+    long = " ".join(f"w{i}" for i in range(200_000))
+    got = spark.createDataFrame([(long,)], "t string").select(F.size(corpus.overlap_pieces(F.col("t"))).alias("n")).first()
+    assert got.n == -(-(200_000 - 400) // 350) + 1
+    v = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda i: i.cast("double")).alias("v"))
+    assert abs(v.select(F.aggregate(retrieval.normalised(F.col("v")), F.lit(0.0), lambda a, x: a + x * x).alias("s")).first().s - 1) < 1e-3
+
+
 def packed(spark, rows, *args):
     df = spark.createDataFrame([("q", i, c, d, w) for i, (c, d, w) in enumerate(rows, 1)], "query_id string, rank int, chunk_id string, document_id string, word_count int")
     return [r.chunk_id for r in retrieval.pack_context(df, *args).orderBy("rank").collect()]

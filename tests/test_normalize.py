@@ -10,13 +10,13 @@ from tidewatch.functions import web
 from tidewatch.operators import facts, normalize
 
 
-
 def events(spark, kind, *lines, **options):
     rows = [("log", i, x) for i, x in enumerate(lines, 1)]
     df = normalize.normalize(spark.createDataFrame(rows, "source_id string, line_no long, raw string"), kind, fallback_ts=F.lit("2000-01-01 00:00:00").cast("timestamp"), **options)
     return df.orderBy("line_no", "user").collect()
 
 
+# Records and what they mean.
 SSH = [
     ("Aug 10 14:12:05 server sshd[123]: Accepted password for admin from 192.168.1.100 port 55432 ssh2", "successful_login", "admin", "192.168.1.100", 55432, True),
     ("Nov  1 12:00:00 server sshd[456]: Failed password for root from 2001:db8::1 port 22 ssh2", "failed_login", "root", "2001:db8::1", 22, True),
@@ -58,6 +58,7 @@ def test_demo_log_facts(spark):
     assert [x.ip for x in nested] == ["192.168.1.100", "10.0.0.50", "192.168.1.105"]
 
 
+# Records and what they mean.
 WINDOWS = [
     ('{"EventID":4625,"TimeCreated":"2026-08-14T10:15:30Z","TargetUserName":"Administrator","IpAddress":"192.168.1.55","IpPort":51234}', "failed_login", "Administrator", "192.168.1.55", 51234, True),
     ('{"EventID":4624,"TimeCreated":"2026-08-14T10:15:30Z","TargetUserName":"alice","IpAddress":"10.0.0.99"}', "successful_login", "alice", "10.0.0.99", None, True),
@@ -84,6 +85,27 @@ def test_windows_records(spark):
     assert got[0].ts.hour == 10 and got[2].ts == dt.datetime(2026, 8, 14, 11) and got[5].ts.hour == 12
 
 
+def test_white_space_and_first_keys(spark):
+    """White space of any kind is stripped, and the first event id that is there counts, whatever it is."""
+    lines = ['{"EventID":4625,"IpAddress":"1.1.1.1"}\t', "\t\u00a0", '{"EventID":0,"EventId":4625}', '{"EventID":null,"EventId":4625,"user":" eve\u2003"}', '\x1f{"System":{"EventID":{"Value":" 7 "}}}']
+    got = events(spark, "win", *lines)
+    assert [(r.event_type, r.is_parsed, r.user) for r in got] == [("failed_login", True, None), ("empty_line", False, None), ("windows_event_0", True, None), ("unparsed_windows", True, "eve"), ("windows_event_7", True, None)]
+    assert [r.event_type for r in events(spark, "waf", "\t") + events(spark, "aws", "\x0b")] == ["empty_line"] * 2
+
+
+def test_message_order(spark):
+    """The first message of the list wins, wherever in the line it stands."""
+    line = "Aug 10 14:12:05 h sshd[1]: Invalid user a from 1.1.1.1 port 2; Accepted password for b from 2.2.2.2 port 3 ssh2"
+    got = events(spark, "ssh", line, "Aug 10 14:12:05 h sshd: Failed password for\x01x from 1.1.1.1 port 5", "Aug 10 14:12:05 h sshd[9]: Failed password for \x01x from 1.1.1.1 port 5", year=2026)
+    assert [(r.event_type, r.user, r.port) for r in got] == [("successful_login", "b", 3), ("unparsed_sshd", None, None), ("failed_login", "\x01x", 5)]
+
+
+def test_mixed_kinds(spark):
+    rows = [("l", 1, SSH[0][0], " SSHD "), ("l", 2, "x", "dns"), ("l", 3, "y", None), ("l", 4, "", "waf")]
+    got = normalize.normalize_mixed(spark.createDataFrame(rows, "source_id string, line_no long, raw string, log_type string"), year=2026).orderBy("line_no").collect()
+    assert [(r.event_type, r.is_parsed) for r in got] == [("successful_login", True), ("unknown_log_type", False), ("unknown_log_type", False), ("empty_line", False)]
+
+
 def test_windows_times(spark):
     stamps = {"8/4/2026 9:05:06": 9, "8/4/2026 9:05:06 PM": 21, "4/Aug/2026:07:08:09": 7}
     got = events(spark, "windows", *(json.dumps({"EventID": 1, "TimeCreated": s}) for s in stamps))
@@ -94,6 +116,7 @@ def access(request, status, user="-"):
     return f'192.168.1.10 - {user} [14/Aug/2026:12:00:00 +0000] "{request}" {status} 45 "-" "agent"'
 
 
+# Records and what they mean.
 NGINX = [
     (access("GET /dashboard HTTP/1.1", 200, "alice"), "successful_request"),
     (access("GET /products.php?id=1%27%20UNION%20SELECT%20null,username,password%20FROM%20users-- HTTP/1.1", 200), "sqli_attempt"),
@@ -128,6 +151,7 @@ def test_url_decoding(spark):
     assert [r[0] for r in got] == list(cases.values())
 
 
+# Records and what they mean.
 CLOUD = [
     ({"eventTime": "2026-08-14T14:00:00Z", "eventName": "ConsoleLogin", "sourceIPAddress": "203.0.113.88", "errorMessage": "x", "userIdentity": {"userName": "secadmin"}, "responseElements": {"ConsoleLogin": "Failure"}}, "failed_login", "secadmin"),
     ({"eventName": "ConsoleLogin", "userIdentity": {"userName": "validuser"}, "responseElements": {"ConsoleLogin": "Success"}}, "successful_login", "validuser"),

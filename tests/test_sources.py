@@ -51,7 +51,7 @@ def test_admission(spark, tmp_path):
     name = F.element_at(F.split("path", "/"), -1)
     assert [r[0] for r in good.select(name).collect()] == ["good.log"]
     got = {r[0]: r[1] for r in bad.select(name, "rejected_reason").collect()}
-    assert got == {"bad.exe": "extension", "null.txt": "null_byte", "latin.txt": "encoding", "gz.log": "archive", "big.log": "size", "z.txt": "archive"}
+    assert got == {"empty.txt": "empty", "bad.exe": "extension", "null.txt": "null_byte", "latin.txt": "encoding", "gz.log": "archive", "big.log": "size", "z.txt": "archive"}
     assert "content" not in bad.columns
     open_, closed = files.admit(files.read_files(spark, str(tmp_path / "gz.log")), files.LOG_FILES)
     assert open_.count() == 1 and closed.count() == 0

@@ -1,7 +1,9 @@
-"""White space as Python's str.strip knows it."""
+"""White space as Python's str.strip knows it, and values that are worked out once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,3 +12,8 @@ WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row however often it is used, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)

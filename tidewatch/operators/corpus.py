@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import stripped
+from tidewatch.functions.text import let, stripped
 
 #: What ends a line: more than \n, as in str.splitlines.
 LINE_ENDS = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+# Lines that start a section.
 HEADING, PAGE = r"(?U)^#+\s+(.+)$", r"(?U)^---\s+(Page\s+\d+)\s+---$"
 
 
@@ -46,11 +47,14 @@ def overlap_pieces(text: Column, max_words: int = 400, overlap: int = 50) -> Col
     if not 0 <= overlap < max_words:
         raise ValueError("overlap must be at least 0 and below max_words")
     step = max_words - overlap
-    words = word_list(text)
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), F.ceil((n - max_words) / F.lit(step)).cast("int"))
-    pieces = F.transform(starts, lambda k: F.array_join(F.slice(words, k * step + 1, max_words), " "))
-    return F.when(n <= max_words, F.array(text)).otherwise(pieces)
+
+    def pieces(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.sequence(F.lit(0), F.ceil((n - max_words) / F.lit(step)).cast("int"))
+        parts = F.transform(starts, lambda k: F.array_join(F.slice(words, k * step + 1, max_words), " "))
+        return F.when(n <= max_words, F.array(text)).otherwise(parts)
+
+    return let(word_list(text), pieces)
 
 
 def sections(documents: DataFrame, doc: str = "document_id", content: str = "content", most_carried: int = 15) -> DataFrame:

@@ -43,7 +43,3 @@ def is_failure_stream(event_type: Column, is_parsed: Column) -> Column:
 
 def is_privileged(user: Column) -> Column:
     return F.lower(user).isin(*PRIVILEGED)
-
-
-def scores_at_least(score: Column, least: float) -> Column:
-    return score >= least

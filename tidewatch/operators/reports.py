@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import let, stripped
 from tidewatch.schema import ASSESSMENT
 
+_TEXTS, _LISTS = ("summary", "risk_level", "risk_reasoning"), ("possible_interpretations", "recommended_actions", "citations")
 RISKS = ("low", "medium", "high")
 FAILED_LIMITATION = "Failed to produce valid model assessment."
 
@@ -22,28 +24,74 @@ def evidence(facts_json: Column, chunks: Column) -> Column:
     )
 
 
+def _text_json(value: Column) -> Column:
+    """A string, number or null as JSON."""
+    return F.coalesce(F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit("null"))
+
+
+def _or_null(value: Column) -> Column:
+    return F.when(value.isNull(), "null").otherwise(_text_json(value))
+
+
+def _items_json(items: Column, indent: str) -> Column:
+    """Pieces of JSON as an array, one a line."""
+    line = F.concat(F.lit("[\n" + indent + "  "), F.array_join(items, ",\n" + indent + "  "), F.lit("\n" + indent + "]"))
+    return F.when(F.size(items) > 0, line).otherwise("[]")
+
+
+def _fields_json(fields: list[tuple[str, Column]], indent: str) -> Column:
+    """Names and pieces of JSON as an object, one a line."""
+    parts = [F.concat(F.lit(f'{indent}  "{n}": '), c) for n, c in fields]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *parts), F.lit(f"\n{indent}}}"))
+
+
+def _stamp_json(ts: Column) -> Column:
+    """A time in UTC, with a fraction only if it has one."""
+    text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.when(ts.isNull(), "null").otherwise(F.concat(F.lit('"'), F.regexp_replace(text, r"\.000000$", ""), F.lit('Z"')))
+
+
+def analysis_json(a: Column) -> Column:
+    """The facts of a log (total_lines, unparsed_lines, start_time, end_time, ip_aggregations,
+    limitations) as JSON with an indent of two; the session's time zone is UTC."""
+    texts = lambda values, indent: _items_json(F.transform(values, _text_json), indent)
+
+    def address(x: Column) -> Column:
+        fields = [("ip", _or_null(x.ip)), ("failed_attempts", _or_null(x.failed_attempts)), ("successful_attempts", _or_null(x.successful_attempts))]
+        fields += [("first_seen", _stamp_json(x.first_seen)), ("last_seen", _stamp_json(x.last_seen)), ("users_attempted", texts(x.users_attempted, "      "))]
+        return _fields_json(fields, "    ")
+
+    none = F.expr("cast(array() as array<string>)")
+    fields = [("total_lines", _or_null(a.total_lines)), ("unparsed_lines", _or_null(a.unparsed_lines)), ("start_time", _stamp_json(a.start_time)), ("end_time", _stamp_json(a.end_time))]
+    fields += [("ip_aggregations", _items_json(F.coalesce(F.transform(a.ip_aggregations, address), none), "  ")), ("limitations", texts(F.coalesce(a.limitations, none), "  "))]
+    return _fields_json(fields, "")
+
+
 def strip_reasoning(content: Column) -> Column:
     """Without thinking blocks and without a code fence around what is left."""
     x = F.regexp_replace(content, "(?is)<think>.*?</think>", "")
     x = F.when(x.startswith("```json"), F.substring(x, 8, 1 << 30)).otherwise(x)
     x = F.when(x.startswith("```"), F.substring(x, 4, 1 << 30)).otherwise(x)
     x = F.when(x.endswith("```"), x.substr(F.lit(1), F.length(x) - 3)).otherwise(x)
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return stripped(x)
 
 
 def parse_assessment(clean: Column) -> Column:
     """The assessment as a struct, or null unless every field is there with its type and the risk level
     is known. from_json alone would turn numbers into strings, so types are tested first."""
-    v = F.try_parse_json(clean)
-    at = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
-    ok = F.lit(True)
-    for name in ("summary", "risk_level", "risk_reasoning"):
-        ok = ok & (at(name) == "STRING")
-    for name in ("possible_interpretations", "recommended_actions", "citations"):
-        ok = ok & at(name).isin("ARRAY<STRING>", "ARRAY<VOID>")
-    whole = F.from_json(clean, ASSESSMENT)
-    no_nulls = ~F.exists(F.concat(whole.possible_interpretations, whole.recommended_actions, whole.citations), lambda x: x.isNull())
-    return F.when(F.coalesce(ok & whole.risk_level.isin(*RISKS) & no_nulls, F.lit(False)), whole)
+    kinds = lambda v: F.struct(*(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")).alias(f) for f in (*_TEXTS, *_LISTS)))
+
+    def checked(of: Column) -> Column:
+        types, whole = of.types, of.whole
+        ok = whole.risk_level.isin(*RISKS)
+        for name in _TEXTS:
+            ok = ok & (types[name] == "STRING")
+        for name in _LISTS:
+            ok = ok & types[name].isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(whole[name], lambda x: x.isNull())
+        return F.when(F.coalesce(ok, F.lit(False)), whole)
+
+    parsed = let(F.try_parse_json(clean), kinds)
+    return let(F.struct(parsed.alias("types"), F.from_json(clean, ASSESSMENT).alias("whole")), checked)
 
 
 def invalid_citations(citations: Column, known: Column) -> Column:
@@ -117,7 +165,7 @@ def shown_citations(reports: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def syslog_priority(risk: Column) -> Column:
     """Facility 4: 34, 36 and 38 for high, medium and low, else 37."""
-    r = F.upper(F.trim(risk))
+    r = F.upper(stripped(risk))
     return 32 + F.when(r == "HIGH", 2).when(r == "MEDIUM", 4).when(r == "LOW", 6).otherwise(5)
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import let
+from tidewatch.sources import scratch
+
 DIMENSIONS = 384
-#: Queries that are sent to every task at most, in one join; more are compared by a shuffled join.
+#: Queries that are sent to every task at once.
 MOST_BROADCAST = 10_000
 
 
@@ -26,14 +29,6 @@ def inverse_frequencies(tf: DataFrame, n_chunks: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n_chunks)).select("term", (F.log(F.col("n") / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(weights(key, term, w), idf(term, idf), norms(key, norm)) of a corpus."""
-    tf = term_frequencies(chunks, key, text)
-    idf = inverse_frequencies(tf, chunks.agg(F.count("*").alias("n")))
-    weights = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    return weights, idf, weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
-
 def top_k(scored: DataFrame, query: str, score: str, k: int, *ties: str) -> DataFrame:
     """The k best rows of each query with rank from 1."""
     order = Window.partitionBy(query).orderBy(F.desc(score), *ties)
@@ -42,11 +37,19 @@ def top_k(scored: DataFrame, query: str, score: str, k: int, *ties: str) -> Data
 
 def tfidf_search(chunks: DataFrame, queries: DataFrame, k: int = 5, min_score: float = 0.05, key: str = "chunk_id", text: str = "content", digits: int | None = None) -> DataFrame:
     """(query_id, chunk, score, rank) for queries(query_id, query). Terms unknown to the corpus count in
-    a query's largest count only. Equal scores go by chunk."""
-    weights, idf, norms = build_index(chunks, key, text)
-    q = term_frequencies(queries, "query_id", "query").join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    a query's largest count only. Equal scores go by chunk.
+
+    The term frequencies of the corpus, the one costly step, are written once in the shared folder and
+    read by what follows; only terms that some query has are joined to queries."""
+    path = scratch.new_path(chunks.sparkSession, "terms")
+    term_frequencies(chunks, key, text).write.parquet(path)
+    tf = chunks.sparkSession.read.parquet(path)
+    idf = inverse_frequencies(tf, chunks.agg(F.count("*").alias("n")))
+    weights = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    q = term_frequencies(queries, "query_id", "query").join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("qw"), "idf")
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = weights.join(q, "term").groupBy("query_id", key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    dots = tf.join(q, "term").groupBy("query_id", key).agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("dot"))
     score = F.col("dot") / (F.col("qnorm") * F.col("norm"))
     scored = dots.join(norms, key).join(qn, "query_id").where("norm <> 0 and qnorm <> 0").select("query_id", key, (F.round(score, digits) if digits else score).alias("score"))
     return top_k(scored.where(F.col("score") >= min_score), "query_id", "score", k, key)
@@ -84,7 +87,7 @@ def embed(table: DataFrame, key: str, text: str, embedder=None, dimensions: int
 
 def normalised(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+    return let(norm, lambda n: F.transform(vector, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float")))
 
 
 def index_text(title: Column, section: Column, content: Column) -> Column:
@@ -96,29 +99,41 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float | None = None, key: str = "chunk_id", vector: str = "embedding", digits: int | None = None) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float | None = None, key: str = "chunk_id", vector: str = "embedding", digits: int | None = None, batch: int = MOST_BROADCAST) -> DataFrame:
     """(query_id, key, score, rank): exact inner products of queries(query_id, embedding), a stated set,
-    with all vectors. Each task reads its part of the vectors once and keeps its k best for each query
-    before the shuffle, so what moves is k rows for each query and task."""
+    with all vectors. Queries are dealt into blocks of `batch` rows or a little more; a task compares one
+    block with its part of the vectors and keeps its k best for each query before the shuffle, so what
+    moves is k rows for each query and task. Each block is broadcast and reads the vectors once."""
     q = queries.select("query_id", F.col("embedding").alias("_q"))
-    q = F.broadcast(q) if q.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else q
+    blocks = -(-q.agg(F.count("*")).first()[0] // batch)
+    part = lambda i: q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q
+    both = vectors.crossJoin(F.broadcast(part(0)))
+    for i in range(1, blocks):
+        both = both.unionByName(vectors.crossJoin(F.broadcast(part(i))))
     score = inner_product(F.col(vector), F.col("_q"))
-    scored = vectors.crossJoin(q).select("query_id", key, (F.round(score, digits) if digits else score).alias("score"))
+    scored = both.select("query_id", key, (F.round(score, digits) if digits else score).alias("score"))
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
     return top_k(scored, "query_id", "score", k, key)
 
 
-def semantic_search(chunks: DataFrame, queries: DataFrame, k: int = 5, min_score: float = 0.0) -> DataFrame:
-    """The k nearest chunks of queries(query_id, query) with their columns, score and rank."""
-    indexed = chunks.withColumn("_t", index_text(F.col("source_title"), F.col("section_or_page"), F.col("content")))
-    found = vector_search(embed(indexed, "chunk_id", "_t"), embed(queries, "query_id", "query"), k, min_score)
+def indexed_vectors(chunks: DataFrame, embedder=None) -> DataFrame:
+    """(chunk_id, embedding) of what is embedded of chunks(chunk_id, source_title, section_or_page, content)."""
+    text = index_text(F.col("source_title"), F.col("section_or_page"), F.col("content"))
+    return embed(chunks.select("chunk_id", text.alias("_t")), "chunk_id", "_t", embedder)
+
+
+def semantic_search(chunks: DataFrame, queries: DataFrame, k: int = 5, min_score: float = 0.0, index: DataFrame | None = None, embedder=None, digits: int | None = None) -> DataFrame:
+    """The k nearest chunks of queries(query_id, query) with their columns, score and rank; index is what
+    indexed_vectors() gave for the chunks and may be a stored table."""
+    asked = embed(queries, "query_id", "query", embedder)
+    found = vector_search(indexed_vectors(chunks, embedder) if index is None else index, asked, k, min_score, digits=digits)
     return found.join(chunks, "chunk_id")
 
 
-def extend_index(chunks: DataFrame, index: DataFrame) -> DataFrame:
+def extend_index(chunks: DataFrame, index: DataFrame, embedder=None) -> DataFrame:
     """(chunk_id, embedding) of the chunks that the index lacks: what a new ingest has to append."""
-    return embed(chunks.join(index.select("chunk_id"), "chunk_id", "left_anti"), "chunk_id", "content")
+    return indexed_vectors(chunks.join(index.select("chunk_id"), "chunk_id", "left_anti"), embedder)
 
 
 def pack_context(retrieved: DataFrame, max_words: int = 1500, per_document: int = 2) -> DataFrame:

@@ -29,10 +29,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from tidewatch.plans import file_queries  # noqa: F401 - it registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidewatch.plans import file_queries  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -196,7 +200,23 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.table(spark, sf_dir, "documents").select("doc_id", F.sha2(corpus.clean_text(F.col("text")), 256).alias("clean_sha256"))
 
 
-@query()
+_HEADINGS = r"""with recursive d as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case when (i - 1) % 10 = 0 then '# Part ' || (i - 1) || chr(10) || x else x end), chr(10)) as t from documents),
+    r as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as n from d),
+    m as (select *, nullif(coalesce(nullif(regexp_extract(line, '^#+\s+(.+)$', 1), ''), regexp_extract(line, '^---\s+(Page\s+\d+)\s+---$', 1)), '') as mark from r),
+    l as (select *, count(mark) over (partition by doc_id order by n) as b, len(list_filter(string_split_regex(line, '\s+'), lambda x: x <> '')) as words from m where mark is not null or trim(line) <> ''),
+    k as (select doc_id, b, any_value(mark) as mark, sum(words) as words, string_agg(line, chr(10) order by n) as text, row_number() over (partition by doc_id order by b) as r from l group by doc_id, b),
+    f(doc_id, r, section_no, words, name) as (select doc_id, r, 0, words, coalesce(mark, 'General') from k where r = 1 union all
+        select k.doc_id, k.r, section_no + (full_)::int, case when full_ then k.words else f_words + k.words end, coalesce(k.mark, name)
+        from (select k.*, f.section_no, f.words as f_words, f.name, f.words > 15 and k.mark is not null as full_ from f join k on k.doc_id = f.doc_id and k.r = f.r + 1) k),
+    s as (select doc_id, section_no, arg_max(name, r) as section, string_agg(text, chr(10) order by r) as text from f join k using (doc_id, r) group by 1, 2),
+    w as (select *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from s),
+    p as (select *, unnest(range(0, greatest(ceil((len(w) - 400) / 350.0)::bigint, 0) + 1)) as piece from w where len(w) > 0),
+    c as (select doc_id, section, section_no, piece, case when len(w) <= 400 then text else array_to_string(w[piece * 350 + 1 : piece * 350 + 400], ' ') end as content, case when len(w) <= 400 then len(w) else least(400, len(w) - piece * 350) end::int as word_count from p),
+    i as (select *, (row_number() over (partition by doc_id order by section_no, piece) - 1)::int as chunk_index from c)
+    select 'doc_' || doc_id || '_chk_' || chunk_index || '_' || sha256(content)[1:8] as chunk_id, 'doc_' || doc_id as document_id, section as section_or_page, word_count, chunk_index from i"""
+
+
+@query(_HEADINGS)
 def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a heading put before each tenth line."""
     d = render.table(spark, sf_dir, "documents")
@@ -214,31 +234,23 @@ def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.document_sizes(corpus.chunk_documents(rows))
 
 
-_TOK = r"list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
-_ASCII = "regexp_replace({0}, '[^\\x00-\\x7f]', ' ', 'g')"
-
-
-def _ascii(column: str):
-    """Only ASCII letters, so that a plain split finds the same tokens in any engine."""
-    return F.regexp_replace(column, r"[^\x00-\x5e\x60-\x7f]", " ")
+#: The tokens of {0}: words in any script, of which those stay that are a-z and 0-9 alone.
+_TOK = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]+'))"
 
 
 def _search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), _ascii("text").alias("content"))
+    return render.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
 def _search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = render.table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(_ascii("text"), " "), 1, 12), " ").alias("query"))
+    return render.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_TFIDF = r"""d as (select doc_id, regexp_replace(text, '[^\x00-\x5e\x60-\x7f]', ' ', 'g') as t from documents),
-    q as (select item_id, array_to_string((string_split(regexp_replace(text, '[^\x00-\x5e\x60-\x7f]', ' ', 'g'), ' '))[1:12], ' ') as t from benchmark),
-    dt as (select doc_id, term, n / max(n) over (partition by doc_id) as tf from (select doc_id, term, count(*) as n from (select doc_id, unnest(list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: x <> '')) as term from d) group by 1, 2)),
+_TFIDF = rf"""dt as (select doc_id, term, n / max(n) over (partition by doc_id) as tf from (select doc_id, term, count(*) as n from (select doc_id, unnest({_TOK.format('text')}) as term from documents) group by 1, 2)),
     idf as (select term, ln((select count(*) from documents) / (1 + count(*))) + 1 as idf from dt group by 1),
     dw as (select doc_id, term, tf * idf as w from dt join idf using (term)),
     dn as (select doc_id, sqrt(sum(w * w)) as norm from dw group by 1),
-    qt as (select item_id, term, n / max(n) over (partition by item_id) as tf from (select item_id, term, count(*) as n from (select item_id, unnest(list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: x <> '')) as term from q) group by 1, 2)),
+    qt as (select item_id, term, n / max(n) over (partition by item_id) as tf from (select item_id, term, count(*) as n from (select item_id, unnest({_TOK.format('text')}) as term from benchmark) group by 1, 2)),
     qw as (select item_id, term, tf * idf as w from qt join idf using (term)),
     qn as (select item_id, sqrt(sum(w * w)) as norm from qw group by 1),
     sc as (select item_id, doc_id, round(sum(qw.w * dw.w) / any_value(qn.norm) / any_value(dn.norm), 6) as score from qw join dw using (term) join dn using (doc_id) join qn using (item_id) group by 1, 2),
@@ -263,11 +275,16 @@ def packed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.pack_context(top.select("query_id", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), doc.alias("document_id"), words.alias("word_count")))
 
 
-@query(r"""with t as (select doc_id, unnest(list_filter(string_split_regex(lower(regexp_replace(text, '[^\x00-\x5e\x60-\x7f]', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> '')) as w from documents),
-    f as (select doc_id, w as f, 5 as x from t union all select doc_id, w[1:3], 4 from t where length(w) >= 4 union all select doc_id, w[1:4], 3 from t where length(w) >= 4 union all
-        select doc_id, null, 5 from documents where doc_id not in (select doc_id from t)),
-    s as (select doc_id, coalesce(('0x' || md5(f)[1:8])::bigint % 384, 0)::int as bucket, sum(x) / 5 as w from f group by 1, 2)
-    select doc_id, bucket, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as w from s""")
+def _hashed(key: str, text: str, table: str) -> str:
+    """SQL for (key, bucket, w): the hashed unit vectors of a column."""
+    return rf"""select {key}, bucket, w / sqrt(sum(w * w) over (partition by {key})) as w from (select {key}, coalesce(('0x' || md5(f)[1:8])::bigint % 384, 0)::int as bucket, sum(x) / 5 as w from (
+        select {key}, t as f, 5 as x from (select {key}, unnest(tok) as t from (select {key}, {_TOK.format(text)} as tok from {table})) union all
+        select {key}, t[1:3], 4 from (select {key}, unnest(tok) as t from (select {key}, {_TOK.format(text)} as tok from {table})) where length(t) >= 4 union all
+        select {key}, t[1:4], 3 from (select {key}, unnest(tok) as t from (select {key}, {_TOK.format(text)} as tok from {table})) where length(t) >= 4 union all
+        select {key}, null, 5 from {table} where len({_TOK.format(text)}) = 0) group by 1, 2)"""
+
+
+@query(f"select doc_id, bucket, round(w, 6) as w from ({_hashed('doc_id', 'text', 'documents')})")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = retrieval.hashed_features(_search_docs(spark, sf_dir).withColumnRenamed("chunk_id", "doc_id"), "doc_id", "content")
     return got.withColumn("w", F.round("w", 6))
@@ -282,23 +299,30 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector_search(v, q, digits=5)
 
 
-@query()
+SEMANTIC = f"""with d as (select doc_id, bucket, w::float::double as w from ({_hashed('doc_id', "source || ' ' || lang || chr(10) || text", 'documents')})),
+    q as (select item_id, bucket, w::float::double as w from ({_hashed('item_id', 'text', 'benchmark')})),
+    s as (select item_id as query_id, 'c' || doc_id as chunk_id, round(sum(d.w * q.w), 4) as score from d join q using (bucket) group by 1, 2)
+    select * from (select query_id, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank, chunk_id, score from s) where rank <= 5"""
+
+
+@query(SEMANTIC)
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = render.table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("source_title"), F.col("lang").alias("section_or_page"), F.col("text").alias("content"))
     q = render.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.semantic_search(d, q).select("query_id", "rank", "chunk_id", F.round("score", 5).alias("score"))
+    return retrieval.semantic_search(d, q, digits=4).select("query_id", "rank", "chunk_id", "score")
 
 
-@query("""with r as (select item_id as query_id, n as rank, 'c' || ((item_id * 7 + n * n) % 10) as chunk_id, n % 3 as document_id from benchmark, range(1, 6) t(n)),
-    w as (select item_id as query_id, 'c' || n as chunk_id from benchmark, range(0, 4) t(n)),
-    h as (select r.query_id, count(w.chunk_id) as h, min(case when w.chunk_id is not null then rank end) as first, count(distinct document_id) as n_sources from r left join w using (query_id, chunk_id) group by 1)
-    select query_id, round(h / 4, 6) as recall_at_k, round(h / 5, 6) as precision_at_k, round(coalesce(1 / first, 0), 6) as reciprocal_rank, n_sources from h""")
+@query(f"""with {_TFIDF}, r as (select query_id, rank, chunk_id, chunk_id % 3 as document_id from top where rank <= 5),
+    w as (select b.item_id as query_id, d.doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text)),
+    h as (select query_id, count(w.chunk_id) as h, min(case when w.chunk_id is not null then rank end) as first, count(distinct document_id) as n_sources from r left join w using (query_id, chunk_id) group by 1),
+    n as (select query_id, count(distinct chunk_id) as total from w group by 1)
+    select query_id, round(coalesce(h, 0) / total, 6) as recall_at_k, round(coalesce(h, 0) / 5, 6) as precision_at_k, round(coalesce(1 / first, 0), 6) as reciprocal_rank, coalesce(n_sources, 0) as n_sources from n left join h using (query_id)""")
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = render.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    n = b.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    ranked = n.select("query_id", "rank", F.concat(F.lit("c"), ((F.col("query_id") * 7 + F.col("rank") * F.col("rank")) % 10).cast("string")).alias("chunk_id"), (F.col("rank") % 3).alias("document_id"))
-    relevant = b.withColumn("chunk_id", F.explode(F.array(*(F.lit(f"c{i}") for i in range(4)))))
-    q = retrieval.retrieval_quality(ranked.groupBy("query_id", "chunk_id", "document_id", "rank").agg(F.lit(1).alias("one")), relevant)
+    """The results of the TF-IDF search against the documents that hold the benchmark's passage."""
+    docs, asked = _search_docs(spark, sf_dir), _search_queries(spark, sf_dir)
+    ranked = retrieval.tfidf_search(docs, asked, digits=6).withColumn("document_id", F.col("chunk_id") % 3)
+    relevant = docs.join(F.broadcast(asked), F.contains("content", "query")).select("query_id", "chunk_id")
+    q = retrieval.retrieval_quality(ranked, relevant)
     return q.select("query_id", "n_sources", *(F.round(c, 6).alias(c) for c in ("recall_at_k", "precision_at_k", "reciprocal_rank")))
 
 
@@ -338,11 +362,12 @@ def shown_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select 'inc_' || doc_id as incident_id, '<' || (32 + case when not ok then 5 when risk = 'high' then 2 when risk = 'medium' then 4 else 6 end) || '>1 2026-01-02T03:04:05.000000Z localhost tidewatch inc_' || doc_id || ' INCIDENT_REPORT [tidewatch@53457 incident_id="inc_' || doc_id || '" risk_level="'
-    || case when ok then upper(risk) else 'UNKNOWN' end || '" status="' || case when ok then 'completed' else 'invalid_model_output' end || '"]' as head from ({_RESOLVED})""")
+    || case when ok then upper(risk) else 'UNKNOWN' end || '" status="' || case when ok then 'completed' else 'invalid_model_output' end || '"] ' || chr(65279) || '{{"incident_id":"inc_' || doc_id || '","status":"' || case when ok then 'completed' else 'invalid_model_output' end
+    || '","risk_level":"' || case when ok then risk else 'unknown' end || '","citations":[' || case when ok then '"c1"' else '' end || ']}}' as line from ({_RESOLVED})""")
 def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _reports(spark, sf_dir)
-    line = reports.syslog_line(F.struct(*r.columns), F.col("incident_id"), F.col("risk_level"), F.col("status"), F.lit("2026-01-02 03:04:05").cast("timestamp"))
-    return r.select("incident_id", F.substring_index(line, " ﻿", 1).alias("head"))
+    line = reports.syslog_line(F.struct("incident_id", "status", "risk_level", "citations"), F.col("incident_id"), F.col("risk_level"), F.col("status"), F.lit("2026-01-02 03:04:05").cast("timestamp"))
+    return r.select("incident_id", line.alias("line"))
 
 
 @query(f"""select 'inc_' || doc_id as incident_id, case when ok and risk = 'high' then 'High' else 'Medium' end as priority, case when not ok then '3' when risk = 'high' then '1' when risk = 'medium' then '2' else '3' end as urgency,
@@ -422,10 +447,15 @@ def eligible_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.eligible_profiles(p.withColumns(one | {"unsupported_findings": F.lit(0)})).select("profile", "place")
 
 
-@query("select doc_id, doc_id % 4 = 1 or doc_id % 4 = 2 as prohibited from documents")
+_SAID = "case doc_id % 4 when 1 then ' It is definitely an intrusion.' when 2 then ' Automatically block the host.' when 0 then ' This may be a scan.' else '' end"
+
+
+@query(f"select doc_id, regexp_matches(text || {_SAID}, '{scoring.PROHIBITED.replace('(?iU)', '(?i)')}') as prohibited from documents")
 def prohibited_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.element_at(F.array(*map(F.lit, ("This may be a scan.", "It is definitely an intrusion.", "Automatically block the host.", "Consider a review."))), (F.col("doc_id") % 4 + 1).cast("int"))
-    d = render.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.regexp_replace("source", "[^a-z]", ""), F.lit(". "), said).alias("text"))
+    """Whole documents, some with a sentence at their end."""
+    k = F.col("doc_id") % 4
+    said = F.when(k == 1, " It is definitely an intrusion.").when(k == 2, " Automatically block the host.").when(k == 0, " This may be a scan.").otherwise("")
+    d = render.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", said).alias("text"))
     return d.select("doc_id", scoring.prohibited_language(F.col("text")).alias("prohibited"))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import stripped
 from tidewatch.schema import BENCHMARK_CASE
 
 MIB = 1 << 20
@@ -14,26 +16,46 @@ MIB = 1 << 20
 
 def log_lines(spark: SparkSession, path: str | list[str], numbered: bool = True) -> DataFrame:
     """(source_id, line_no, raw): each line of text files, stripped, blank lines kept, invalid UTF-8
-    replaced. line_no (from 1) follows the order in the file; without `numbered` it is only an order
-    within each task's part and costs no shuffle."""
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source_id"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
-        F.trim(F.regexp_replace(F.make_valid_utf8("value"), r"^\s+|\s+$", "")).alias("raw"),
-    )
+    replaced. line_no (from 1) follows the order in the file: a line's place in its block of the file,
+    and the lines of the blocks before, which one more scan counts. Without `numbered` it is only an
+    order within each task's part and costs no shuffle."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    raw = read.select("source_id", "_block", "_id", stripped(F.make_valid_utf8("value")).alias("raw"))
     if not numbered:
         return raw.select("source_id", F.col("_id").alias("line_no"), "raw")
-    n = F.row_number().over(Window.partitionBy("source_id").orderBy("_block", "_id")).cast("long")
-    return raw.select("source_id", n.alias("line_no"), "raw")
-
-
-def stream_lines(spark: SparkSession, path: str, process_existing: bool = True) -> DataFrame:
+    blocks = read.groupBy("source_id", "_block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("source_id", "_block", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("source_id", "_block").orderBy("_id"))
+    return raw.withColumn("_n", place).join(blocks, ["source_id", "_block"]).select("source_id", (F.col("before") + F.col("_n")).alias("line_no"), "raw")
+
+
+def started_at(spark: SparkSession, folder: str) -> str:
+    """When a stream was started first, UTC: kept in a file of the folder, so a restart with the same
+    folder goes on from there."""
+    path = f"{folder.rstrip('/')}/first-start"
+    try:
+        return spark.read.text(path).first().value
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    now = spark.range(1).select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("value"))
+    now.coalesce(1).write.text(path)
+    return spark.read.text(path).first().value
+
+
+def stream_lines(spark: SparkSession, path: str, process_existing: bool = True, folder: str | None = None) -> DataFrame:
     """The lines of files that land in a folder, blank ones dropped. line_no is the place of
     the lines' file block; lines of one block with equal times are in no order. A file is read once,
-    when it has landed, the oldest first, or the newest first without `process_existing`."""
-    r = spark.readStream.format("text").schema("value string").option("latestFirst", not process_existing)
-    raw = r.load(path).select(F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("line_no"), F.trim("value").alias("raw"))
+    when it has landed, the oldest first. Without `process_existing`, files that were there when the
+    stream was started first give no lines; `folder` (of the checkpoint) keeps that time."""
+    if not process_existing and not folder:
+        raise ValueError("to leave out existing files, name the folder that keeps the time of the start")
+    r = spark.readStream.format("text").schema("value string").load(path)
+    if not process_existing:
+        start = F.to_utc_timestamp(F.col("_metadata.file_modification_time"), F.current_timezone()) > F.lit(started_at(spark, folder)).cast("timestamp")
+        r = r.where(start)
+    raw = r.select(F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("line_no"), stripped(F.col("value")).alias("raw"))
     return raw.where("raw <> ''")
 
 
@@ -41,12 +63,13 @@ def record_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_id, line_no, raw) of files that hold a JSON array, an object with a `Records` array, or
     lines: each record a row, blank lines dropped. A file is one row on the way, so large inputs should
     be lines (log_lines)."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_id"), F.trim(F.regexp_replace(F.make_valid_utf8("value"), r"^\s+|\s+$", "")).alias("_text"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_id"), stripped(F.make_valid_utf8("value")).alias("_text"))
     v = F.try_parse_json("_text")
     items = F.coalesce(F.try_variant_get(v, "$.Records", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
-    whole = whole.withColumn("_items", F.when(F.col("_text").rlike(r"(?s)^(\[.*\]|\{.*\})$"), items))
+    closed = (F.col("_text").startswith("[") & F.col("_text").endswith("]")) | (F.col("_text").startswith("{") & F.col("_text").endswith("}"))
+    whole = whole.withColumn("_items", F.when(closed, items))
     objects = F.filter("_items", lambda x: F.schema_of_variant(x).startswith("OBJECT"))
-    lines = F.filter(F.transform(F.split("_text", r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("_text", r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), stripped), lambda x: x != "")
     rows = whole.select("source_id", F.posexplode(F.when(F.col("_items").isNotNull(), F.transform(objects, lambda x: F.to_json(x))).otherwise(lines)).alias("_n", "raw"))
     return rows.select("source_id", (F.col("_n") + 1).cast("long").alias("line_no"), "raw")
 
@@ -95,9 +118,27 @@ def admit(files: DataFrame, rule: Admission) -> tuple[DataFrame, DataFrame]:
     return small.where("rejected_reason is null").drop("rejected_reason"), bad.unionByName(large)
 
 
-def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files as rows (path, length, content). Spark's readers pass over files of no bytes: they get no row."""
-    return spark.read.format("binaryFile").load(path)
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a folder and those inside it, or that a pattern names, as rows (path, modificationTime,
+    length, content), those of no bytes included. Spark's reader passes over these, so the driver looks
+    for them in the listing."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store, empty = home.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    folders = [s for s in store.globStatus(home) or []]
+    while folders:
+        s = folders.pop()
+        name = s.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if s.isDirectory():
+            folders += store.listStatus(s.getPath())
+        elif s.getLen() == 0:
+            empty.append((s.getPath().toString(), s.getModificationTime() / 1000))
+    if not empty:
+        return read
+    rows = spark.createDataFrame(empty, "path string, at double")
+    return read.unionByName(rows.select("path", F.timestamp_seconds("at").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")), allowMissingColumns=True)
 
 
 def text_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +155,7 @@ def text_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def assemble_pages(pages: DataFrame, doc: str = "doc_id", number: str = "page_no", text: str = "text") -> DataFrame:
     """(doc, content): the pages of each document in order, each under `--- Page n ---`, empty ones
     skipped; a document without any text has no row."""
-    clean = pages.where(F.trim(F.coalesce(text, F.lit(""))) != "")
+    clean = pages.where(stripped(F.coalesce(text, F.lit(""))) != "")
     one = F.struct(F.col(number).alias("n"), F.concat(F.lit("--- Page "), F.col(number).cast("string"), F.lit(" ---\n"), F.col(text)).alias("t"))
     return clean.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.t), "\n").alias("content"))
 

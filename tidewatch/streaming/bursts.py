@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidewatch.operators import reports
 from tidewatch.operators.bursts import check_window, incident_id
 from tidewatch.operators.normalize import normalize
 from tidewatch.operators.predicates import is_failure_stream
+from tidewatch.plans import incidents
 
-_OUT = "breach_us long, n_events long, first_line long, lines array<long>"
+#: What a breach tells of each of its events, and what is kept of an open window.
+_EVENT = ("us", "line_no", "source_ip", "user", "event_type", "auth_method")
+_KINDS = "us long, line_no long, source_ip string, user string, event_type string, auth_method string"
+_OUT = f"breach_us long, n_events long, first_line long, lines array<long>, events array<struct<{', '.join(f.replace(' ', ':') for f in _KINDS.split(', '))}>>"
 
 
 class _Burst(StatefulProcessor):
@@ -25,29 +30,30 @@ class _Burst(StatefulProcessor):
         self.keys, self.threshold, self.window_us = keys, threshold, window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getListState("open", "us long, line_no long")
+        self.open = handle.getListState("open", _KINDS)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
-        live = [(int(us), int(n)) for us, n in self.open.get()] if self.open.exists() else []
+        live = [tuple(x) for x in self.open.get()] if self.open.exists() else []
         out = []
-        for us, line in sorted(zip(batch["us"].tolist(), batch["line_no"].tolist(), strict=True)):
-            live = [x for x in live if x[0] >= us - self.window_us] + [(us, line)]
+        for event in sorted(zip(*(batch[c].tolist() for c in _EVENT), strict=True), key=lambda e: e[:2]):
+            live = [x for x in live if x[0] >= event[0] - self.window_us] + [event]
             if len(live) >= self.threshold:
-                out.append((*key, us, len(live), live[0][1], [n for _, n in live]))
+                out.append((*key, event[0], len(live), live[0][1], [x[1] for x in live], [dict(zip(_EVENT, x, strict=True)) for x in live]))
                 live = []
         if live:
             self.open.put(live)
         else:
             self.open.clear()
-        yield pd.DataFrame(out, columns=[*self.keys, "breach_us", "n_events", "first_line", "lines"])
+        yield pd.DataFrame(out, columns=[*self.keys, "breach_us", "n_events", "first_line", "lines", "events"])
 
     def close(self) -> None:
         pass
 
 
 def burst_stream(events: DataFrame, keys: tuple[str, ...] = ("source_id",), threshold: int = 5, window_seconds: int = 60, clock: str = "event", lateness: str | None = None) -> DataFrame:
-    """The breaches of a stream of events, with the columns of burst_incidents.
+    """The breaches of a stream of events, with the columns of burst_incidents and their events(us,
+    line_no, source_ip, user, event_type, auth_method).
 
     clock: "event" (ts, the same in every run) or "arrival" (when the batch is read). Events of one
     batch are taken in time order. With `lateness` a watermark on ts drops later rows. Needs the
@@ -58,9 +64,10 @@ def burst_stream(events: DataFrame, keys: tuple[str, ...] = ("source_id",), thre
         events = events.withWatermark("ts", lateness)
     f = events.where(is_failure_stream(F.col("event_type"), F.col("is_parsed")))
     us = F.unix_micros("ts") if clock == "event" else F.unix_micros(F.current_timestamp())
-    f = f.select(*keys, us.alias("us"), F.coalesce("line_no", F.lit(0)).alias("line_no"))
-    schema = ", ".join(f"{k} {f.schema[k].dataType.simpleString()}" for k in keys)
-    got = f.groupBy(*keys).transformWithStateInPandas(_Burst(list(keys), threshold, window_seconds * 1_000_000), f"{schema}, {_OUT}", "append", "none")
+    more = [F.col(c) if c in f.columns else F.lit(None).cast("string").alias(c) for c in _EVENT[2:]]
+    f = f.select(*(F.col(k).alias(f"_{k}") for k in keys), us.alias("us"), F.coalesce("line_no", F.lit(0)).alias("line_no"), *more)
+    schema = ", ".join(f"{k} {f.schema[f'_{k}'].dataType.simpleString()}" for k in keys)
+    got = f.groupBy(*(f"_{k}" for k in keys)).transformWithStateInPandas(_Burst(list(keys), threshold, window_seconds * 1_000_000), f"{schema}, {_OUT}", "append", "none")
     got = got.withColumn("breach_ts", F.timestamp_micros("breach_us")).drop("breach_us")
     return got.withColumn("incident_id", incident_id(F.concat_ws("|", *keys), F.col("breach_ts"), F.col("first_line")))
 
@@ -84,3 +91,20 @@ def write_incidents(path: str) -> Callable[[DataFrame, int], None]:
         incidents.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return write
+
+
+def evidence_to(path: str, chunks: DataFrame, as_of: str | None = None, **options) -> Callable[[DataFrame, int], None]:
+    """A handler for watch(): the events of each breach give its facts, these ask for guidance among
+    chunks, and the evidence and an alert line go to a folder of the batch, which a repeat replaces."""
+
+    def handle(found: DataFrame, batch: int) -> None:
+        found = found.persist()
+        told = found.select(F.col("incident_id").alias("source_id"), F.inline("events"))
+        told = told.select("source_id", "line_no", F.timestamp_micros("us").alias("ts"), F.lit(False).alias("ts_assumed"), "source_ip", "user", "event_type", "auth_method", F.lit(True).alias("is_parsed"))
+        rows = incidents.evidence_of(told, chunks, **options)
+        at = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
+        line = reports.syslog_line(F.struct("incident_id", "query", "packed_ids"), F.col("incident_id"), F.lit("unknown"), F.lit("breach"), at)
+        rows.withColumn("alert", line).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        found.unpersist()
+
+    return handle
