@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import random
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import components
-from tidewatch.llm.common import Recent, connected_components, cut, few, measured, shared_folder
+from tidewatch.llm.common import Recent, connected_components, cut, few, measured
+
+from tidewatch.sources.scratch import shared_folder
 
 
 def test_cut_uses_the_shared_folder(spark):
@@ -16,19 +17,6 @@ def test_cut_uses_the_shared_folder(spark):
     assert df.inputFiles() and all(shared_folder(spark) in f for f in df.inputFiles())
 
 
-def test_no_shared_folder(spark):
-    """On a cluster a missing setting is an error; a master within the process has a folder of its own."""
-    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", applicationId="app-1")
-    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
-    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
-        context.master = master
-        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-            shared_folder(session)
-    for master in ("local", "local[4]", "local[*]", "local[4,2]"):
-        context.master = master
-        assert shared_folder(session).endswith("/tidewatch-app-1")
-
-
 def test_measured(spark):
     table, got = measured(spark.range(7), rows=F.count(F.lit(1)), top=F.max("id"))
     assert table.count() == 7 and got == {"rows": 7, "top": 6}

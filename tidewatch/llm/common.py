@@ -2,48 +2,23 @@
 
 from __future__ import annotations
 
-import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tidewatch.sources.scratch import new_path
+
 #: The words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of this application in the one that driver and executors share: spark.checkpoint.dir,
-    else the context's own checkpoint folder. Without either a master within this process, as in tests,
-    gets a new temporary one; on a cluster that is an error, as executors would not see it."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder and not re.fullmatch(r"local(\[[\w*,]+\])?", context.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(folder or _own_folder()).rstrip('/')}/tidewatch-{context.applicationId}"
-
-
-def remove_tables(spark: SparkSession) -> None:
-    """Delete what cut() has written for this application. Frames that an operator returned read those
-    tables, so call this when their results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     """cut(df), and aggregates over its rows, which the task that writes them makes on its way."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = new_path(spark, "cut")
     seen = Observation()
     df.observe(seen, *(c.alias(n) for n, c in metrics.items())).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get
@@ -53,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and return the table read back. Lineage ends there,
     so the loss of an executor costs no more than a read, and its size is known to the optimizer."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = new_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,6 +45,35 @@ def few(df: DataFrame, most: int = FEW, numbers: str | None = None) -> DataFrame
     return F.broadcast(table) if got["rows"] <= most and (got["inside"] or 0) <= 10 * most else table
 
 
+def dealt_cells(group: str, row: str, size: Column, most: int) -> Column:
+    """Array of the cells that a row of a group goes to, so that every two rows of the group meet in one and
+    no cell holds many more than `most`: one, or, if the group's size is over that, one for each two of its parts."""
+    parts = F.ceil(2 * size / most).cast("int")  # two parts fill a cell
+    part = F.pmod(F.xxhash64(row), parts).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.xxhash64(group, F.least(part, q), F.greatest(part, q)))
+    return F.when(size <= most, F.array(group)).otherwise(pairs)
+
+
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Whole cells from rows sorted by cell, as many as a batch ends, and where each starts."""
+
+    def starts(rows: pa.Table) -> list[int]:
+        cell = rows.column("cell").to_numpy()
+        return np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist()
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.table(batch) if rest is None else pa.concat_tables([rest, pa.table(batch)]).combine_chunks()
+        at = starts(rows)
+        if len(at) > 1:  # the last cell may go on in the next batch
+            yield rows.slice(0, at[-1]).combine_chunks(), at[:-1]
+        rest = rows.slice(at[-1])
+    if rest is not None:
+        yield rest.combine_chunks(), starts(rest)
+
+
 class Recent(dict):
     """A dictionary that computes what it misses, and forgets what was not asked for lately: when it is
     full, it becomes the older generation, whose entries come back one by one as they are asked for."""

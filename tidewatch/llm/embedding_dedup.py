@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import connected_components, cut, few, measured
+from tidewatch.llm.common import cells, connected_components, cut, few, measured
 
 #: Rows of a bucket, or of a part of it, that one task compares at once.
 BLOCK = 1024
@@ -74,31 +74,15 @@ def _signatures(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFr
 
 def _alike(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """The rows, sorted by cell, that have one in their cell whose code differs in `limit` signs or fewer."""
-
-    def kept(rows: pa.Table) -> pa.Table:
-        cell = rows.column("cell").to_numpy()
+    for rows, starts in cells(batches):
         codes = np.stack([rows.column(c).to_numpy() for c in ("c0", "c1")]).view(np.uint64)  # bitwise_count takes the absolute value of a negative number
-        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        found = np.zeros(len(cell), bool)
-        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
+        found = np.zeros(rows.num_rows, bool)
+        for i, j in zip(starts, [*starts[1:], rows.num_rows], strict=True):
             for k in range(i, j, 256):
                 end = min(j, k + 256)
                 apart = sum(np.bitwise_count(c[k:end, None] ^ c[None, i:j]).astype(np.int16) for c in codes)
                 found[k:end] = (apart <= limit).sum(axis=1) > 1  # each is like itself
-        return rows.select(["cell", "h", "at"]).filter(pa.array(found))
-
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.table(batch) if rest is None else pa.concat_tables([rest, pa.table(batch)]).combine_chunks()
-        cell = rows.column("cell").to_numpy()
-        other = np.flatnonzero(cell != cell[-1])
-        end = int(other[-1]) + 1 if len(other) else 0  # the last cell may go on in the next batch
-        yield from kept(rows.slice(0, end).combine_chunks()).to_batches()
-        rest = rows.slice(end)
-    if rest is not None:
-        yield from kept(rest.combine_chunks()).to_batches()
+        yield from rows.select(["cell", "h", "at"]).filter(pa.array(found)).to_batches()
 
 
 def _compare(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
