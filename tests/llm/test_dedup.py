@@ -74,6 +74,30 @@ def test_planted_fingerprints(spark):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i in range(len(fps)) if want[i] == c) for c in set(want))
 
 
+def test_hot_keys(spark, monkeypatch):
+    """Many unlike fingerprints with one equal half share keys: they are compared in parts, and no link is lost."""
+    monkeypatch.setattr(simhash_dedup, "CELL", 32)
+    rng = random.Random(5)
+    low = rng.getrandbits(32)
+    fps = {low | rng.getrandbits(32) << 32 for _ in range(150)}
+    fps |= {f ^ (1 << rng.randrange(64) | 1 << rng.randrange(64)) for f in rng.sample(sorted(fps), 60)}
+    fps = sorted(fps)
+    want = components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 3])
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    links = [(fps.index(r.a % (1 << 64)), fps.index(r.b % (1 << 64))) for r in simhash_dedup.link_fingerprints(df).collect()]
+    assert components(len(fps), links) == want and len(set(want)) < len(fps)
+
+
+def test_very_long_text(monkeypatch):
+    """More shingles than are counted at once."""
+    rng = random.Random(6)
+    text = " ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(150_000))
+    whole = simhash_dedup.fingerprint(text)
+    assert len(text.split()) > 2 * simhash_dedup._BLOCK and whole & (1 << 64) - 1 == brute_fingerprint(text)
+    monkeypatch.setattr(simhash_dedup, "_BLOCK", 7)
+    assert simhash_dedup.fingerprint(text[:5000]) & (1 << 64) - 1 == brute_fingerprint(text[:5000])
+
+
 def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "other words are here")], "doc_id long, text string")
     got = [(r.doc_id, r.component_id) for r in simhash_dedup.simhash_groups(docs).collect()]

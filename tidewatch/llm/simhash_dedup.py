@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import connected_components, cut, spare
+from tidewatch.llm.common import cells, connected_components, cut, dealt_cells, spare
 
 #: Hashes whose bits are counted at once, so that a very long text takes little memory.
 _BLOCK = 1 << 16
+#: Fingerprints that one task compares with each other.
+CELL = 4096
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -55,8 +58,31 @@ def _variants(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """From rows (cell, fp), sorted by cell, pairs of one cell that differ in `most` bits or fewer: enough
+    of them to connect all such, so no more than the cell has rows."""
+    for rows, starts in cells(batches):
+        every = rows.column("fp").to_numpy()
+        a, b = [], []
+        for i, j in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            fp = every[i:j]
+            bits, root = fp.view(np.uint64), np.arange(j - i)  # bitwise_count takes the absolute value of a negative number
+            for k in range(0, j - i, 256):
+                x, y = np.nonzero(np.bitwise_count(bits[k : k + 256, None] ^ bits[None, :]) <= most)
+                x += k
+                apart = root[x] != root[y]
+                while apart.any():  # a row takes in one other part at a time
+                    x, y = x[apart], y[apart]
+                    up, down = np.maximum(root[x], root[y]), np.minimum(root[x], root[y])
+                    _, one = np.unique(up, return_index=True)
+                    a.append(fp[x[one]])
+                    b.append(fp[y[one]])
+                    root[up[one]] = down[one]
+                    while (root[root] != root).any():
+                        root = root[root]
+                    apart = root[x] != root[y]
+        none = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
 
 
 def link_fingerprints(fps: DataFrame, most: int = 3) -> DataFrame:
@@ -64,28 +90,18 @@ def link_fingerprints(fps: DataFrame, most: int = 3) -> DataFrame:
     links at `most` <= 3 differing bits give.
 
     Two segments: of three differing bits one segment has one at most, so linked fingerprints share
-    one of the 64 one-wildcard keys. Each key's rows are first tried against the key's smallest
-    fingerprint: a group of near copies collapses there with one edge a row. The equality join that
-    follows tries only pairs that are still in different components, so a group never gives all of
-    its pairs.
+    one of the 64 one-wildcard keys. The rows that share a key meet in a cell and are compared there;
+    a key of more than CELL rows is cut into parts, and each two parts meet in a cell of their own. A
+    cell gives fewer edges than it has rows, so a group never gives all of its pairs.
     """
     if not 0 <= most <= 3:
         raise ValueError("two segments with one wildcard find 0 to 3 differing bits")
     keyed = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    by_key = Window.partitionBy("key").orderBy("fp")
-    shared = keyed.select("fp", "key", F.first("fp").over(by_key).alias("head"), F.lead("fp").over(by_key).alias("next"))
-    shared = cut(shared.where("head <> fp or next is not null").select("fp", "key", "head"))
-    near = lambda a, b: (F.col(a) != F.col(b)) & (_distance(a, b) <= most)
-    first = cut(shared.where(near("fp", "head")).select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct())
-    parts = connected_components(first)
-    member = shared.select("fp", "key").join(parts.select(F.col("id").alias("fp"), "component"), "fp", "left")
-    member = cut(member.select("fp", "key", F.coalesce("component", "fp").alias("part")))
-    # a key all of whose rows are in one part has nothing left to find
-    mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    member = cut(member.join(mixed, "key", "left_semi"))
-    x, y = member.select("key", F.col("fp").alias("a"), F.col("part").alias("pa")), member.select("key", F.col("fp").alias("b"), F.col("part").alias("pb"))
-    rest = x.join(y, (x.key == y.key) & (F.col("pa") < F.col("pb")) & near("a", "b")).select("a", "b").distinct()
-    return first.unionByName(rest)
+    shared = keyed.select("fp", "key", F.count("*").over(Window.partitionBy("key")).alias("size")).where("size > 1")
+    shared = cut(shared)
+    dealt = shared.select(F.explode(dealt_cells("key", "fp", F.col("size"), CELL)).alias("cell"), "fp")
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(lambda batches: _links(batches, most), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
