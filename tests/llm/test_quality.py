@@ -55,7 +55,7 @@ def test_long_and_repeated_documents(spark):
     assert [r.n_words for r in got[::2]] == [200_000, 150, 300_000, 4000] and [r.failed_lines for r in got[::2]] == [False, False, False, True]
 
 
-def test_ordinal_gradient_and_order():
+def test_ordinal_order():
     rng = np.random.default_rng(0)
     rows, grades = [], []
     for _ in range(600):
@@ -94,3 +94,49 @@ def test_no_labels_and_odd_rows(spark):
     model = qc.fit(docs, some, 3)
     assert qc.grade_documents(docs, model).where("expected_grade is null").count() == 0
     assert qc.grade_documents(docs.limit(0), model).count() == 0
+
+
+def small_problem(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 6, 60)
+    row, flat = np.repeat(np.arange(60), sizes), rng.integers(0, 8, sizes.sum())
+    return rng, row, flat, rng.uniform(0.5, 2, len(flat)), rng.integers(0, 4, 60), sizes
+
+
+def test_gradient():
+    """Finite differences, and the likelihood as the words say."""
+    rng, row, flat, values, grades, _ = small_problem(1)
+    loss = qc.ordinal_loss(row, flat, values, grades, 8, 4, 0.01)
+    x = rng.standard_normal(11)
+    value, grad = loss(x)
+    for k in range(11):
+        step = np.eye(11)[k] * 1e-6
+        assert abs((loss(x + step)[0] - loss(x - step)[0]) / 2e-6 - grad[k]) < 1e-6
+    cuts = [-np.inf, x[8], x[8] + np.exp(x[9]), x[8] + np.exp(x[9]) + np.exp(x[10]), np.inf]
+    at = lambda z: 1 / (1 + np.exp(-z))
+    score = [sum(x[f] * v for f, v, r in zip(flat, values, row, strict=True) if r == i) for i in range(60)]
+    want = -np.mean([np.log(at(cuts[g + 1] - s) - at(cuts[g] - s)) for g, s in zip(grades, score, strict=True)]) + 0.005 * (x[:8] ** 2).sum()
+    assert abs(value - want) < 1e-9
+
+
+def test_fit_against_plain_descent():
+    _, row, flat, values, grades, sizes = small_problem(2)
+    loss = qc.ordinal_loss(row, flat, values, grades, 8, 4, 0.05)
+    x = np.zeros(11)
+    for _ in range(20_000):
+        x -= 0.1 * loss(x)[1]
+    model = qc.fit_ordinal(sizes, flat, values, grades, 4, 0.05, least=1)
+    cuts = x[8] + np.concatenate([[0], np.cumsum(np.exp(x[9:]))])
+    assert np.abs(model.weights[:8] - x[:8]).max() < 0.01 and np.abs(model.thresholds - cuts).max() < 0.01
+
+
+def test_labels(spark):
+    """Null ratings are no labels; an id with several texts counts once."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (3, 0, None), (4, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted((r.doc_id, r.grade) for r in qc.ratings(labels).collect() if r.grade is not None) == [(1, 2), (4, 0), (5, 2)]
+    docs = documents(spark, None, "one two", "x", "y", "bad", "good " * 50_000)
+    docs = docs.unionByName(docs.withColumn("text", F.concat(F.lit("other "), "text")))
+    got = qc.labelled_sample(docs, qc.ratings(labels), "doc_id", "text", "grade", 10, 5).collect()
+    assert sorted(r.grade for r in got) == [0, 2, 2]
+    again = qc.labelled_sample(docs.repartition(7), qc.ratings(labels), "doc_id", "text", "grade", 10, 5).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))

@@ -100,38 +100,43 @@ def _minimise(f, x: np.ndarray, rounds: int = 80, memory: int = 8) -> np.ndarray
     return x
 
 
-def fit_ordinal(sizes: np.ndarray, flat: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, decay: float = 0.001, least: int | None = None) -> OrdinalModel:
-    """Fits the model to documents of `sizes` buckets each; flat and values hold all of their buckets
-    and values in turn. Buckets in fewer than `least` documents (one in 400, 3 at least) have weight 0.
-    Every grade counts one document more than it has, so that an absent one is allowed."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    least = max(3, len(sizes) // 400) if least is None else least
-    used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= least)
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
-    keep = place[flat] >= 0
-    flat, values, row = place[flat[keep]], values[keep], row[keep]
-    n, cuts = max(1, len(sizes)), n_grades - 1
-    share = np.cumsum(np.bincount(grades, minlength=n_grades) + 1.0)[:-1] / (len(grades) + n_grades)
-    theta = np.log(share / (1 - share))
-    start = np.concatenate([np.zeros(len(used)), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
+def ordinal_loss(row: np.ndarray, flat: np.ndarray, values: np.ndarray, grades: np.ndarray, n_used: int, n_grades: int, decay: float):
+    """The penalised mean negative log-likelihood and its gradient, as a function of the weights of n_used
+    features, the first threshold, and the logarithms of the gaps between thresholds."""
+    n, cuts = max(1, len(grades)), n_grades - 1
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w, gaps = x[: len(used)], np.exp(np.clip(x[len(used) + 1 :], -30, 30))
-        cut = x[len(used)] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(row, w[flat] * values, len(sizes))
+        w, gaps = x[:n_used], np.exp(np.clip(x[n_used + 1 :], -30, 30))
+        cut = x[n_used] + np.concatenate([[0.0], np.cumsum(gaps)])
+        score = np.bincount(row, w[flat] * values, len(grades))
         edge = np.concatenate([[-np.inf], cut, [np.inf]])
         hi, lo = edge[grades + 1] - score, edge[grades] - score
         up, down = np.where(np.isinf(hi), 1.0, sigmoid(hi)), np.where(np.isinf(lo), 0.0, sigmoid(lo))
         p = np.maximum(up - down, 1e-12)
         d_up, d_down = up * (1 - up) / p, down * (1 - down) / p
-        g_w = np.bincount(flat, ((d_up - d_down)[row]) * values, len(used)) / n + decay * w
+        g_w = np.bincount(flat, ((d_up - d_down)[row]) * values, n_used) / n + decay * w
         g_cut = (np.bincount(grades, -d_up, n_grades)[:cuts] + np.bincount(grades, d_down, n_grades)[1:]) / n
         g_gaps = np.cumsum(g_cut[::-1])[::-1][1:] * gaps
         return -np.log(p).sum() / n + decay / 2 * (w @ w), np.concatenate([g_w, [g_cut.sum()], g_gaps])
 
-    x = _minimise(loss, start)
+    return loss
+
+
+def fit_ordinal(sizes: np.ndarray, flat: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, decay: float = 0.001, least: int | None = None) -> OrdinalModel:
+    """Fits the model to documents of `sizes` buckets each; flat and values hold all of their buckets
+    and values in turn. Buckets in fewer than `least` documents (one in 400, 3 at least) have weight 0.
+    Every grade counts one document more than it has at the start, so that an absent one is allowed."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    least = max(3, len(sizes) // 400) if least is None else least
+    used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= least)
+    place = np.full(BUCKETS, -1)
+    place[used] = np.arange(len(used))
+    keep = place[flat] >= 0
+    share = np.cumsum(np.bincount(grades, minlength=n_grades) + 1.0)[:-1] / (len(grades) + n_grades)
+    theta = np.log(share / (1 - share))
+    start = np.concatenate([np.zeros(len(used)), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
+    x = _minimise(ordinal_loss(row[keep], place[flat[keep]], values[keep], grades, len(used), n_grades, decay), start)
     weights = np.zeros(BUCKETS)
     weights[used] = x[: len(used)]
     cut = x[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(x[len(used) + 1 :], -30, 30)))])
@@ -154,9 +159,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
             yield pd.DataFrame({"buckets": pd.Series([k for k, _ in rows], dtype=object), "values": pd.Series([v for _, v in rows], dtype=object)})
 
     got = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id")
-    # of an id with several rows, one may be enough: no more rows than `most`
-    got = got.select("_id", F.col("_grade").alias("grade"), of("_text").alias("x"))
-    return got.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(most).select("grade", "x.buckets", "x.values")
+    # one row for each id: of several texts the one with the smallest hash
+    got = got.select("_id", F.xxhash64("_text").alias("h"), F.col("_grade").alias("grade"), of("_text").alias("x"))
+    got = got.groupBy("_id").agg(F.min_by(F.struct("grade", "x"), "h").alias("s"))
+    return got.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(most).select("s.grade", "s.x.buckets", "s.x.values")
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_grades: int, id_col: str = "doc_id", text: str = "text", grade: str = "grade", most: int = MOST_LABELLED, seed: int = 5, decay: float = 0.001) -> OrdinalModel | None:
@@ -200,5 +206,6 @@ def grade_documents(docs: DataFrame, model: OrdinalModel | None, text: str = "te
 
 
 def ratings(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) from 0/1 quality and toxicity: 2 good and harmless, 1 one fault, 0 both."""
-    return labels.select("doc_id", (F.coalesce("quality", F.lit(1)) + 1 - F.coalesce("toxic", F.lit(0))).alias("grade"))
+    """(doc_id, grade) from 0/1 quality and toxicity: 2 good and harmless, 1 one fault, 0 both; null, so
+    unlabelled, if either is null."""
+    return labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
