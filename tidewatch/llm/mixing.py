@@ -55,9 +55,11 @@ def plan_mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source
     weights(source, weight) has one row for each source, null included; a source without a row takes
     nothing. A source's rate is its target over its size. A document is taken floor(rate) times, and
     once more if its seeded number is below the fraction: no more than ceil(most) times, the same in
-    every run. Documents without words are planned like the others of their source (in a source
+    every run. So what a source gives differs from its target by chance, with a variance of f (1 - f)
+    times the sum of its squared sizes, f being the fraction. Documents without words are planned like the others of their source (in a source
     without any word the rate is 0). The one row of each source is joined to the documents; Spark
-    broadcasts it if its size allows, else splits the hot source's partition.
+    broadcasts it if its size allows, else splits the hot source's partition. Columns of docs called
+    _src, _rate, _copies, _source_size or _target don't come back.
     """
     docs = docs.drop("_source_size", "_target", "_rate", "_copies", "_src")
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
@@ -83,9 +85,15 @@ def mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source: str
 def cycle_weights(docs: DataFrame, source: str = "source", cycle: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """(source, weight): sources by code point, null last, weigh 5, 2, 1, 5, 2, 1, ...
 
-    The order is over one row for each source, which the aggregation before has left."""
+    One row for each source is left by an aggregation and dealt out by ranges of names; a source's number
+    is its place in its range and the sources of the ranges before it, so no task orders them all."""
     from pyspark.sql import Window
 
     names = docs.groupBy(F.col(source).alias("source")).agg(F.lit(1).alias("_one")).drop("_one")
-    n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return names.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (n % len(cycle) + 1).cast("int")))
+    names = cut(names.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_range", F.spark_partition_id()))
+    # a row for each range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = names.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last())) - 1
+    n = names.withColumn("_place", place).join(ranges, "_range")
+    return n.select("source", F.element_at(F.array(*map(F.lit, cycle)), ((F.col("_before") + F.col("_place")) % len(cycle) + 1).cast("int")).alias("weight"))
