@@ -3,14 +3,12 @@ DataFrame, written as Parquet and read again as the next stage's docs."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, line_dedup, mixing, quality_classifier, simhash_dedup
-from tidewatch.llm.common import shared_folder
 from tidewatch.llm.queries import CODE_VOCABULARY, PATTERN, table
+from tidewatch.sources.scratch import new_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,7 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; what each stage kept is written in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline")
     for n, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
