@@ -54,6 +54,8 @@ def test_demo_log_facts(spark):
     assert log.start_time == dt.datetime(2026, 8, 14, 10, 20, 1) and log.end_time == dt.datetime(2026, 8, 14, 10, 22, 15)
     query = facts.retrieval_query(facts.log_facts(e), facts.concept_flags(ips)).first().query
     assert query == "SSH authentication failures evidence log preservation incident triage privileged-account monitoring repeated password attempts"
+    capped = {r.ip: r for r in facts.ip_facts(e.unionByName(e.withColumn("user", F.lit("zed"))), 1).collect()}
+    assert capped["192.168.1.100"].users_attempted == ["root"] and capped["192.168.1.100"].n_users == 2 and capped["10.0.0.50"].failed_attempts == 0
     nested = facts.nested_analysis(facts.log_facts(e), ips).first().ip_aggregations
     assert [x.ip for x in nested] == ["192.168.1.100", "10.0.0.50", "192.168.1.105"]
 

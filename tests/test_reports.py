@@ -118,4 +118,4 @@ def test_incident_evidence(spark):
     chunks = spark.createDataFrame([("c1", "d1", "SSH", "Guide", "SSH authentication failures and password attempts", 6), ("c2", "d2", "Web", "Guide", "sql injection", 2)], "chunk_id string, document_id string, source_title string, section_or_page string, content string, word_count int")
     got = incidents.incident_evidence(bursts.burst_incidents(e, threshold=5, window_seconds=60), e, chunks, k=1).collect()
     assert len(got) == 1 and got[0].packed_ids == ["c1"] and "repeated password attempts" in got[0].query
-    assert "10.9.8.7" not in got[0].query and '"total_lines":5' in got[0].evidence and "--- Chunk ID: c1 ---" in got[0].evidence and "10.1.1.1" not in got[0].evidence
+    assert "10.9.8.7" not in got[0].query and '"total_lines": 5' in got[0].evidence and "--- Chunk ID: c1 ---" in got[0].evidence and "10.1.1.1" not in got[0].evidence

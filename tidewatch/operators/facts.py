@@ -24,18 +24,30 @@ def log_facts(events: DataFrame, exclude_assumed: bool = False) -> DataFrame:
     return got.withColumn("limitations", limitations(F.col("unparsed_lines")))
 
 
-def ip_facts(events: DataFrame) -> DataFrame:
+def ip_facts(events: DataFrame, most_users: int | None = None) -> DataFrame:
     """(source_id, ip, failed_attempts, successful_attempts, first_seen, last_seen, users_attempted,
-    n_users, first_line) over parsed lines with an address; first_line orders by first appearance."""
+    n_users, first_line) over parsed lines with an address; first_line orders by first appearance.
+
+    users_attempted has all users of an address in one row. Where that may be too many, `most_users`
+    leaves the first so many by name; n_users stays their exact number."""
     e = events.where(F.col("is_parsed") & (F.coalesce("source_ip", F.lit("")) != ""))
-    return e.groupBy("source_id", F.col("source_ip").alias("ip")).agg(
+    user = F.nullif("user", F.lit(""))
+    got = e.groupBy("source_id", F.col("source_ip").alias("ip")).agg(
         F.count_if(is_failure_batch(F.col("event_type"))).alias("failed_attempts"),
         F.count_if(is_success(F.col("event_type"))).alias("successful_attempts"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
-        F.array_sort(F.collect_set(F.nullif("user", F.lit("")))).alias("users_attempted"),
+        *([F.array_sort(F.collect_set(user)).alias("users_attempted")] if most_users is None else []),
         F.min("line_no").alias("first_line"),
-    ).withColumn("n_users", F.size("users_attempted").cast("long"))
+    )
+    if most_users is None:
+        return got.withColumn("n_users", F.size("users_attempted").cast("long"))
+    names = e.where(user.isNotNull()).groupBy("source_id", F.col("source_ip").alias("ip"), "user").agg(F.lit(1).alias("_one"))
+    by = Window.partitionBy("source_id", "ip")
+    ranked = names.select("source_id", "ip", "user", F.row_number().over(by.orderBy("user")).alias("_r"), F.count("*").over(by).alias("n_users"))
+    kept = ranked.where(F.col("_r") <= most_users).groupBy("source_id", "ip").agg(F.array_sort(F.collect_list("user")).alias("users_attempted"), F.max("n_users").alias("n_users"))
+    none = F.array().cast("array<string>")
+    return got.join(kept, ["source_id", "ip"], "left").withColumns({"users_attempted": F.coalesce("users_attempted", none), "n_users": F.coalesce("n_users", F.lit(0).cast("long"))})
 
 
 def nested_analysis(logs: DataFrame, ips: DataFrame) -> DataFrame:

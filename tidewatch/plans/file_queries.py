@@ -202,7 +202,7 @@ def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.orderBy(F.desc("at"), "document_id"))  # one row for each document, in the order of the list
     listed = listed.withColumn("place", place).join(sizes, "document_id")
     got = d.join(listed, d.filename == listed.source_title, "left")
-    return got.select("doc_id", "place", (F.col("at") / 1000).cast("int").alias("batch"), "n_chunks")
+    return got.select("doc_id", F.col("place").cast("long").alias("place"), (F.col("at") / 1000).cast("int").alias("batch"), "n_chunks")
 
 
 @query("""select 'inc_' || doc_id as incident_id, case when ok then 'completed' else 'invalid_model_output' end as status, case when ok then risk else 'unknown' end as risk_level, case when ok then 1 else 0 end::bigint as n_citations from (""" + registry._RESOLVED + ")")

@@ -26,8 +26,8 @@ class _Burst(StatefulProcessor):
     """State: the failures of one key since its last breach that are still in the window; there are
     never `threshold` of them left after a batch."""
 
-    def __init__(self, keys: list[str], threshold: int, window_us: int):
-        self.keys, self.threshold, self.window_us = keys, threshold, window_us
+    def __init__(self, keys: list[str], threshold: int, window_us: int, arrival: bool):
+        self.keys, self.threshold, self.window_us, self.arrival = keys, threshold, window_us, arrival
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getListState("open", _KINDS)
@@ -36,7 +36,9 @@ class _Burst(StatefulProcessor):
         batch = pd.concat(list(rows))
         live = [tuple(x) for x in self.open.get()] if self.open.exists() else []
         out = []
-        for event in sorted(zip(*(batch[c].tolist() for c in _EVENT), strict=True), key=lambda e: e[:2]):
+        for n, event in enumerate(sorted(zip(*(batch[c].tolist() for c in _EVENT), strict=True), key=lambda e: e[:2])):
+            if self.arrival:  # one after the other, so that no two breaches have the same time
+                event = (event[0] + n, *event[1:])
             live = [x for x in live if x[0] >= event[0] - self.window_us] + [event]
             if len(live) >= self.threshold:
                 out.append((*key, event[0], len(live), live[0][1], [x[1] for x in live], [dict(zip(_EVENT, x, strict=True)) for x in live]))
@@ -55,7 +57,8 @@ def burst_stream(events: DataFrame, keys: tuple[str, ...] = ("source_id",), thre
     """The breaches of a stream of events, with the columns of burst_incidents and their events(us,
     line_no, source_ip, user, event_type, auth_method).
 
-    clock: "event" (ts, the same in every run) or "arrival" (when the batch is read). Events of one
+    clock: "event" (ts, the same in every run) or "arrival" (when the batch is read, and a microsecond more
+    for each event of the key before). Events of one
     batch are taken in time order. With `lateness` a watermark on ts drops later rows. Needs the
     RocksDB state store (see use_rocksdb).
     """
@@ -67,7 +70,7 @@ def burst_stream(events: DataFrame, keys: tuple[str, ...] = ("source_id",), thre
     more = [F.col(c) if c in f.columns else F.lit(None).cast("string").alias(c) for c in _EVENT[2:]]
     f = f.select(*(F.col(k).alias(f"_{k}") for k in keys), us.alias("us"), F.coalesce("line_no", F.lit(0)).alias("line_no"), *more)
     schema = ", ".join(f"{k} {f.schema[f'_{k}'].dataType.simpleString()}" for k in keys)
-    got = f.groupBy(*(f"_{k}" for k in keys)).transformWithStateInPandas(_Burst(list(keys), threshold, window_seconds * 1_000_000), f"{schema}, {_OUT}", "append", "none")
+    got = f.groupBy(*(f"_{k}" for k in keys)).transformWithStateInPandas(_Burst(list(keys), threshold, window_seconds * 1_000_000, clock == "arrival"), f"{schema}, {_OUT}", "append", "none")
     got = got.withColumn("breach_ts", F.timestamp_micros("breach_us")).drop("breach_us")
     return got.withColumn("incident_id", incident_id(F.concat_ws("|", *keys), F.col("breach_ts"), F.col("first_line")))
 
