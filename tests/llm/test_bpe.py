@@ -86,3 +86,10 @@ def test_histogram_and_suffix_sums(spark):
     assert all(qs[q] == min(x for x in lengths if sum(y <= x for y in lengths) >= q * len(lengths)) for q in qs)
     empty = token_counts.suffix_sums(token_counts.length_histogram(documents(spark, "x").limit(0), CODE_VOCABULARY, PATTERN))
     assert empty.count() == 0 and token_counts.at_limits(empty, [5]).first().truncated_total == 0
+
+
+def test_counts_of_odd_tables(spark):
+    """Repeated rows count each, and a column with the operator's own name does no harm."""
+    docs = documents(spark, "one two three", "one two three", None, "").withColumnRenamed("lang", "length").withColumnRenamed("source", "n_docs")
+    got = {r.length: r.n_docs for r in token_counts.length_histogram(docs.unionByName(docs), CODE_VOCABULARY, PATTERN).collect()}
+    assert got == {0: 4, len(ids("one two three")): 4}

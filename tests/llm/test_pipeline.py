@@ -37,6 +37,17 @@ def test_run_agrees_with_itself(spark, sf_dir):
     assert sorted(a) == sorted(b) and a
 
 
+def test_stages_on_odd_documents(spark, sf_dir):
+    """Nulls in every column, empty and repeated rows, and no rows at all go through every stage."""
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (900_001, "", None, "s", None), (900_001, "", None, "s", None), (900_002, "one line\n" * 40, "en", "s", 360), (900_003, None, None, None, None), (900_003, None, None, None, None)]
+    docs = real.select(*pipeline.COLUMNS).unionByName(spark.createDataFrame(odd, real.select(*pipeline.COLUMNS).schema))
+    for n, (_, stage) in enumerate(pipeline.STAGES):
+        got = stage(spark, docs, sf_dir).collect()
+        assert got and all(n == len(pipeline.STAGES) - 1 or tuple(r.asDict()) == pipeline.COLUMNS for r in got)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
     assert [n for n, _ in pipeline.STAGES]
