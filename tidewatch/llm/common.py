@@ -151,15 +151,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """The components of an undirected graph of long ids: one row (id, component) for each id that
     has an edge to another id; component is the smallest id reachable.
 
-    Each task first contracts the edges that it has to stars, once before and once after they are dealt
-    out anew. Then alternating large-star and small-star
+    Each task first contracts the edges that it has to stars. Then alternating large-star and small-star
     rounds: only edges move between executors, the driver gets
     one count and one checksum a round. A hub's minimum is aggregated map-side and written before it
     is joined back, so that adaptive execution can split the hub. Edges with a null end, and from an
     id to itself, are left out; no edges give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
-    e, before = _edges(e.where("x is not null and y is not null and a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long").distinct().mapInArrow(_contracted, "a long, b long"))
+    e, before = _edges(e.where("x is not null and y is not null and a <> b").select("a", "b").distinct().mapInArrow(_contracted, "a long, b long"))
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy(F.col("a").alias("u")).agg(F.least("u", F.min("b")).alias("m")))
