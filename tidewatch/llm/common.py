@@ -54,12 +54,14 @@ def dealt_cells(group: str, row: str, size: Column, most: int) -> Column:
     return F.when(size <= most, F.array(group)).otherwise(pairs)
 
 
-def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
-    """Whole cells from rows sorted by cell, as many as a batch ends, and where each starts."""
+def cells(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("cell",)) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Whole cells from rows sorted by cell (numbers in the columns `by`), as many as a batch ends, and where
+    each starts."""
 
     def starts(rows: pa.Table) -> list[int]:
-        cell = rows.column("cell").to_numpy()
-        return np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist()
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in (rows.column(b).to_numpy() for b in by)])
+        return np.flatnonzero(new).tolist()
 
     rest = None
     for batch in batches:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, embedding_dedup, line_dedup, mixing, quality_classifier, quality_rules, simhash_dedup, token_counts, url_filter
+from tidewatch.llm import bpe, chat, decontamination, embedding_dedup, filter_audit, line_dedup, merkle, mixing, quality_classifier, quality_rules, simhash_dedup, token_counts, url_filter
 
 COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CODE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -87,8 +87,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = merkle.manifest(docs, merkle.without_line_ends())
+    return got.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_token_counts, op2_quality_rules, op3_byte_bpe, op4_quality_classifier, op5_line_dedup, op6_url_filters, op7_embedding_dedup, op8_simhash_dedup, op9_mixing, op10_chat_formatting)
+    every = (op1_token_counts, op2_quality_rules, op3_byte_bpe, op4_quality_classifier, op5_line_dedup, op6_url_filters, op7_embedding_dedup, op8_simhash_dedup, op9_mixing, op10_chat_formatting, op11_filter_audit, op12_decontamination, op13_merkle_manifest)
     return {f.__name__: f for f in every}
 
 
