@@ -98,17 +98,17 @@ def backward(places: list[int], digests: list[bytes], levels: int, proof: bytes)
     return [got[i] for i in places]
 
 
-def _subtrees(nodes: DataFrame) -> DataFrame:
+def _subtrees(nodes: DataFrame, span: int) -> DataFrame:
     """nodes(tree, place, ...), those of a subtree together and in the order of labels, with the subtree's number."""
-    n = nodes.withColumn("subtree", F.when(F.col("place") >= 0, F.expr(f"place div {RUN**SPAN}")).otherwise(-1 - F.col("place")))
+    n = nodes.withColumn("subtree", F.when(F.col("place") >= 0, F.expr(f"place div {RUN**span}")).otherwise(-1 - F.col("place")))
     return n.repartition("tree", "subtree").sortWithinPartitions("tree", "subtree", "place")
 
 
-def _levels_up(n: int, done: int) -> int:
-    return min(SPAN, height(n) - done)
+def _levels_up(n: int, done: int, span: int) -> int:
+    return min(span, height(n) - done)
 
 
-def sweep_up(nodes: DataFrame, largest: int) -> tuple[list[DataFrame], DataFrame]:
+def sweep_up(nodes: DataFrame, largest: int, span: int = SPAN) -> tuple[list[DataFrame], DataFrame]:
     """Of leaves (tree, n, place, digest, ...), n being the tree's number of leaves and `largest` the greatest of these:
     the tables that epochs start from, and (tree, n, digest) of all roots."""
 
@@ -119,7 +119,7 @@ def sweep_up(nodes: DataFrame, largest: int) -> tuple[list[DataFrame], DataFrame
                 place, digest, tops = rows.column("place").to_pylist(), rows.column("digest").to_pylist(), []
                 for i, j, size in zip(starts, [*starts[1:], rows.num_rows], n.to_pylist(), strict=True):
                     top = digest[i]  # of a tree that has no levels left
-                    for _, _, children in forward(place[i:j], digest[i:j], _levels_up(size, done)):
+                    for _, _, children in forward(place[i:j], digest[i:j], _levels_up(size, done, span)):
                         top = node(children)
                     tops.append(top)
                 yield pa.RecordBatch.from_arrays([tree.combine_chunks(), n.combine_chunks(), subtree.combine_chunks(), pa.array(tops, pa.binary())], ["tree", "n", "place", "digest"])
@@ -128,15 +128,15 @@ def sweep_up(nodes: DataFrame, largest: int) -> tuple[list[DataFrame], DataFrame
 
     starts, roots, done = [nodes], [], 0
     while True:
-        tops = cut(_subtrees(starts[-1].select("tree", "n", "place", "digest")).mapInArrow(up(done), "tree long, n long, place long, digest binary"))
-        done += SPAN
+        tops = cut(_subtrees(starts[-1].select("tree", "n", "place", "digest"), span).mapInArrow(up(done), "tree long, n long, place long, digest binary"))
+        done += span
         roots.append(tops.where(F.col("n") <= RUN**done).select("tree", "n", "digest"))
         if largest <= RUN**done:
             return starts, reduce(DataFrame.unionByName, roots)
         starts.append(tops.where(F.col("n") > RUN**done))
 
 
-def sweep_down(starts: list[DataFrame], roots: DataFrame, finish: Callable[[list, list[bytes]], list[list]], fields: str) -> DataFrame:
+def sweep_down(starts: list[DataFrame], roots: DataFrame, finish: Callable[[list, list[bytes]], list[list]], fields: str, span: int = SPAN) -> DataFrame:
     """Of what sweep_up gave, and roots (tree, n, proof): the leaves with the columns `fields`, which finish()
     gives of their digests, their column `found` and their proofs."""
 
@@ -148,7 +148,7 @@ def sweep_down(starts: list[DataFrame], roots: DataFrame, finish: Callable[[list
                 at, proofs = [], []
                 for i, j in zip(starts, [*starts[1:], rows.num_rows], strict=True):  # first the message to the top
                     at += range(i + 1, j)
-                    proofs += backward(place[i + 1 : j], digest[i + 1 : j], _levels_up(n[i], done), top[i])
+                    proofs += backward(place[i + 1 : j], digest[i + 1 : j], _levels_up(n[i], done, span), top[i])
                 kept = rows.take(pa.array(at, pa.int64())).combine_chunks()
                 columns = [kept.column(c) for c in names] + made(kept, proofs)
                 yield from pa.table(columns, names=out).combine_chunks().to_batches()
@@ -157,13 +157,13 @@ def sweep_down(starts: list[DataFrame], roots: DataFrame, finish: Callable[[list
 
     proofs = None
     for epoch in range(len(starts) - 1, -1, -1):
-        done, nodes = epoch * SPAN, starts[epoch]
-        mine = roots.where((F.col("n") <= RUN ** (done + SPAN)) & (F.col("n") > (RUN**done if epoch else 0)))
+        done, nodes = epoch * span, starts[epoch]
+        mine = roots.where((F.col("n") <= RUN ** (done + span)) & (F.col("n") > (RUN**done if epoch else 0)))
         messages = mine.select("tree", "n", F.lit(-1).cast("long").alias("place"), "proof")
         if proofs is not None:
             messages = messages.unionByName(proofs.select("tree", "n", (-1 - F.col("place")).alias("place"), "proof"))
         # a message to the top of subtree s has the place -1 - s, so it comes before the subtree's nodes
-        met = _subtrees(nodes.unionByName(messages, allowMissingColumns=True))
+        met = _subtrees(nodes.unionByName(messages, allowMissingColumns=True), span)
         names = [c for c in nodes.columns if c not in ("digest", "found")] if not epoch else ["tree", "n", "place"]
         kinds = ", ".join(f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in names)
         if epoch:
@@ -205,7 +205,7 @@ def without_line_ends(id_col: str = "doc_id", text: str = "text") -> Column:
     return F.when(F.crc32(F.col(id_col).cast("string").cast("binary")) % 2 == 0, F.replace(F.col(text), F.lit("\n"), F.lit(""))).otherwise(F.col(text))
 
 
-def manifest(docs: DataFrame, found: Column | None = None, columns: tuple[str, str, str, str, str] = COLUMNS) -> DataFrame:
+def manifest(docs: DataFrame, found: Column | None = None, columns: tuple[str, str, str, str, str] = COLUMNS, span: int = SPAN) -> DataFrame:
     """(id, leaf, subroot, root, proof_sha256, folded_root, verified) for each row of docs, digests as lower-case
     hex text. `columns` names the id (an integer), source, language, length and text.
 
@@ -222,19 +222,19 @@ def manifest(docs: DataFrame, found: Column | None = None, columns: tuple[str, s
     rows = cut(docs.select(F.col(source).cast("string").alias("source"), F.col(key).alias("id"), leaf(*own, F.col(text)).alias("digest"), changed.alias("found")))
     leaves = number_leaves(rows, "source", "id", "digest").select("tree", "n", "place", "id", "digest", "found")
     size = leaves.agg(F.max("n").alias("n"), F.max("tree").alias("last")).first()
-    starts, roots = sweep_up(leaves, size.n or 1)
+    starts, roots = sweep_up(leaves, size.n or 1, span)
     roots = cut(roots)
     trees = 0 if size.last is None else size.last + 1
-    upper, top = sweep_up(roots.select(F.lit(0).cast("long").alias("tree"), F.lit(trees).cast("long").alias("n"), F.col("tree").alias("place"), "digest"), trees)
+    upper, top = sweep_up(roots.select(F.lit(0).cast("long").alias("tree"), F.lit(trees).cast("long").alias("n"), F.col("tree").alias("place"), "digest"), trees, span)
     top = top.select("tree", "n", "digest", F.lit(b"").alias("proof"))
-    proofs = sweep_down(upper, top.drop("digest"), lambda _, proofs: [proofs], "proof binary").select(F.col("place").alias("tree"), "proof")
+    proofs = sweep_down(upper, top.drop("digest"), lambda _, proofs: [proofs], "proof binary", span).select(F.col("place").alias("tree"), "proof")
     one = top.first()
     root = one.digest.hex() if one else None
 
     def finish(digests: list[tuple[bytes, bytes | None]], proofs: list[bytes]) -> list[list]:
         return [[d.hex() for d, _ in digests], [sha256(siblings(p)).hexdigest() for p in proofs], [fold(f or d, p).hex() for (d, f), p in zip(digests, proofs, strict=True)]]
 
-    got = sweep_down(starts, roots.join(proofs, "tree").select("tree", "n", "proof"), finish, "leaf string, proof_sha256 string, folded_root string")
+    got = sweep_down(starts, roots.join(proofs, "tree").select("tree", "n", "proof"), finish, "leaf string, proof_sha256 string, folded_root string", span)
     names = few(roots.select(F.col("tree").alias("_tree"), F.lower(F.hex("digest")).alias("subroot")))
     got = got.join(names, F.col("tree") == F.col("_tree"))
     return got.select(F.col("id").alias(key), "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"))

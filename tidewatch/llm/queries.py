@@ -201,5 +201,77 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, {_WORDS} as w from documents),
+f as (select text, min(doc_id) as first from d group by text),
+l as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels where doc_id is not null group by doc_id),
+m as (select part, good, toxic, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int
+    + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::int
+    + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as mask
+    from d join f using (text) left join l using (doc_id)),
+c as (select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by part, mask),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+o as (select a.f || b.f || c.f || d.f || e.f as filter_order from x a, x b, x c, x d, x e
+    where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s as (select filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) as own,
+    coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k::int, 1)) - 65))), 0)::bigint as earlier
+    from o, (select unnest(range(1, 6))::int as step)),
+r as (select part, filter_order, step, own,
+    coalesce(sum(n) filter (mask & own = 0 and mask & earlier = 0), 0) as kept, coalesce(sum(n) filter (mask & own <> 0 and mask & earlier = 0), 0) as removed,
+    coalesce(sum(n) filter (mask & own <> 0 and mask & earlier <> 0), 0) as redundant, coalesce(sum(n) filter (mask = own), 0) as unique_fails,
+    coalesce(sum(good) filter (mask & own <> 0 and mask & earlier = 0), 0) as good_lost, coalesce(sum(toxic) filter (mask & own <> 0 and mask & earlier = 0), 0) as toxic_lost
+    from c, s group by part, filter_order, step, own)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+    good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from r
+"""
+
+OP12_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+i as (select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as pos from b where len(w) > 0),
+v as (select distinct item_id, k, array_to_string(w[pos:pos + k - 1], ' ') as said from i),
+p as (select r, w, k, unnest(range(1, len(w) - k + 2)) as pos from d, (select distinct k from v) where len(w) >= k),
+h as (select r, pos, k, item_id from (select r, pos, k, array_to_string(w[pos:pos + k - 1], ' ') as said from p) join v using (k, said)),
+n as (select r, count(distinct pos + j) as n_hit from (select r, pos, unnest(range(0, k)) as j from h) group by r),
+t as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from h group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join n using (r) left join t using (r)
+"""
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}, '-')" for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce([4294967295] || flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"""
+
+OP13_SQL = f"""
+with recursive c as (select *, case when doc_id is not null and {_CRC} & 1 = 0 then replace(text, chr(10), '') else text end as later from documents),
+e as (select row_number() over () as r, doc_id, source, {_leaf('text')} as leaf, {_leaf('later')} as found from c),
+l as (select *, dense_rank() over (order by source nulls first) - 1 as t, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from e),
+up(t, lv, i, d) as (select t, 0::bigint, i, leaf from l
+    union all select t, lv + 1, i // 3, sha256(string_agg(d, '' order by i)) from (select *, count(*) over (partition by t) as c from up) where c > 1 group by t, lv, i // 3),
+s as (select t, arg_max(d, lv) as subroot from up group by t),
+top(lv, i, d) as (select 0::bigint, t, subroot from s
+    union all select lv + 1, i // 3, sha256(string_agg(d, '' order by i)) from (select *, count(*) over () as c from top) where c > 1 group by lv, i // 3),
+z as (select arg_max(d, lv) as root from top),
+m as (select r, up.lv, up.i, up.i = l.i // (3 ** up.lv)::bigint as own, d from l join up on up.t = l.t and up.i // 3 = l.i // (3 ** (up.lv + 1))::bigint
+    where (select max(lv) from up u where u.t = l.t) > up.lv
+    union all select r, 1000 + top.lv, top.i, top.i = l.t // (3 ** top.lv)::bigint, d from l join top on top.i // 3 = l.t // (3 ** (top.lv + 1))::bigint
+    where (select max(lv) from top) > top.lv),
+g as (select *, dense_rank() over (partition by r order by lv) as k from m),
+p as (select r, string_agg(d, '' order by lv, i) filter (not own) as proof from m group by r),
+fold(r, k, d) as (select r, 1::bigint, found from e
+    union all select fold.r, fold.k + 1, sha256(string_agg(case when own then fold.d else g.d end, '' order by i)) from fold join g on g.r = fold.r and g.k = fold.k group by fold.r, fold.k),
+w as (select r, arg_max(d, k) as folded_root from fold group by r)
+select doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) as proof_sha256, folded_root, folded_root = root as verified
+from l join s using (t) cross join z left join p using (r) join w using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op6_url_filters": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op6_url_filters": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op10_chat_formatting": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
