@@ -46,26 +46,28 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
     return one.groupBy("key", "size", "said").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _hits(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc, version, at, end, group): the places where a window of the broadcast table stands in documents.
-    Places and keys exist only within a task; what leaves it are verified hits."""
+def _scan(docs: DataFrame, windows: DataFrame, sizes: list[int], ends: bool) -> DataFrame:
+    """(doc, version, n, at, end, group): the places where a window of the broadcast table stands in documents
+    of n words and, with `ends`, a row at the end (at = n) of each document, however many hits it has. Places and
+    keys exist only within a task; what leaves it are verified hits and ends."""
     d = docs.select("doc", "version", words(F.col("text")).alias("w"))
-    d = d.select("doc", "version", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    d = d.select("doc", "version", "w", F.size("w").alias("n"), "h", F.posexplode("h").alias("at", "_"))
-    key = lambda s: F.when(F.col("at") + s <= F.col("n"), _key(F.col("h"), F.col("at"), s))
-    keys = key(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*map(key, sizes)))
-    d = d.select("doc", "version", "w", "at", keys.alias("_key")).where("_key is not null")
-    met = d.join(F.broadcast(windows), d["_key"] == windows["key"])
+    d = d.select("doc", "version", "w", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    d = d.select("*", F.explode(F.sequence(F.lit(0), "n")).alias("at"))
+    key = lambda s: F.when(F.col("at") + s <= F.col("n"), _key(F.col("h"), F.col("at"), s)).alias("_key")
+    keys = [F.lit(0).alias("_k"), key(sizes[0])] if len(sizes) == 1 else [F.posexplode(F.array(*map(key, sizes))).alias("_k", "_key")]
+    end = (F.col("at") == F.col("n")) & (F.col("_k") == 0) & F.lit(ends)
+    d = d.select("doc", "version", "w", "n", "at", *keys).where(F.col("_key").isNotNull() | end)
     # between, as an equality would become a key of the join and be worked out for every place
-    met = met.where(_said(F.col("w"), F.col("at"), F.col("size")).between(F.col("said"), F.col("said")))
-    return met.select("doc", "version", "at", (F.col("at") + F.col("size")).alias("end"), "group")
+    verified = _said(F.col("w"), F.col("at"), F.col("size")).between(F.col("said"), F.col("said"))
+    met = d.join(F.broadcast(windows), (d["_key"] == windows["key"]) & verified, "left").where(F.col("group").isNotNull() | end)
+    return met.select("doc", "version", "n", "at", (F.col("at") + F.col("size")).alias("end"), "group")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
-    """(doc, version, spans, n_hit, items, n_items, items_sha256) for each document that has a window of an
-    item: its id and the hash of its text, the merged spans of hit words (array of start and end, from 0,
-    the end not included), the number of hit words, the sorted ids of the items and the digest of them,
-    comma-joined. Rows with the same id and text are one.
+def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item: str = "item_id", item_text: str = "text", width: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(doc, version, n) of each row of docs: its id, the hash of its text and the number of its words; and (doc,
+    version, spans, n_hit, items, n_items, items_sha256) for each document that has a window of an item: the merged
+    spans of hit words (array of start and end, from 0, the end not included), the number of hit words, the
+    sorted ids of the items and the digest of them, comma-joined. Rows with the same id and text are one there.
 
     The windows of the benchmark, with a number for each set of items that have the same, are broadcast
     in blocks of FEW rows and MOST_BYTES at most, one for any usual benchmark; every block is held
@@ -79,13 +81,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     sizes = sorted(got["sizes"] or [width])
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     table = w.select("key", "size", "said", "group")
-    hits = _hits(d, table if blocks == 1 else table.where(F.pmod("key", F.lit(blocks)) == 0), sizes)
+    rows = _scan(d, table if blocks == 1 else table.where(F.pmod("key", F.lit(blocks)) == 0), sizes, True)
     for i in range(1, blocks):
-        hits = hits.unionByName(_hits(d, table.where(F.pmod("key", F.lit(blocks)) == i), sizes))
+        rows = rows.unionByName(_scan(d, table.where(F.pmod("key", F.lit(blocks)) == i), sizes, False))
+    rows = cut(rows)
     by_place = Window.partitionBy("doc", "version").orderBy("at", "end")
     before = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col("at") > before, F.lit(True)).cast("int")
-    spans = hits.distinct().withColumn("_new", new).withColumn("_span", F.sum("_new").over(by_place))
+    hits = rows.where("group is not null").drop("n").distinct()
+    spans = hits.withColumn("_new", new).withColumn("_span", F.sum("_new").over(by_place))
     spans = spans.groupBy("doc", "version", "_span").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.collect_set("group").alias("g"))
     found = spans.groupBy("doc", "version").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"),
@@ -97,24 +101,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     sets = found.select("groups").distinct().select("groups", F.explode("groups").alias("group")).join(groups, "group")
     sets = sets.groupBy("groups").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     sets = sets.select("groups", "items", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return found.join(few(sets, numbers="items"), "groups").drop("groups")
+    return rows.where("at = n").select("doc", "version", "n"), found.join(few(sets, numbers="items"), "groups").drop("groups")
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(id_col, n_words, n_hit, n_items, items, items_sha256, spans, contaminated) for each row of docs.
+    """(id_col as a long, n_words, n_hit, n_items, items, items_sha256, spans, contaminated) for each row of docs.
+    spans are merged spans of hit words, counted from 0, the end not included.
 
     A null or empty text, and any without words, has no windows. An item with fewer than `width` words is
     one window, one without words is in no document; an item whose id is null makes words hit
     but is no counted item. Repeated rows come back repeated; other columns are not read. No items:
     nothing is hit.
     """
-    found = overlaps(docs, benchmark, id_col, text, **options)
-    d = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text).alias("_version"), F.size(_raw_words(F.col(text))).cast("long").alias("n_words"))
-    got = d.join(found, same(F.col("_doc"), F.col("doc")) & (F.col("_version") == F.col("version")), "left")
+    rows, found = _overlaps(docs, benchmark, id_col, text, **options)
+    got = rows.alias("r").join(found.alias("f"), same(F.col("r.doc"), F.col("f.doc")) & (F.col("r.version") == F.col("f.version")), "left")
     n_hit, none = F.coalesce("n_hit", F.lit(0)), F.sha2(F.lit("").cast("binary"), 256)
     return got.select(
-        id_col, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
-        F.coalesce("items_sha256", none).alias("items_sha256"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"), (n_hit > 0).alias("contaminated"),
+        F.col("r.doc").alias(id_col), F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("items_sha256", none).alias("items_sha256"),
+        F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"), (n_hit > 0).alias("contaminated"),
     )
 
 
@@ -122,7 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """docs, all columns, less the hit words, each with what stands between it and the word before; with
     `whole` less the documents that have any. Texts without hits stay as they are."""
     doc, version, spans = (spare(docs, c) for c in ("_doc", "_version", "_spans"))
-    found = overlaps(docs, benchmark, id_col, text, **options).select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("spans").alias(spans))
+    found = _overlaps(docs, benchmark, id_col, text, **options)[1].select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("spans").alias(spans))
     met = same(docs[id_col].cast("long"), found[doc]) & (F.xxhash64(docs[text]) == found[version])
     if whole:
         return docs.join(found, met, "left_anti")
