@@ -91,6 +91,83 @@ def test_stream_is_batch(spark, tmp_path):
     assert got == want and len(got) > 5
 
 
+def fed(spark, folder, batches, **options):
+    """The breaches of a stream that is fed one file after the other, and its progress after each batch."""
+    (folder / "in").mkdir()
+    source = spark.readStream.schema(SCHEMA).json(str(folder / "in"))
+    found = stream.burst_stream(source, ("source_id",), **options)
+    progress = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(str(folder / "in"))
+        query = found.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "check")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        progress += [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    return spark.read.parquet(str(folder / "out")), progress
+
+
+def failures_at(seconds, key="k", first=0):
+    return [(key, first + i, START + dt.timedelta(seconds=s), "failed_login", True, "ip", "u") for i, s in enumerate(seconds)]
+
+
+def test_late_stream_is_batch_however_events_come(spark, tmp_path):
+    """Within the lateness the order of arrival does not matter, over several batches and restarts."""
+    rng = random.Random(9)
+    rows = [(rng.choice("abc"), i, START + dt.timedelta(seconds=rng.randrange(3000), milliseconds=rng.randrange(1000)), "failed_login", True, "ip", "u") for i in range(300)]
+    by_arrival = sorted(rows, key=lambda r: r[2] + dt.timedelta(seconds=rng.randrange(200)))
+    last = failures_at([9000], "end", 1000)
+    got, progress = fed(spark, tmp_path, [by_arrival[:90], by_arrival[90:200], by_arrival[200:], last], threshold=4, window_seconds=60, lateness="200 seconds")
+    cols = ["source_id", "breach_ts", "n_events", "lines", "incident_id"]
+    want = bursts.burst_incidents(spark.createDataFrame(rows, SCHEMA), ("source_id",), 4, 60).select(cols).orderBy("source_id", "breach_ts").collect()
+    assert got.select(cols).orderBy("source_id", "breach_ts").collect() == want and len(want) > 5
+    assert sum(p["numRowsDroppedByWatermark"] for p in progress) == 0
+
+
+def test_state_ends_with_the_window_and_late_rows_are_counted(spark, tmp_path):
+    batches = [failures_at([0, 10]) + failures_at([5], "other"), failures_at([500], "clock"), failures_at([15, 400]), failures_at([5000], "clock"), failures_at([9000], "clock")]
+    got, progress = fed(spark, tmp_path, batches, threshold=3, window_seconds=60, lateness="30 seconds")
+    assert got.count() == 0  # the third failure, 15, came when the watermark was at 470
+    assert sum(p["numRowsDroppedByWatermark"] for p in progress) == 2
+    assert max(p["numRowsTotal"] for p in progress) >= 3
+    # what is left belongs to the last event, which the watermark has not passed
+    assert progress[-1]["numRowsTotal"] <= 3 and progress[-1]["numRowsRemoved"] + sum(p["numRowsRemoved"] for p in progress[:-1]) >= 5
+    (tmp_path / "quiet").mkdir()
+    _, alone = fed(spark, tmp_path / "quiet", [failures_at([0, 10]), [(*failures_at([900], "x")[0][:3], "successful_login", True, "ip", "u")], failures_at([2000])[:1]], threshold=3, window_seconds=60, lateness="30 seconds")
+    assert alone[-1]["numRowsTotal"] <= 3
+
+
+def test_a_window_of_arrivals_ends(spark, tmp_path):
+    import time
+
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+    spark.createDataFrame(failures_at([0, 1]), SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    found = stream.burst_stream(source, ("source_id",), 3, 1, clock="arrival", end_idle=True)
+    query = found.writeStream.format("memory").queryName("arrivals").option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="500 milliseconds").start()
+    try:
+        rows = lambda: [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        until = time.time() + 90
+        while time.time() < until and not (rows() and max(rows()) > 0 and rows()[-1] == 0):
+            time.sleep(0.5)
+        assert max(rows()) > 0 and rows()[-1] == 0
+    finally:
+        query.stop()
+
+
+def test_lateness_is_handed_on(spark, tmp_path):
+    """watch() gives it to the stream: a line that assumes its time does not move the watermark."""
+    line = "Aug 10 14:{:02d}:00 server sshd[1]: Failed password for root from 10.0.0.1 port 22 ssh2\n"
+    (tmp_path / "in").mkdir()
+    for name, minutes in (("a", (1, 2)), ("b", (30,)), ("c", (3, 31)), ("d", (59,))):
+        (tmp_path / "in" / f"{name}.log").write_text("".join(map(line.format, minutes)))
+        from tidewatch.sources.files import stream_lines
+
+        stream.watch(stream_lines(spark, str(tmp_path / "in")), "ssh", stream.write_incidents(str(tmp_path / "out")), str(tmp_path / "check"), keys=("user",), threshold=2, window_seconds=120, lateness="5 minutes", available_now=True, year=2026).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).select("breach_ts", "n_events").orderBy("breach_ts").collect()
+    assert [(r.breach_ts.minute, r.n_events) for r in got] == [(2, 2), (31, 2)]  # 3 came too late to matter
+    with pytest.raises(ValueError):
+        stream.burst_stream(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in")), clock="arrival", lateness="1 minute")
+
+
 def test_watch_lines(spark, tmp_path):
     line = "Aug 10 14:12:{:02d} server sshd[1]: Failed password for root from 10.0.0.1 port 22 ssh2\n"
     (tmp_path / "in").mkdir()

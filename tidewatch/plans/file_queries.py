@@ -3,13 +3,15 @@ written to the shared folder, and read through the sources. Registered beside th
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import bursts, corpus, normalize, reports, retrieval, scoring
 from tidewatch.plans import registry, render
 from tidewatch.plans.registry import DAY, YEAR, query
-from tidewatch.sources import files, scratch
+from tidewatch.sources import files, scratch, tail
 from tidewatch.streaming import bursts as stream
 
 _E, _SSH, _F = registry._E, registry._SSH, registry._F
@@ -247,6 +249,41 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _logged(rows: DataFrame, folder: str, append: bool) -> None:
+    """What a program that logs does: rows (source_id, event_id, raw) as lines at the end of a file for each
+    source, or in place of what it had."""
+    columns = rows.select("source_id", "event_id", "raw").repartition("source_id").sortWithinPartitions("source_id", "event_id")
+
+    def write(part) -> None:
+        store, inside = tail._store(folder)
+        store.create_dir(inside)
+        for source, lines in groupby(part, key=lambda r: r.source_id):
+            path = f"{inside}/{source}.log"
+            with store.open_append_stream(path) if append else store.open_output_stream(path) as f:
+                for r in lines:
+                    f.write(f"{r.raw}\n".encode())
+
+    columns.foreachPartition(write)
+
+
+@query(f"""select source_id, epoch(ts)::bigint as ts, case when ok then ip end as source_ip, kind as event_type, ok as is_parsed from ({_SSH}) where event_id % 3 <> 0""")
+def tailed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that grow while they are tailed by a query that is stopped and started: lines that were there first
+    are left out, what is appended comes once, and so does what a file has that was cut."""
+    folder, out = scratch.new_path(spark, "growing"), scratch.new_path(spark, "tailed")
+    e = render.ssh_lines(spark, sf_dir)
+
+    def look() -> None:
+        lines = tail.tail_lines(spark, folder).writeStream.format("parquet").option("path", out)
+        lines.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+
+    for third, append in ((0, True), (1, True), (2, False)):
+        _logged(e.where(f"event_id % 3 = {third}"), folder, append)
+        look()
+    got = normalize.normalize_ssh(spark.read.parquet(out), YEAR, _fallback())
+    return got.select(F.regexp_extract("source_id", r"([^/]+)\.log$", 1).alias("source_id"), F.unix_seconds("ts").alias("ts"), "source_ip", "event_type", "is_parsed")
+
+
 def _watched(spark: SparkSession, sf_dir: str, handler, **options) -> DataFrame:
     """What a handler wrote while a stream of landed files was watched to its end."""
     stream.use_rocksdb(spark)
