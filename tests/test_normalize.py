@@ -180,3 +180,41 @@ def test_log_types():
     assert normalize.log_type(" SSHD ") == "ssh" and normalize.log_type("apache") == "nginx" and normalize.log_type("eventlog") == "windows"
     with pytest.raises(ValueError):
         normalize.log_type("dns")
+
+
+def test_needed_texts_lose_no_payload(spark):
+    """What is found with the search for needed texts before each class is what the patterns alone find."""
+    import random
+
+    from tidewatch.functions import web
+
+    assert all([n for n, _ in web.NEEDED[patterns]] == list(range(1, len(patterns) + 1)) for _, patterns in web.ATTACK_RULES)
+    rng = random.Random(11)
+    pieces = ["union ", "SELECT", " from ", "insert  into", "update t set", "DELETE from", "drop table", "alter TABLE", "truncate table", "sleep (1)", "benchmark(", "waitfor delay", "information_schema", "sys.tables", "pg_sleep", "--", "#", "/* x */", "exec (", "execute(", "xp_cmdshell", "' or 1=1", "\" AND 'a' = '", "<script>", "javascript :", " onclick =", "onload=", "<img src=x>", "<iframe>", "<svg onload", "alert (", "document.cookie", "eval(", "prompt(", "../", "..\\", "/etc/passwd", "/proc/self/environ", "c:\\windows\\system32", "boot.ini", "win.ini", "a", " ", "é", "\u017fELECT", "UN\u0130ON", "\u212a", "%20", "+", "1", "="]
+    texts = ["".join(c.upper() if rng.random() < 0.3 else c for c in "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 5)))) for _ in range(3000)] + pieces
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name, patterns in web.ATTACK_RULES:
+        plain = F.col("t").rlike("(?iuU)" + "|".join(patterns))
+        got = df.select(plain.alias("plain"), (web.may_match(F.col("t"), patterns) & plain).alias("both"), web.may_match(F.col("t"), patterns).alias("may")).collect()
+        assert [r.plain for r in got] == [r.both for r in got], name
+        assert any(r.plain for r in got) and not all(r.may for r in got)
+    other = web.attack_class(F.col("t"), (("mine", ("x{2}",)),))
+    assert spark.createDataFrame([("axxb",)], "t string").select(other).first()[0] == "mine"
+
+
+def test_access_lines_with_line_ends_inside(spark):
+    line = '1.1.1.1 - bob [10/Oct/2023:13:55:36 +0000] "GET /a\nb HTTP/1.1" 401 12 "x" "y"'
+    got = spark.createDataFrame([("s", 1, line), ("s", 2, line.replace("\n", "")), ("s", 3, "a\nb\nc\nd\ne")], "source_id string, line_no long, raw string")
+    rows = normalize.normalize_nginx(got).orderBy("line_no").collect()
+    assert [(r.source_ip, r.user, r.event_type, r.is_parsed) for r in rows] == [("1.1.1.1", "bob", "failed_login", True)] * 2 + [(None, None, "unparsed_nginx", False)]
+
+
+def test_a_filter_does_not_repeat_the_search(spark):
+    """The pattern of sshd messages stands once in the plan of facts by address."""
+    from tidewatch.operators import facts
+
+    raw = spark.createDataFrame([("s", 1, "x")], "source_id string, line_no long, raw string")
+    plan = facts.ip_facts(normalize.normalize_ssh(raw, 2026))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Accepted (password|publickey)") == 1
+    plan = normalize.normalize_nginx(raw).where("is_parsed and source_ip <> ''")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("information_schema") <= 6 and plan.count("INFORMATION_SCHEMA") == 3

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import times, web
 from tidewatch.functions.json_maps import first_present, first_text, inner, json_map, named
-from tidewatch.functions.text import stripped
+from tidewatch.functions.text import once, stripped
 from tidewatch.functions.times import found
 from tidewatch.schema import EVENT
 
@@ -58,7 +58,7 @@ def normalize_ssh(df: DataFrame, year: int | None = None, fallback_ts: Column |
     df = df.withColumn("_ts", stamp).withColumn("_msg", F.regexp_extract(raw, _SSHD, 0))
     # one search puts the groups of all messages on lines of their own; no group holds white space
     n = sum(len([g for g in groups if g]) for _, _, groups in SSH_MESSAGES)
-    df = df.withColumn("_g", F.split(F.regexp_replace("_msg", _SSH_ANY, "\n".join(f"${g}" for g in range(1, n + 1))), "\n"))
+    df = once(df, _g=F.split(F.regexp_replace("_msg", _SSH_ANY, "\n".join(f"${g}" for g in range(1, n + 1))), "\n"))
     kind, parts, start = [], {p: [] for p in ("method", "user", "ip", "port")}, 0
     for name, _, groups in SSH_MESSAGES:
         at = [F.nullif(F.get("_g", F.lit(start + g - 1)), F.lit("")) if g else None for g in groups]
@@ -125,11 +125,15 @@ _ACCESS = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d{3})'
 def normalize_nginx(df: DataFrame, year: int | None = None, fallback_ts: Column | None = None, attack_rules=web.ATTACK_RULES) -> DataFrame:
     """Web access records: a JSON object in a line, else the combined or the short log format."""
     text = F.col("_line")
-    df = df.withColumn("_line", stripped(F.col("raw"))).withColumn("_m", json_map(text))
-    df = df.withColumns({"_json": F.col("_m").isNotNull(), "_hit": text.rlike(_UNICODE + _ACCESS), "_code": first_text(F.col("_m"), "status", "status_code")})
+    df = df.withColumn("_line", stripped(F.col("raw")))
+    groups = "\n".join(f"${g}" for g in range(1, 6))
+    one_search = F.split(F.regexp_replace(text, f"(?s){_UNICODE}{_ACCESS}.*$", groups), "\n")
+    by_group = F.when(text.rlike(_UNICODE + _ACCESS), F.array(*(F.regexp_extract(text, _UNICODE + _ACCESS, g) for g in range(1, 6))))
+    df = once(df, _m=json_map(text), _g=F.when(text.contains("\n"), by_group).otherwise(one_search))
+    df = df.withColumns({"_json": F.col("_m").isNotNull(), "_hit": F.coalesce(F.size("_g") == 5, F.lit(False)), "_code": first_text(F.col("_m"), "status", "status_code")})
     v = F.col("_m")
     pick = lambda a, b: F.when(F.col("_json"), a).when(F.col("_hit"), b)
-    part = lambda group: F.regexp_extract(text, _UNICODE + _ACCESS, group)
+    part = lambda group: F.get("_g", F.lit(group - 1))
     df = df.withColumns(
         {
             "_ip": pick(stripped(first_text(v, "remote_addr", "client_ip", "ip")), part(1)),
@@ -141,7 +145,7 @@ def normalize_nginx(df: DataFrame, year: int | None = None, fallback_ts: Column
     )
     stamp = stripped(F.col("_time"))
     ts = F.coalesce(times.first_format(stamp, "d/MMM/yyyy:HH:mm:ss Z", "d/MMM/yyyy:HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss"))
-    df = df.withColumn("_attack", web.attack_class(F.col("_request"), attack_rules))
+    df = once(df, _attack=web.attack_class(F.col("_request"), attack_rules))
     ok = F.col("_json") | F.col("_hit")
     kind = F.when(F.col("_line") == "", "empty_line").when(ok, web.http_event_type(F.col("_attack"), F.col("_status"), F.col("_request"), F.col("_user"))).otherwise("unparsed_nginx")
     return _finish(df, ts, fallback_ts, F.col("_ip"), F.col("_user"), kind, F.lit(None), ok & (F.col("_line") != ""))
