@@ -186,10 +186,10 @@ def test_recall_of_lines_of_one_form(changed):
     token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
     for _ in range(pairs):
         a = [rng.choice(words) for _ in range(rng.randrange(30, 61))]
-        b, at = list(a), range(2, len(a), 5) if changed == "every fifth" else rng.sample(range(len(a)), changed)
+        b, at = list(a), range(4, len(a), 5) if changed == "every fifth" else rng.sample(range(len(a)), changed)
         for i in at:
             a[i], b[i] = (a[i], rng.choice(words)) if changed == "every fifth" else (token(), token())
-        assert plain_edit(a, b) >= 0.79
+        assert plain_edit(a, b) >= 0.8
         got = table.rows(pa.array([1]), pa.array([1]), [" ".join(a) + "\n" + " ".join(b)]).column("blocks").to_pylist()
         hits += bool(set(got[0]) & set(got[1]))
     assert hits >= 0.95 * pairs
