@@ -48,6 +48,52 @@ def test_hot_key_is_not_one_row(spark):
     assert "collect_list" not in plan
 
 
+def rows_of(df):
+    return sorted(df.select("source_id", "breach_ts", "n_events", "first_line", "lines", "incident_id").collect(), key=str)
+
+
+@pytest.mark.parametrize("threshold, window, part", [(1, 5, 7), (2, 1, 10), (3, 60, 25), (5, 60, 4), (12, 20, 100)])
+def test_a_hot_key_in_parts_is_the_fold(spark, threshold, window, part):
+    """Parts that end within windows, ties, times that are not known, and keys of one part beside it."""
+    rng = random.Random(threshold)
+    at = lambda s: None if s is None else START + dt.timedelta(seconds=s)
+    seconds = [None] * 4 + [rng.randrange(1500) for _ in range(500)] + [700] * 30 + [5000 + i // 3 for i in range(90)]
+    rows = [("hot", i, at(s)) for i, s in enumerate(seconds)] + [(None, i, at(s)) for i, s in enumerate(seconds[:200])] + [(k, i, at(10 * i)) for k in "ab" for i in range(6)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(k, i, t, "failed_login", True, "ip", "u") for k, i, t in rows], SCHEMA).repartition(5)
+    want = rows_of(bursts.burst_incidents(df, ("source_id",), threshold, window))
+    assert rows_of(bursts.burst_incidents(df, ("source_id",), threshold, window, part=part)) == want and len(want) > 15
+
+
+def test_automata_of_parts_compose():
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(200):
+        n, threshold = rng.randrange(1, 60), rng.randrange(1, 6)
+        us = np.array(sorted(rng.randrange(200) for _ in range(n)))
+        found = bursts.candidates(us, np.ones(n, bool), threshold, 10)
+        whole, cut, state, got = bursts.breaches(found, 0, threshold), 0, 0, []
+        while cut < n:
+            size = rng.randrange(1, 20)
+            size = min(size, n - cut)
+            mine = found[(found >= cut) & (found < cut + size)] - cut
+            got += [cut + x for x in bursts.breaches(mine, state, threshold)]
+            state = bursts.exits(mine, size, threshold)[state]
+            cut += size
+        assert got == whole
+
+
+def test_a_hot_key_is_many_tasks(spark):
+    """A key of 300,000 failures: no task has more than a few parts of it."""
+    n = 300_000
+    events = spark.range(n).select(F.lit("k").alias("source_id"), F.col("id").alias("line_no"), F.timestamp_seconds(F.col("id") + F.lit(10_000) * F.floor(F.col("id") / 7)).alias("ts"), F.lit("failed_login").alias("event_type"), F.lit(True).alias("is_parsed"))
+    got = bursts.burst_incidents(events, ("source_id",), 5, 60, part=10_000)
+    assert got.count() == n // 7 + (n % 7 >= 5)
+    got = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(got) == 4 and max(r["count"] for r in got) < 0.6 * n // 7
+
+
 def test_parameters(spark):
     with pytest.raises(ValueError):
         bursts.burst_incidents(frame(spark, [0]), threshold=0)

@@ -118,3 +118,55 @@ def test_packing(spark):
     assert packed(spark, [("c1", "d1", 100), ("c2", "d2", 150), ("c3", "d3", 100)], 200) == ["c1", "c3"]
     # a chunk that does not fit uses up no place of its document
     assert packed(spark, [("c1", "d1", 100), ("c2", "d1", 150), ("c3", "d1", 50)], 200, 2) == ["c1", "c3"]
+
+
+def best_by_sorting(v, q, k, digits=None, least=None):
+    out = set()
+    for i, x in q:
+        scored = [(round(sum(a * b for a, b in zip(x, y)), digits) if digits else sum(a * b for a, b in zip(x, y)), key) for key, y in v if y and len(y) == len(x) and None not in y]
+        scored = sorted(((s, key) for s, key in scored if least is None or s >= least), key=lambda p: (-p[0], p[1]))[:k]
+        out |= {(i, key, n + 1) for n, (_, key) in enumerate(scored)}
+    return out
+
+
+def test_vector_search_equals_a_sort_of_all_pairs(spark):
+    """Ties, equal vectors, nulls, other lengths, fewer vectors than asked for, in one and many blocks."""
+    import random
+
+    rng = random.Random(6)
+    point = lambda: [rng.randrange(-3, 4) / 2 for _ in range(4)]
+    v = [(f"c{i}", point()) for i in range(300)] + [(f"d{i}", [1.5, 1.5, 1.5, 1.5]) for i in range(9)] + [("n", None), ("m", [1.0, None, 0.0, 0.0]), ("two", [1.0, 2.0]), ("e", [])]
+    q = [(i, point()) for i in range(40)] + [(90, [1.0, 1.0]), (91, [0.0] * 4)]
+    vectors = spark.createDataFrame(v, "chunk_id string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame(q, "query_id long, embedding array<float>")
+    for options in ({"k": 7}, {"k": 3, "min_score": 2.0}, {"k": 400}, {"k": 5, "digits": 1, "batch": 9}):
+        got = retrieval.vector_search(vectors, queries, **options).collect()
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in got} == best_by_sorting(v, q, options["k"], options.get("digits"), options.get("min_score"))
+    assert retrieval.vector_search(vectors.limit(0), queries).count() == 0 == retrieval.vector_search(vectors, queries.limit(0)).count()
+    plan = retrieval.vector_search(vectors, queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_blocks_that_hold_nothing_near_are_skipped(spark):
+    """Of vectors in groups, those of a clustered table are skipped but for the nearest groups, with the same result."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(60, 16))
+    v = np.repeat(middles, 200, axis=0) + rng.normal(scale=0.02, size=(12_000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    mixed = rng.permutation(12_000)
+    q = v[rng.integers(0, 12_000, 50)]
+    frame = spark.createDataFrame([(int(i), v[i].tolist()) for i in mixed], "chunk_id long, embedding array<double>").repartition(4)
+    shares, results = [], []
+    for table in (frame, retrieval.clustered(frame, 60)):
+        rows = table.collect()
+        best = retrieval.Best(q, 5)
+        for i in range(0, len(rows), 50):
+            best.add(np.array([r.embedding for r in rows[i : i + 50]]), np.array([r.chunk_id for r in rows[i : i + 50]] + [None], object)[:-1])
+        shares.append(best.skipped / best.compared)
+        results.append(sorted(zip(best.query.tolist(), best.key.tolist(), strict=True)))
+    assert results[0] == results[1] and len(results[0]) == 250
+    assert shares[0] < 0.05 and shares[1] > 0.6
+    odd = spark.createDataFrame([(1, None), (2, [1.0]), (3, [None]), (4, [])], "chunk_id long, embedding array<double>")
+    assert sorted(r.chunk_id for r in retrieval.clustered(odd).collect()) == [1, 2, 3, 4] and retrieval.clustered(odd.limit(0)).count() == 0

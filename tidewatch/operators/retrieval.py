@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +17,8 @@ from tidewatch.sources import scratch
 DIMENSIONS = 384
 #: Queries that are sent to every task at once.
 MOST_BROADCAST = 10_000
+#: Vectors of a block, and queries that are multiplied with it at once.
+BLOCK, TILE = 1024, 1024
 
 
 def tokens(text: Column) -> Column:
@@ -99,22 +107,131 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+class Best:
+    """The k best keys of each of many queries (rows of q) by inner product, from vectors that come in blocks. Equal
+    scores go by key. `skipped` of `compared` pairs of a query and a block were left out, as no vector of the
+    block could be among the query's best."""
+
+    def __init__(self, q: np.ndarray, k: int, least: float | None = None, digits: int | None = None):
+        self.q, self.k, self.digits = q, k, digits
+        self.least = -np.inf if least is None else least
+        self.norms = np.sqrt((q * q).sum(axis=1))
+        self.kth = np.full(len(q), -np.inf)  # the score that a vector has to reach
+        self.query, self.score, self.key = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.compared = self.skipped = 0
+
+    def add(self, vectors: np.ndarray, keys: np.ndarray) -> None:
+        """A block lies in a ball around its mean, so by the triangle inequality no inner product is over that
+        with the mean by more than the query's length times the radius."""
+        middle = vectors.mean(axis=0)
+        radius = float(np.sqrt(((vectors - middle) ** 2).sum(axis=1).max()))
+        most = self.q @ middle + self.norms * radius
+        most += 1e-9 * (1 + np.abs(most)) + (10.0**-self.digits if self.digits is not None else 0)
+        live = np.flatnonzero(most >= np.maximum(self.kth, self.least))
+        self.compared += len(self.q)
+        self.skipped += len(self.q) - len(live)
+        for start in range(0, len(live), TILE):
+            self._compare(live[start : start + TILE], vectors, keys)
+
+    def _compare(self, which: np.ndarray, vectors: np.ndarray, keys: np.ndarray) -> None:
+        score = vectors @ self.q[which].T
+        if self.digits is not None:
+            score = np.floor(score * 10.0**self.digits + 0.5) / 10.0**self.digits
+        reach = np.maximum(self.kth[which], self.least)
+        if len(keys) > self.k:
+            reach = np.maximum(reach, np.partition(score, len(keys) - self.k, axis=0)[len(keys) - self.k])
+        row, column = np.nonzero(score >= reach)
+        if not len(row):
+            return
+        mine = np.isin(self.query, which)
+        query = np.concatenate([self.query[mine], which[column]])
+        found = np.concatenate([self.score[mine], score[row, column]])
+        key = np.concatenate([self.key[mine], keys[row]])
+        _, rank = np.unique(key, return_inverse=True)
+        by = np.lexsort((rank, -found, query))
+        query, found, key = query[by], found[by], key[by]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        full = place == self.k - 1
+        self.kth[query[full]] = found[full]
+        kept = place < self.k
+        self.query, self.score, self.key = (np.concatenate([old[~mine], new[kept]]) for old, new in ((self.query, query), (self.score, found), (self.key, key)))
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float | None = None, key: str = "chunk_id", vector: str = "embedding", digits: int | None = None, batch: int = MOST_BROADCAST) -> DataFrame:
     """(query_id, key, score, rank): exact inner products of queries(query_id, embedding), a stated set,
-    with all vectors. Queries are dealt into blocks of `batch` rows or a little more; a task compares one
-    block with its part of the vectors and keeps its k best for each query before the shuffle, so what
-    moves is k rows for each query and task. Each block is broadcast and reads the vectors once."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    blocks = -(-q.agg(F.count("*")).first()[0] // batch)
-    part = lambda i: q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q
-    both = vectors.crossJoin(F.broadcast(part(0)))
-    for i in range(1, blocks):
-        both = both.unionByName(vectors.crossJoin(F.broadcast(part(i))))
-    score = inner_product(F.col(vector), F.col("_q"))
-    scored = both.select("query_id", key, (F.round(score, digits) if digits else score).alias("score"))
-    if min_score is not None:
-        scored = scored.where(F.col("score") >= min_score)
-    return top_k(scored, "query_id", "score", k, key)
+    with all vectors.
+
+    Queries are dealt into blocks of `batch` rows or a little more, each of which is sent to all tasks as a
+    matrix and reads the vectors once. A task multiplies it with blocks of vectors and keeps the k best of each query
+    (see Best), so no pair is sorted, and what moves is k rows for each query and task. Where neighbouring
+    vectors are alike, as in a table that clustered() gave, most blocks are skipped. Vectors that are null, hold
+    nulls or have another length than a query are not compared with it, nor are those with a null key.
+    """
+    some = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    q = queries.where(some(F.col("embedding"))).select("query_id", F.col("embedding").cast("array<double>").alias("_q"))
+    q = scratch.written(q, "queries")
+    sizes = q.groupBy(F.size("_q").alias("size")).agg(F.count("*").alias("n")).collect()  # a row for each length of vectors
+    rows = vectors.where(some(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v"))
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, `{key}` {rows.schema['_key'].dataType.simpleString()}, score double"
+
+    def found(asked: DataFrame, size: int) -> DataFrame:
+        table = asked.toArrow()
+        ids, matrix = table.column("query_id").combine_chunks(), table.column("_q").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = sent.value
+            top, kind = Best(matrix, k, min_score, digits), None
+            for rows in batches:
+                kind = rows.schema.field("_key").type
+                for start in range(0, rows.num_rows, BLOCK):
+                    part = rows.slice(start, BLOCK)
+                    keys = np.array([*part.column("_key").to_pylist(), None], object)[:-1]
+                    top.add(part.column("_v").flatten().to_numpy().reshape(-1, size), keys)
+            if kind is not None:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(top.query)), pa.array(top.key.tolist(), kind), pa.array(top.score)], ["query_id", key, "score"])
+
+        return rows.where(F.size("_v") == size).mapInArrow(best, kinds)
+
+    parts = []
+    for s in sizes:
+        blocks, of_size = -(-s.n // batch), q.where(F.size("_q") == s["size"])
+        for i in range(blocks):
+            got = found(of_size.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else of_size, s["size"])
+            parts.append(scratch.written(got, "nearest") if blocks > 1 else got)
+    none = vectors.sparkSession.createDataFrame([], kinds)
+    return top_k(reduce(DataFrame.unionByName, parts, none), "query_id", "score", k, key)
+
+
+def clustered(vectors: DataFrame, cells: int = 256, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """vectors in an order in which neighbours are alike: dealt out in ranges of the nearest of `cells` pivots. These
+    are taken, each the farthest from those before, from 4 * cells vectors that the hash of their keys chooses. A
+    table for vector_search to read; the order changes no result. Vectors that are null, hold nulls or have
+    another length than the first of the chosen come last."""
+    good = vectors.where((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()))
+    chosen = good.orderBy(F.xxhash64(key)).limit(4 * cells).select(F.col(vector).cast("array<double>").alias("v")).collect()
+    size = len(chosen[0].v) if chosen else 0
+    same = [r.v for r in chosen if len(r.v) == size]
+    sample = np.array(same).reshape(len(same), size)
+    picked, gap = [], np.full(len(sample), np.inf)
+    while len(picked) < min(cells, len(sample)):
+        picked.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((sample - sample[picked[-1]]) ** 2).sum(axis=1))
+    pivots = sample[picked]
+    half = (pivots * pivots).sum(axis=1) / 2
+
+    @F.pandas_udf("int")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            good = np.array([v is not None and len(v) == size and all(x is not None and x == x for x in v) for v in series], bool)
+            out = np.full(len(series), len(pivots), np.int32)
+            if good.any() and size:
+                x = np.array([np.asarray(v, float) for v in series[good]])
+                out[good] = (x @ pivots.T - half).argmax(axis=1)
+            yield pd.Series(out)
+
+    cell = vectors.withColumn("_cell", nearest(F.col(vector)))
+    return cell.repartitionByRange("_cell", key).sortWithinPartitions("_cell", key).drop("_cell")
 
 
 def indexed_vectors(chunks: DataFrame, embedder=None) -> DataFrame:
