@@ -39,19 +39,66 @@ def test_clean(spark):
     assert got == "Hello World\nThis is a test."
 
 
+def named_files(spark, *rows):
+    return spark.createDataFrame(list(rows), "filename string, content string").withColumn("sha256", F.sha2("content", 256))
+
+
 def test_ingest(spark, tmp_path):
     folder = str(tmp_path)
-    rows = [("b.txt", "same text"), ("a.txt", "same text"), ("c.txt", "other text")]
-    docs = spark.createDataFrame(rows, "filename string, content string").withColumn("sha256", F.sha2("content", 256))
+    assert corpus.corpus_table(spark, folder, "documents") is None
+    docs = named_files(spark, ("b.txt", "same text"), ("a.txt", "same text"), ("c.txt", "other text"))
     at = F.lit(dt.datetime(2026, 1, 1))
     assert [r.filename for r in corpus.ingest(spark, docs, folder, at).collect()] == ["b.txt"]
-    again = spark.createDataFrame([("z.txt", "other text"), ("n.txt", "new")], "filename string, content string").withColumn("sha256", F.sha2("content", 256))
-    assert [r.filename for r in corpus.ingest(spark, again, folder, F.lit(dt.datetime(2026, 1, 2))).select("filename").collect()] in ([], ["z.txt"])
-    stored = spark.read.parquet(f"{folder}/documents")
-    assert [r.source_title for r in corpus.list_documents(stored).collect()] [0] == "n.txt" and stored.count() == 3
-    every = corpus.ordered_chunks(spark.read.parquet(f"{folder}/chunks"), stored)
+    again = named_files(spark, ("z.txt", "other text"), ("n.txt", "new"), ("n.txt", "new"))
+    lost = corpus.ingest(spark, again, folder, F.lit(dt.datetime(2026, 1, 2)), more={"vectors": retrieval.indexed_vectors})
+    assert sorted(r.filename for r in lost.collect()) == ["n.txt", "z.txt"]
+    stored = corpus.corpus_table(spark, folder, "documents")
+    assert [r.source_title for r in corpus.list_documents(stored).collect()][0] == "n.txt" and stored.count() == 3
+    every = corpus.ordered_chunks(corpus.corpus_table(spark, folder, "chunks"), stored)
     assert every.count() == 3 and every.first().document_id.startswith("doc_")
     assert {r.n_words for r in corpus.document_sizes(every).collect()} == {1, 2}
+    assert corpus.corpus_table(spark, folder, "vectors", corpus.commits(spark, folder)[1:]).count() == 1
+    assert corpus.ingest(spark, docs, folder).count() == 3 and len(corpus.commits(spark, folder)) == 3
+
+
+def test_an_ingest_that_breaks_off_counts_for_nothing(spark, tmp_path):
+    """Wherever it breaks, the tables stay as they were, and a retry gives each chunk once."""
+    folder, docs = str(tmp_path), named_files(spark, ("a.txt", "one text"), ("b.txt", "two texts"))
+    corpus.ingest(spark, docs, folder)
+
+    def breaks(_):
+        raise RuntimeError("lost")
+
+    more = named_files(spark, ("b.txt", "two texts"), ("c.txt", "three texts here"))
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            corpus.ingest(spark, more, folder, more={"index": breaks})
+    assert corpus.corpus_table(spark, folder, "chunks").count() == 2 == corpus.corpus_table(spark, folder, "documents").count()
+    assert [r.filename for r in corpus.ingest(spark, more, folder).collect()] == ["b.txt"]
+    chunks = corpus.corpus_table(spark, folder, "chunks")
+    assert chunks.count() == 3 == chunks.select("chunk_id").distinct().count()
+    assert len(corpus.remove_uncommitted(spark, folder)) == 2 and corpus.remove_uncommitted(spark, folder) == []
+    assert corpus.corpus_table(spark, folder, "chunks").count() == 3
+
+
+def test_two_ingests_at_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def meanwhile(chunks):
+        corpus.ingest(spark, named_files(spark, ("b.txt", "text")), folder)
+        return chunks
+
+    with pytest.raises(corpus.IngestConflict):
+        corpus.ingest(spark, named_files(spark, ("a.txt", "text")), folder, more={"other": meanwhile})
+    assert [r.source_title for r in corpus.corpus_table(spark, folder, "documents").collect()] == ["b.txt"]
+
+
+def test_copies_do_not_meet_in_one_task(spark):
+    docs = spark.range(2000).select(F.format_string("f%05d", "id").alias("filename"), F.when(F.col("id") % 3 == 0, "").otherwise(F.col("id").cast("string")).alias("content")).withColumn("sha256", F.sha2("content", 256))
+    new, old = corpus.reject_duplicates(docs)
+    assert new.count() == 2000 - 667 + 1 and old.count() == 666 and new.where("content = ''").first().filename == "f00000"
+    window = [x for x in new._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
+    assert window and all("filename" in x for x in window)
 
 
 TEXTS = [("c1", "apple is a fruit fruit"), ("c2", "banana is a yellow fruit"), ("c3", "a car is transportation")]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import let, stripped
+from tidewatch.sources import scratch
 
 #: What ends a line: more than \n, as in str.splitlines.
 LINE_ENDS = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
@@ -30,15 +35,19 @@ def document_id(sha256: Column) -> Column:
 def reject_duplicates(documents: DataFrame, existing: DataFrame | None = None, order: str = "filename") -> tuple[DataFrame, DataFrame]:
     """(new, duplicates) of documents(sha256, ...): the first of each digest by `order`, unless the
     table `existing` has it already. The digest alone decides."""
-    n = F.row_number().over(Window.partitionBy("sha256").orderBy(order))
-    ranked = documents.withColumn("_n", n)
+    # the first of each digest is found before the shuffle: copies of one document never meet in one task
+    first = documents.groupBy("sha256").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > 1).select("sha256", "_first")
+    again = F.row_number().over(Window.partitionBy("sha256", order).orderBy(order))
+    ranked = documents.join(first, "sha256", "left").withColumn("_again", again)
     if existing is not None:
         known = existing.select("sha256").distinct().withColumn("_known", F.lit(True))
         ranked = ranked.join(known, "sha256", "left")
     else:
         ranked = ranked.withColumn("_known", F.lit(None).cast("boolean"))
-    fresh = (F.col("_n") == 1) & F.col("_known").isNull()
-    return ranked.where(fresh).drop("_n", "_known"), ranked.where(~fresh).drop("_n", "_known")
+    leads = F.col("_first").isNull() | F.col(order).eqNullSafe(F.col("_first"))
+    fresh = leads & (F.col("_again") == 1) & F.col("_known").isNull()
+    own = documents.columns
+    return ranked.where(fresh).select(own), ranked.where(~fresh).select(own)
 
 
 def overlap_pieces(text: Column, max_words: int = 400, overlap: int = 50) -> Column:
@@ -101,22 +110,88 @@ def document_sizes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.sum("word_count").alias("n_words"))
 
 
-def ingest(spark: SparkSession, documents: DataFrame, folder: str, created_at: Column | None = None, max_words: int = 400, overlap: int = 50) -> DataFrame:
-    """Appends documents(filename, content, sha256) to the tables folder/chunks and folder/documents and
-    returns the duplicates. Chunks are written first: a document counts once its row is there."""
+class IngestConflict(Exception):
+    """Another ingest committed while this one was at work; nothing of this one counts, so it can be tried again."""
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The path as one of Hadoop's, and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def commits(spark: SparkSession, folder: str) -> list[str]:
+    """The batches of a corpus that count, in order: each has a file in folder/commits, named by its number, that
+    names its folder."""
+    home, store = _hadoop(spark, f"{folder}/commits")
+    numbers = sorted(s.getPath().getName() for s in store.listStatus(home)) if store.exists(home) else []
+    numbers = [n for n in numbers if n.isdigit()]
+    if not numbers:
+        return []
+    read = spark.read.text([f"{folder}/commits/{n}" for n in numbers]).select(F.col("_metadata.file_name").alias("n"), "value")
+    return [r.value for r in sorted(read.collect())]  # a row for each ingest
+
+
+def corpus_table(spark: SparkSession, folder: str, name: str, batches: list[str] | None = None) -> DataFrame | None:
+    """A table (documents, chunks or one that ingest was asked for) over all committed batches, or those given; None
+    before the first."""
+    batches = commits(spark, folder) if batches is None else batches
+    return spark.read.parquet(*(f"{folder}/{b}/{name}" for b in batches)) if batches else None
+
+
+def _commit(spark: SparkSession, folder: str, number: int, batch: str) -> None:
+    """One rename makes all tables of a batch count, and fails if the number is taken."""
+    spare, store = _hadoop(spark, f"{folder}/{batch}/commit")
+    home, _ = _hadoop(spark, f"{folder}/commits")
+    store.mkdirs(home)
+    out = store.create(spare, False)
+    out.write(bytearray(batch.encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration())
+    plain = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
-        existing = spark.read.parquet(f"{folder}/documents")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        context.rename(spare, _hadoop(spark, f"{folder}/commits/{number:08d}")[0], plain)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception):
             raise
-        existing = None
-    fresh, duplicates = reject_duplicates(documents, existing)
+        raise IngestConflict(f"{folder}: batch {number} is there") from e
+
+
+def ingest(
+    spark: SparkSession, documents: DataFrame, folder: str, created_at: Column | None = None, max_words: int = 400, overlap: int = 50, more: dict[str, Callable[[DataFrame], DataFrame]] | None = None
+) -> DataFrame:
+    """Adds documents(filename, content, sha256) to the corpus in a folder and returns the duplicates, which are
+    those of the batch and of what was there before.
+
+    A batch is a folder with the tables documents, chunks and, for each name in `more`, what its function makes of
+    the batch's chunks (an index, say: {"vectors": retrieval.indexed_vectors}). It counts from the moment that its
+    commit file is in place: a job that breaks off before leaves tables that no reader sees, and a retry
+    starts anew. Of two ingests at once one gets an IngestConflict. The folder's store must rename a file at once
+    and not over another (local disks and HDFS do).
+    """
+    done = commits(spark, folder)
+    fresh, duplicates = reject_duplicates(documents, corpus_table(spark, folder, "documents", done))
     rows = fresh.select(document_id(F.col("sha256")).alias("document_id"), F.col("filename").alias("source_title"), clean_text(F.col("content")).alias("content"), "sha256", (created_at if created_at is not None else F.current_timestamp()).alias("created_at"))
-    chunk_documents(rows, max_words, overlap).write.mode("append").parquet(f"{folder}/chunks")
-    rows.drop("content").write.mode("append").parquet(f"{folder}/documents")
+    rows = scratch.written(rows, "ingest")
+    batch = f"batch-{len(done) + 1:08d}-{uuid.uuid4().hex}"
+    chunk_documents(rows, max_words, overlap).write.parquet(f"{folder}/{batch}/chunks")
+    rows.drop("content").write.parquet(f"{folder}/{batch}/documents")
+    for name, of in (more or {}).items():
+        of(spark.read.parquet(f"{folder}/{batch}/chunks")).write.parquet(f"{folder}/{batch}/{name}")
+    _commit(spark, folder, len(done) + 1, batch)
     return duplicates
 
 
+def remove_uncommitted(spark: SparkSession, folder: str) -> list[str]:
+    """Delete what broken ingests left and return its names. Not while one is at work."""
+    home, store = _hadoop(spark, folder)
+    kept = set(commits(spark, folder))
+    lost = [s.getPath() for s in store.listStatus(home) if s.getPath().getName().startswith("batch-") and s.getPath().getName() not in kept]
+    for path in lost:
+        store.delete(path, True)
+    return [path.getName() for path in lost]
+
+
 def list_documents(documents: DataFrame) -> DataFrame:
     """Newest first."""
     return documents.orderBy(F.desc("created_at"), "document_id")

@@ -198,7 +198,7 @@ def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = registry._documents(spark, sf_dir)
     corpus.ingest(spark, d.where("doc_id % 2 = 0"), folder, F.timestamp_seconds(F.lit(1000)))
     corpus.ingest(spark, d, folder, F.timestamp_seconds(F.lit(2000)))
-    stored, chunks = spark.read.parquet(f"{folder}/documents"), spark.read.parquet(f"{folder}/chunks")
+    stored, chunks = (corpus.corpus_table(spark, folder, n) for n in ("documents", "chunks"))
     listed = corpus.list_documents(stored).select("document_id", "source_title", F.unix_seconds("created_at").alias("at"))
     sizes = corpus.document_sizes(corpus.ordered_chunks(chunks, stored))
     place = F.row_number().over(Window.orderBy(F.desc("at"), "document_id"))  # one row for each document, in the order of the list
