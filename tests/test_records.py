@@ -1,0 +1,93 @@
+from __future__ import annotations
+
+import json
+import random
+
+import numpy as np
+import pytest
+
+from tidewatch.sources import files, records
+
+
+def plain_strings(data, state):
+    """Byte by byte."""
+    out, inside, escaped = [], state != records.OUTSIDE, state == records.ESCAPED
+    for b in data:
+        was = inside
+        if inside and escaped:
+            escaped = False
+        elif inside and b == 92:
+            escaped = True
+        elif b == 34:
+            inside = not inside
+        out.append(not was and not inside)
+    return out, (records.ESCAPED if escaped else records.INSIDE) if inside else records.OUTSIDE
+
+
+def odd_values(rng, n):
+    texts = ['a "quoted" {word}', "back\\slash", "ends in \\\\", '\\"', "[1, 2}", "", "é \n", "}]", '"' * 3, "\\" * 5]
+    value = lambda d: rng.choice([1, None, True, rng.choice(texts), [rng.choice(texts), {}], {rng.choice(texts): value(d + 1)} if d < 3 else 2])
+    return [{rng.choice("abc"): value(0), rng.choice(texts) + "k": value(0), "n": i} for i in range(n)]
+
+
+def test_strings_byte_by_byte():
+    rng = random.Random(1)
+    for _ in range(300):
+        text = json.dumps(odd_values(rng, 2), ensure_ascii=rng.random() < 0.5).encode()
+        at, state, got = 0, records.OUTSIDE, []
+        while at < len(text):
+            piece = text[at : at + rng.choice([1, 2, 3, 9, 50])]
+            outside, state = records.strings(np.frombuffer(piece, np.uint8), state)
+            got += outside.tolist()
+            at += len(piece)
+            assert (got, state) == plain_strings(text[:at], records.OUTSIDE)
+
+
+@pytest.mark.parametrize("part", [1, 5, 64, 1000, 1 << 20])
+def test_ranges_give_each_record_once(part):
+    rng = random.Random(part)
+    for level, start in ((1, 1), (2, 12)):
+        values = odd_values(rng, 20)
+        text = json.dumps(values, indent=rng.choice([None, 1]), ensure_ascii=False).encode()
+        text = text if level == 1 else b'{"Records":%b}' % text
+        state, depth, got = records.OUTSIDE, level, []
+        for a in range(start, len(text), part):
+            b = min(a + part, len(text))
+            got += records.records_in(lambda x, y: text[x:y], a, b, state, depth, level)  # noqa: B023
+            end, deeper, _ = records.summary(text[a:b])[state]
+            state, depth = end, depth + deeper
+        assert (state, depth) == (records.OUTSIDE, 0)
+        assert [json.loads(t) for _, t in got] == values
+        assert all(text[p : p + len(t)] == t for p, t in got)
+
+
+def test_split_files_are_whole_files(spark, tmp_path):
+    rng = random.Random(5)
+    values = odd_values(rng, 300)
+    (tmp_path / "array.json").write_text(json.dumps(values, ensure_ascii=False))
+    (tmp_path / "wrapped.json").write_text(json.dumps({"Records": values}, indent=2))
+    (tmp_path / "more.json").write_text(json.dumps({"Records": values[:50], "others": [{"not": "one"}] * 9}))
+    (tmp_path / "numbers.json").write_text('[1, {"a": 2}, "x", [{"b": 3}]]')
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, values)))
+    (tmp_path / "broken.json").write_text('[{"a": 1}, {"b": ')
+    (tmp_path / "empty.json").write_text(" [] ")
+    (tmp_path / "text.log").write_text("one\n\ntwo\n")
+    key = lambda r: (r.source_id.rpartition("/")[2], r.line_no)
+    read = lambda df: [(key(r)[0], json.loads(r.raw) if r.raw.startswith("{") and r.raw.endswith("}") else r.raw) for r in sorted(df.collect(), key=key)]
+    want = read(files.record_files(spark, str(tmp_path)))
+    for part in (700, 1 << 20):
+        assert read(records.split_record_files(spark, str(tmp_path), part)) == want
+    assert len(want) == 950 + 1 + 1 + 2
+    one = records.split_record_files(spark, str(tmp_path / "array.json"), 500)
+    assert one.rdd.glom().map(len).filter(lambda n: n > 0).count() > 10
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    n = 60_000
+    with (tmp_path / "big.json").open("w") as f:
+        f.write('{"Records": [')
+        f.write(",\n".join(json.dumps({"n": i, "text": 'x"{[' * (i % 40)}) for i in range(n)))
+        f.write("]}")
+    got = records.split_record_files(spark, str(tmp_path / "big.json"), 1 << 20)
+    rows = got.selectExpr("get_json_object(raw, '$.n') as n").distinct().count()
+    assert rows == n == got.count()

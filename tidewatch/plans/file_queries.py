@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import bursts, corpus, normalize, reports, retrieval, scoring
 from tidewatch.plans import registry, render
 from tidewatch.plans.registry import DAY, YEAR, query
-from tidewatch.sources import files, scratch, tail
+from tidewatch.sources import files, records, scratch, tail
 from tidewatch.streaming import bursts as stream
 
 _E, _SSH, _F = registry._E, registry._SSH, registry._F
@@ -127,7 +127,7 @@ def cloudtrail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry._shown(normalize.normalize_cloudtrail(_raw(e, line), fallback_ts=_fallback()))
 
 
-def _record_files(spark: SparkSession, e: DataFrame, head: str, tail: str) -> DataFrame:
+def _record_files(spark: SparkSession, e: DataFrame, head: str, tail: str, split: int | None = None) -> DataFrame:
     """Rows of rendered records written as files of 500, even ones as one JSON value and odd ones as lines
     with blank ones between, and read again: (part, line_no, raw)."""
     path = scratch.new_path(spark, "records")
@@ -135,7 +135,8 @@ def _record_files(spark: SparkSession, e: DataFrame, head: str, tail: str) -> Da
     one = F.concat(F.lit(f" {head}"), F.array_join("raws", ", "), F.lit(f"{tail} "))
     value = F.when(F.col("part") % 2 == 0, one).otherwise(F.array_join("raws", "\n \n"))
     part.select("part", value.alias("value")).repartition("part").write.partitionBy("part").text(path)
-    got = files.record_files(spark, path)
+    got = records.split_record_files(spark, path, split) if split else files.record_files(spark, path)
+    got = got.withColumn("line_no", F.row_number().over(Window.partitionBy("source_id").orderBy("line_no")).cast("long"))
     return got.withColumn("part", F.regexp_extract("source_id", "part=([0-9]+)/", 1).cast("long"))
 
 
@@ -153,14 +154,24 @@ def windows_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of_file(normalize.normalize_windows(got.withColumn("source_id", F.col("part"))))
 
 
-@query(f"""select {_PART}, epoch(ts)::bigint as ts, ip as source_ip, name as "user", case event_type when 'error' then 'failed_login' when 'click' then 'successful_login' when 'purchase' then 'failed_aws_describeinstances'
-    else 'aws_describeinstances' end as event_type, true as is_parsed from ({_E})""")
+_CLOUDTRAIL = f"""select {_PART}, epoch(ts)::bigint as ts, ip as source_ip, name as "user", case event_type when 'error' then 'failed_login' when 'click' then 'successful_login' when 'purchase' then 'failed_aws_describeinstances'
+    else 'aws_describeinstances' end as event_type, true as is_parsed from ({_E})"""
+
+
+@query(_CLOUDTRAIL)
 def cloudtrail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that hold a list of records, or lines."""
     got = _record_files(spark, render.cloudtrail_lines(spark, sf_dir), '{"Records": [', "]}")
     return _of_file(normalize.normalize_cloudtrail(got.withColumn("source_id", F.col("part"))))
 
 
+@query(_CLOUDTRAIL)
+def split_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files cut into ranges of 40,000 bytes, each read by a task of its own."""
+    got = _record_files(spark, render.cloudtrail_lines(spark, sf_dir), '{"Records": [', "]}", split=40_000)
+    return _of_file(normalize.normalize_cloudtrail(got.withColumn("source_id", F.col("part"))))
+
+
 @query("""with f as (select source, string_agg(text || chr(10), '' order by doc_id) as body from documents group by source),
     k as (select source, unnest(['txt', 'json']) as ending, body from f)
     select source, ending, case when ending = 'txt' then 'txt' end as logs, case when ending = 'json' then 'extension' else 'ok' end as knowledge, case when ending = 'txt' then sha256(body) end as sha256 from k""")

@@ -41,16 +41,16 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
-def listed(path: str) -> list[fs.FileInfo]:
-    """The files that a path names: a file, the files of a folder, or those of a folder whose names fit a
-    pattern. Hidden ones, and names that start with `_`, are passed over; a folder that is not there has none."""
+def listed(path: str, inside_too: bool = False) -> list[fs.FileInfo]:
+    """The files that a path names: a file, the files of a folder (`inside_too`: and of the folders in it), or those
+    of a folder whose names fit a pattern. Hidden ones, and names that start with `_`, are passed over; a folder that is not there has none."""
     store, inside = _store(path)
     folder, _, name = inside.rpartition("/")
     if any(c in name for c in "*?["):
         found = [f for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if fnmatch.fnmatchcase(f.base_name, name)]
     else:
         one = store.get_file_info(inside)
-        found = [one] if one.is_file else store.get_file_info(fs.FileSelector(inside, allow_not_found=True))
+        found = [one] if one.is_file else store.get_file_info(fs.FileSelector(inside, allow_not_found=True, recursive=inside_too))
     return sorted((f for f in found if f.is_file and not f.base_name.startswith((".", "_"))), key=lambda f: f.path)
 
 
