@@ -119,3 +119,37 @@ def test_incident_evidence(spark):
     got = incidents.incident_evidence(bursts.burst_incidents(e, threshold=5, window_seconds=60), e, chunks, k=1).collect()
     assert len(got) == 1 and got[0].packed_ids == ["c1"] and "repeated password attempts" in got[0].query
     assert "10.9.8.7" not in got[0].query and '"total_lines": 5' in got[0].evidence and "--- Chunk ID: c1 ---" in got[0].evidence and "10.1.1.1" not in got[0].evidence
+
+
+def test_latencies_from_merged_sketches(spark):
+    """Medians and P95 of days merged in any grouping lie within 2 % of rank of the exact ones."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"p{i % 2}", i % 9, rng.lognormvariate(6, 1), None if i % 2 else float(i), None) for i in range(20_000)]
+    runs = spark.createDataFrame(rows, "profile string, day int, total_latency_ms double, time_to_first_token_ms double, token_rate double")
+    got = {r.profile: r for r in scoring.merged_latencies(scoring.latency_sketches(runs, "day")).collect()}
+    for p in ("p0", "p1"):
+        times = sorted(r[2] for r in rows if r[0] == p)
+        for name, q in (("median_latency_ms", 0.5), ("p95_latency_ms", 0.95)):
+            assert times[int((q - 0.02) * len(times))] <= got[p][name] <= times[int((q + 0.02) * len(times))]
+        assert got[p].n_runs == 10_000 and got[p].median_token_rate is None
+    assert abs(got["p0"].median_first_token_ms - 10_000) < 400 and got["p1"].median_first_token_ms is None
+    assert scoring.merged_latencies(scoring.latency_sketches(runs.limit(0))).count() == 0
+
+
+def test_users_from_merged_sketches(spark):
+    """Distinct users over days that share most of them, within 5 % where there are many and exact where few."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators import facts
+
+    e = spark.range(60_000).select(F.lit("s").alias("source_id"), F.col("id").alias("line_no"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 5 * 86_400).alias("ts"), F.lit("a").alias("source_ip"), F.concat(F.lit("u"), (F.col("id") % 20_000).cast("string")).alias("user"), F.lit(True).alias("is_parsed"))
+    few = spark.createDataFrame([("s", i, dt.datetime(2026, 1, 1 + i % 3), "b", u, True) for i, u in enumerate(["x", "y", "x", "", None, "z"])], e.schema)
+    sketches = facts.user_sketches(e.unionByName(few))
+    got = {r.ip: (r.n_days, r.n_users) for r in facts.ip_users(sketches).collect()}
+    assert got["a"][0] == 5 and abs(got["a"][1] - 20_000) < 1000 and got["b"] == (3, 3)
+    one = facts.ip_users(sketches.where("day = '2026-01-01'")).collect()
+    assert [(r.ip, r.n_users) for r in one] == [("b", 1)]

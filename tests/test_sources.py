@@ -78,3 +78,11 @@ def test_benchmark_cases_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).first().case_id == "1"
     files.write_lines(got, "case_id", str(tmp_path / "lines"))
     assert spark.read.text(str(tmp_path / "lines")).first().value == "1"
+
+
+def test_documents_by_ending(spark):
+    rows = [("x/a.md", b"# t"), ("x/b.PDF", b"%PDF"), ("x/c.pdf", b"%PDF2"), ("x/d.doc", b"?"), ("x/e.txt", b"\xff")]
+    pages = spark.createDataFrame([("x/b.PDF", 2, "two"), ("x/b.PDF", 1, "one"), ("x/c.pdf", 1, " "), ("x/other.pdf", 1, "n")], "path string, page_no int, text string")
+    good, bad = files.parse_documents(spark.createDataFrame(rows, "path string, content binary"), pages)
+    assert {r.filename: r.content for r in good.collect()} == {"a.md": "# t", "b.PDF": "--- Page 1 ---\none\n--- Page 2 ---\ntwo"}
+    assert {r.filename: r.rejected_reason for r in bad.collect()} == {"c.pdf": "empty", "d.doc": "unsupported", "e.txt": "encoding"}

@@ -50,6 +50,24 @@ def ip_facts(events: DataFrame, most_users: int | None = None) -> DataFrame:
     return got.join(kept, ["source_id", "ip"], "left").withColumns({"users_attempted": F.coalesce("users_attempted", none), "n_users": F.coalesce("n_users", F.lit(0).cast("long"))})
 
 
+#: log2 of the buckets of user sketches: a relative error of 1.04 / sqrt(2^12), 1.6 %.
+HLL_BITS = 12
+
+
+def user_sketches(events: DataFrame) -> DataFrame:
+    """(source_id, ip, day, users): for each address and day a sketch of its users, at most 4 KB however many they
+    are. The rows of a day are stored once; ip_users() merges any of them."""
+    e = events.where(F.col("is_parsed") & (F.coalesce("source_ip", F.lit("")) != "") & (F.coalesce("user", F.lit("")) != ""))
+    return e.groupBy("source_id", F.col("source_ip").alias("ip"), F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user", HLL_BITS).alias("users"))
+
+
+def ip_users(sketches: DataFrame) -> DataFrame:
+    """(source_id, ip, n_days, n_users) of the days that are given: the distinct users over all of them, within a few
+    per cent, exact while they are few. ip_facts() has the exact list."""
+    got = sketches.groupBy("source_id", "ip").agg(F.count_distinct("day").alias("n_days"), F.hll_union_agg("users").alias("users"))
+    return got.select("source_id", "ip", "n_days", F.hll_sketch_estimate("users").alias("n_users"))
+
+
 def nested_analysis(logs: DataFrame, ips: DataFrame) -> DataFrame:
     """One row for each log with its addresses as an array in order of first appearance."""
     item = F.struct("first_line", "ip", "failed_attempts", "successful_attempts", "first_seen", "last_seen", "users_attempted")

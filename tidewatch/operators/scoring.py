@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.sources import files
+
 # Language that a cautious report avoids.
 PROHIBITED = r"(?iU)\b(definitely|certainly|undoubtedly|without (a )?doubt|guaranteed|100% (certain|sure)|conclusively|proves that)\b|\b(automatically|immediately) (block|delete|disable|ban|shut ?down|quarantine)|\bhack(ing)? back\b"
 
@@ -60,6 +62,35 @@ def profile_summary(scores: DataFrame) -> DataFrame:
     return scores.groupBy("profile").agg(F.count("*").alias("total_cases"), F.count_if(~failed).alias("successful_cases"), F.count_if(failed).alias("failed_cases"))
 
 
+def write_results(scores: DataFrame, folder: str) -> None:
+    """The results of a benchmark as JSON: folder/scores, a line for each case and profile, and folder/summary, one
+    for each profile. What was there is replaced."""
+    files.write_json(scores, f"{folder}/scores")
+    files.write_json(profile_summary(scores), f"{folder}/summary")
+
+
+#: Accuracy of latency_sketches: rank errors of about 1 %.
+KLL_K = 200
+_LATENCIES = ("total_latency_ms", "time_to_first_token_ms", "token_rate")
+
+
+def latency_sketches(runs: DataFrame, *by: str) -> DataFrame:
+    """(profile, by..., n_runs, a quantile sketch for each latency and the token rate): rows that can be stored, say
+    by day, and merged later. Nulls don't count; a column of nulls alone has a null sketch."""
+    sketch = lambda c: F.when(F.count(c) > 0, F.kll_sketch_agg_double(F.col(c).cast("double"), KLL_K)).alias(c)
+    return runs.groupBy("profile", *by).agg(F.count("*").alias("n_runs"), *map(sketch, _LATENCIES))
+
+
+def merged_latencies(sketches: DataFrame) -> DataFrame:
+    """(profile, n_runs, median_latency_ms, p95_latency_ms, median_first_token_ms, median_token_rate) of all rows of
+    a profile's sketches: within about 1 % of the rank of the exact ones of benchmark_statistics."""
+    merged = sketches.groupBy("profile").agg(F.sum("n_runs").alias("n_runs"), *(F.kll_merge_agg_double(c, KLL_K).alias(c) for c in _LATENCIES))
+    at = lambda c, q: F.when(F.kll_sketch_get_n_double(c) > 0, F.kll_sketch_get_quantile_double(c, F.lit(q)))
+    return merged.select(
+        "profile", "n_runs", at("total_latency_ms", 0.5).alias("median_latency_ms"), at("total_latency_ms", 0.95).alias("p95_latency_ms"), at("time_to_first_token_ms", 0.5).alias("median_first_token_ms"), at("token_rate", 0.5).alias("median_token_rate")
+    )
+
+
 def benchmark_statistics(runs: DataFrame) -> DataFrame:
     """One row for each profile of runs(profile, case_id, findings, expected_findings, claims_cited,
     claims, recommendation_kinds, expected_kinds, total_latency_ms, time_to_first_token_ms, token_rate):

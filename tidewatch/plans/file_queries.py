@@ -8,7 +8,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import bursts, corpus, normalize, reports, retrieval, scoring
+from tidewatch.operators import bursts, corpus, facts, normalize, reports, retrieval, scoring
 from tidewatch.plans import registry, render
 from tidewatch.plans.registry import DAY, YEAR, query
 from tidewatch.sources import files, records, scratch, tail
@@ -368,8 +368,6 @@ _STAMP = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
         || case when bad > 0 then ',' || chr(10) || '    "' || bad || ' line(s) could not be parsed."' else '' end || chr(10) || '  ]' || chr(10) || '}}') as json_sha256 from l join a using (source_id)""")
 def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts of a log with its addresses as the JSON of an evidence text."""
-    from tidewatch.operators import facts
-
     e = registry._ssh(spark, sf_dir)
     a = facts.nested_analysis(facts.log_facts(e), facts.ip_facts(e))
     text = reports.analysis_json(F.struct("total_lines", "unparsed_lines", "start_time", "end_time", "ip_aggregations", "limitations"))
@@ -381,3 +379,67 @@ def burst_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures by the stateless flag, for a key of two columns."""
     got = bursts.burst_flags(render.failures(spark, sf_dir), ("source_id", "user"), 3, DAY)
     return got.where("is_burst").select("line_no", "n_recent")
+
+
+_PRIVILEGED = "user_id % 10 in (3, 7) and ok"
+
+
+@query(f"""select source_id, bool_or({_PRIVILEGED}) as privileged, count(*) filter ({_PRIVILEGED}) as privileged_attempts, coalesce(bool_or({_PRIVILEGED}), false) as asked from ({_SSH}) group by 1""")
+def privileged_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs whose users are root or Admin, or have a name that only begins so, in every fact that tells of them."""
+    lines = render.ssh_lines(spark, sf_dir)
+    for digit, name in ((3, "Admin"), (7, "root"), (5, "rooted")):
+        lines = lines.withColumn("raw", F.regexp_replace("raw", rf"\buser\d*{digit}\b", name))
+    e = normalize.normalize_ssh(lines, YEAR)
+    flags = facts.concept_flags(facts.ip_facts(e))
+    text = facts.retrieval_query(facts.log_facts(e), flags).select("source_id", F.contains("query", F.lit(facts.PRIVILEGED_TEXT)).alias("asked"))
+    return flags.select("source_id", "privileged").join(facts.activity_summary(e).select("source_id", "privileged_attempts"), "source_id").join(text, "source_id")
+
+
+@query(f"""select source_id, ip, count(distinct ts::date) as n_days, count(distinct name) as n_users from (select * replace ('10.9.9.' || (user_id % 7) as ip) from ({_SSH})) where ok group by 1, 2""")
+def address_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of each address from sketches by day, merged; so few that they are exact."""
+    e = registry._ssh(spark, sf_dir)
+    e = e.withColumn("source_ip", F.when(F.col("source_ip").isNotNull(), F.concat(F.lit("10.9.9."), (F.substring("user", 5, 20).cast("long") % 7).cast("string"))))
+    stored = scratch.written(facts.user_sketches(e), "sketches")
+    return facts.ip_users(stored)
+
+
+@query("""select 'p' || (k % 3) as profile, count(*) as n_runs, true as median_near, true as p95_near from (select distinct doc_id as k from labels) group by 1""")
+def merged_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from sketches of each repetition, merged, lie where exact ones of ranks 2 % lower and higher say."""
+    runs = registry._runs(spark, sf_dir)
+    stored = scratch.written(scoring.latency_sketches(runs, "repetition"), "sketches")
+    exact = runs.groupBy("profile").agg(F.percentile("total_latency_ms", F.array(*map(F.lit, (0.48, 0.52, 0.93, 0.97)))).alias("x"))
+    got = scoring.merged_latencies(stored).join(exact, "profile")
+    near = lambda c, i: F.col(c).between(F.col("x")[i], F.col("x")[i + 1])
+    return got.select("profile", "n_runs", near("median_latency_ms", 0).alias("median_near"), near("p95_latency_ms", 2).alias("p95_near"))
+
+
+@query(f"""select * from ({registry._SQL["report_scores"]}) join ({registry._SQL["profile_summary"]}) using (profile)""")
+def score_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score tables written as JSON and read again."""
+    folder, scores = scratch.new_path(spark, "scores"), registry._scores(spark, sf_dir)
+    scoring.write_results(scores, folder)
+    read = spark.read.schema(scores.schema).json(f"{folder}/scores")
+    read = read.select("profile", "case_id", "schema_compliance", "risk_consistency", "citation_validity", F.round("token_rate", 6).alias("token_rate"))
+    return read.join(spark.read.schema(scoring.profile_summary(scores).schema).json(f"{folder}/summary"), "profile")
+
+
+@query(r"""with d as (select doc_id, doc_id % 5 as k, text, 'd' || doc_id || (['.md', '.TXT', '.pdf', '.docx', '.pdf'])[doc_id % 5 + 1] as filename from documents)
+    select filename, case k when 2 then sha256('--- Page 1 ---' || chr(10) || 'p' || doc_id || chr(10) || '--- Page 3 ---' || chr(10) || text) when 0 then sha256(text) when 1 then sha256(text) end as content_sha256,
+    sha256(text) as sha256, case k when 3 then 'unsupported' when 4 then 'empty' end as rejected_reason from d""")
+def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admitted files of four endings, one of which nothing reads, and page texts that some documents lack."""
+    d = render.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 5).alias("k"))
+    ending = F.element_at(F.array(*map(F.lit, (".md", ".TXT", ".pdf", ".docx", ".pdf"))), (F.col("k") + 1).cast("int"))
+    d = d.withColumn("path", F.concat(F.lit("in/d"), F.col("doc_id").cast("string"), ending)).withColumn("content", F.col("text").cast("binary"))
+    rule = files.Admission((".md", ".txt", ".pdf", ".docx"), 1 << 30)
+    let_in, _ = files.admit(d.select("path", F.octet_length("text").cast("long").alias("length"), "content"), rule)
+    page = lambda n, t: F.struct(F.lit(n).alias("n"), t.alias("t"))
+    told = F.array(page(3, F.col("text")), page(1, F.concat(F.lit("p"), F.col("doc_id").cast("string"))), page(2, F.lit(" \n")))
+    blank = F.array(page(1, F.lit("\t")))
+    pages = d.where("k in (2, 4)").select("path", F.inline(F.when(F.col("k") == 2, told).otherwise(blank)).alias("page_no", "text"))
+    good, bad = files.parse_documents(let_in, pages)
+    none = F.lit(None).cast("string")
+    return good.select("filename", F.sha2("content", 256).alias("content_sha256"), "sha256", none.alias("rejected_reason")).unionByName(bad.select("filename", none.alias("content_sha256"), "sha256", "rejected_reason"))

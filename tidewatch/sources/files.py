@@ -152,6 +152,19 @@ def text_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, f.where("rejected_reason is not null").select("filename", "sha256", "rejected_reason")
 
 
+def parse_documents(files: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected) of accepted files(path, content) of every kind, told apart by their endings: Markdown and
+    text as they are, page-marked documents (.pdf) from pages(path, page_no, text), which some other program has
+    read from them. documents: (filename, content, sha256); the digest is the file's. rejected: (filename, sha256,
+    rejected_reason): `unsupported` endings, `encoding`, and `empty` for a document whose pages hold no text."""
+    paged = F.lower("path").endswith(".pdf")
+    plain, refused = text_documents(files.where(~paged))
+    named = files.where(paged).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"))
+    read = named.join(assemble_pages(pages, "path"), "path", "left")
+    empty = read.where("content is null").select("filename", "sha256", F.lit("empty").alias("rejected_reason"))
+    return plain.unionByName(read.where("content is not null").select("filename", "content", "sha256")), refused.unionByName(empty)
+
+
 def assemble_pages(pages: DataFrame, doc: str = "doc_id", number: str = "page_no", text: str = "text") -> DataFrame:
     """(doc, content): the pages of each document in order, each under `--- Page n ---`, empty ones
     skipped; a document without any text has no row."""
