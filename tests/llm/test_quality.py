@@ -140,3 +140,18 @@ def test_labels(spark):
     assert sorted(r.grade for r in got) == [0, 2, 2]
     again = qc.labelled_sample(docs.repartition(7), qc.ratings(labels), "doc_id", "text", "grade", 10, 5).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_power_of_host_verdicts(spark):
+    """Hosts of several sizes whose documents fail a rule at rates of their own, among 60 of the usual rate: clearly bad
+    ones of 30 documents or more are found, no usual one of any size is, and a few bad documents condemn no host."""
+    rng = random.Random(4)
+    hosts = [(f"usual{i}", rng.choice([3, 20, 100, 1000]), 0.05) for i in range(60)]
+    bad = [("bad30", 30, 0.6), ("bad100", 100, 0.4), ("bad1000", 1000, 0.25)]
+    hosts += [*bad, ("tiny", 3, 1.0), ("twice", 1000, 0.09)]
+    rows = [(h, i < round(n * rate)) for h, n, rate in hosts for i in range(n)]
+    df = spark.createDataFrame(rows, "source string, failed_symbols boolean")
+    others = {f"failed_{r}": F.lit(False) for r in rules.RULES if r != "symbols"}
+    got = {r.host: r for r in rules.host_rates(df.withColumns(others | {"base_failed": F.lit(False)})).collect()}
+    assert {h for h, r in got.items() if r.host_failed} == {h for h, _, _ in bad}
+    assert all(r.host_rules == ["symbols"] for r in got.values() if r.host_failed)

@@ -202,3 +202,18 @@ def test_probe_conversation(spark, sf_dir):
     x = "</s>[INST] ok [/INST]"
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(x), hashlib.sha256(x.encode()).hexdigest())
     assert r.turns_sha256 == hashlib.sha256(f"user\n{x}\nassistant\n{x}\n".encode()).hexdigest()
+
+
+def test_a_node_given_twice_is_one_row(spark):
+    """Parent, score, role and text come from the same row, the least, wherever the rows are."""
+    rows = [(1, 1, None, "user", "root", 0.0), (1, 2, 1, "assistant", "b", 2.0), (1, 2, 1, "assistant", "a", 2.0), (1, 2, 1, "zzz", "c", 1.0), (1, 3, 1, "assistant", "other", 1.5), (1, 3, None, "user", "top", 9.0)]
+    schema = "conv_id long, node long, parent long, role string, text string, score double"
+    want = None
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = chat.format_trees(spark.createDataFrame(rows, schema).repartition(3), per_tree=3)
+        got = sorted((r.leaf, r.formatted) for r in got.collect())
+        want = want or got
+        assert got == want
+    turn = lambda role, text: f"<|turn|>{role}<|says|>{text}<|end|>"
+    assert want == [(2, turn("user", "root") + turn("zzz", "c")), (3, turn("user", "top"))]

@@ -32,10 +32,11 @@ def best_paths(nodes: DataFrame, tree: str, node: str, parent: str, score: str,
     to the smaller leaf. Pointer doubling: round k joins every node's 2^k-th ancestor to itself, and
     the paths found so far to those ancestors, so a tree of depth d takes log2(d) self-joins, and only
     ids move. A node whose parent is null or absent is a root; a node that is its own ancestor is on
-    no path from a root and is left out.
+    no path from a root and is left out. Of the rows of one node the least by parent (null first), then
+    score, counts. Scores are added in their own order, so that reruns agree on ties.
     """
     n = nodes.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"))
-    n = cut(n.where("n is not null").dropDuplicates(["t", "n"]))
+    n = cut(n.where("n is not null").groupBy("t", "n").agg(F.min(F.struct("p", "s")).alias("one")).select("t", "n", "one.p", "one.s"))
     ids = n.select(F.col("t").alias("t2"), F.col("n").alias("n2"))
     up = n.join(ids, same(F.col("t"), F.col("t2")) & (F.col("p") == F.col("n2")), "left").select("t", F.col("n").alias("x"), F.col("n2").alias("up"))
     parents = up.where("up is not null").select(F.col("t").alias("t2"), F.col("up").alias("p2")).distinct()
@@ -51,7 +52,8 @@ def best_paths(nodes: DataFrame, tree: str, node: str, parent: str, score: str,
         jump = cut(k.join(j, same(F.col("t"), F.col("t2")) & (F.col("mid") == F.col("x2"))).select("t", F.col("x1").alias("x"), "up"))
         step *= 2
     scored = paths.join(n.select(F.col("t").alias("t2"), F.col("n").alias("n2"), "s"), same(F.col("t"), F.col("t2")) & (F.col("x") == F.col("n2")))
-    branches = scored.groupBy("t", "leaf").agg(F.avg("s").alias("score"), F.max("above").alias("depth"))
+    branches = scored.groupBy("t", "leaf").agg(F.array_sort(F.collect_list("s")).alias("s"), F.max("above").alias("depth"))
+    branches = branches.select("t", "leaf", (F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")).alias("score"), "depth")
     if per_tree == 1:
         best = branches.groupBy("t").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("depth")).alias("d"), "leaf")).alias("b")).select("t", F.col("b.leaf").alias("leaf"), (-F.col("b.d")).alias("depth"))
     else:
@@ -70,12 +72,12 @@ def format_trees(nodes: DataFrame, tree: str = "conv_id", node: str = "node", pa
     formatted is `<|turn|>role<|says|>text<|end|>` for each node from root to leaf, with control
     strings in roles and texts escaped. loss_spans are the (start, length) in code points, from 0, of
     every text whose role is `learn`: the loss mask. Null roles and texts are empty. A node that is
-    given twice counts once (one of its rows). A tree is one output row, so its texts meet in one row;
+    given twice counts once: its least row by parent (null first), score, role and text. A tree is one output row, so its texts meet in one row;
     nothing else of a tree is gathered.
     """
     chosen = best_paths(nodes, tree, node, parent, score, per_tree)
-    said = nodes.select(F.col(tree).alias("t2"), F.col(node).alias("n2"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    said = said.where("n2 is not null").dropDuplicates(["t2", "n2"])
+    said = nodes.select(F.col(tree).alias("t2"), F.col(node).alias("n2"), F.col(parent).alias("p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    said = said.where("n2 is not null").groupBy("t2", "n2").agg(F.min(F.struct("p", "s", "role", "text")).alias("one")).select("t2", "n2", "one.role", "one.text")
     turns = chosen.join(said, same(chosen[tree], said.t2) & (chosen[node] == said.n2))
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SAYS))
     turns = turns.select(F.col(tree), "leaf", F.struct("place", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == learn).alias("learn")).alias("turn"))
