@@ -34,6 +34,18 @@ def test_headings(spark):
     assert chunks(spark, "") == [] and chunks(spark, "\n \n") == []
 
 
+def test_many_headings(spark):
+    """20,000 headings, as many sections: their names and texts, and short ones that join what follows."""
+    words = " ".join(["word"] * 16)
+    text = "\n".join(f"# H{i}\n{words} {i}" if i % 4 else f"# S{i}\nshort" for i in range(20_000))
+    docs = spark.createDataFrame([("d", text), ("e", "no heading"), ("f", "# only")], "document_id string, content string")
+    got = {(r.document_id, r.section_no): (r.section, r.text) for r in corpus.sections(docs).collect()}
+    assert got["e", 0] == ("General", "no heading") and got["f", 0] == ("only", "# only")
+    mine = [got["d", i] for i in range(len(got) - 2)]
+    assert len(mine) == 15_000 and "\n".join(t for _, t in mine) == text
+    assert mine[0] == ("H1", f"# S0\nshort\n# H1\n{words} 1") and mine[-1][0] == "H19999"
+
+
 def test_clean(spark):
     got = spark.createDataFrame([("  Hello World  \n\n \t This is a test. \n",)], "t string").select(corpus.clean_text(F.col("t"))).first()[0]
     assert got == "Hello World\nThis is a test."

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,20 +79,28 @@ def sections(documents: DataFrame, doc: str = "document_id", content: str = "con
     one = blocks.groupBy(doc, "block").agg(
         F.first("mark", ignorenulls=True).alias("mark"), F.sum("words").alias("words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x.line), "\n").alias("text")
     )
-    # a document's blocks between marks are few: they are folded into sections in one row
-    whole = one.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("block", "mark", "words", "text"))).alias("blocks"))
-    kind = "struct<section:string,words:bigint,text:string>"
-    none = F.expr(f"cast(null as {kind})")
-
-    def step(acc: Column, b: Column) -> Column:
-        open_, full = acc.open, (acc.open.words > most_carried) & b.mark.isNotNull()
-        name = F.coalesce(b.mark, open_.section, F.lit("General"))
-        fresh = F.struct(name.alias("section"), b.words.alias("words"), b.text.alias("text"))
-        joined = F.struct(name.alias("section"), (open_.words + b.words).alias("words"), F.concat(open_.text, F.lit("\n"), b.text).alias("text"))
-        return F.struct(F.when(open_.isNull() | full, fresh).otherwise(joined).alias("open"), F.when(full, F.array_append(acc.done, open_)).otherwise(acc.done).alias("done"))
-
-    end = F.aggregate("blocks", F.struct(none.alias("open"), F.expr(f"cast(array() as array<{kind}>)").alias("done")), step, lambda a: F.array_append(a.done, a.open))
-    return whole.select(doc, F.posexplode(end).alias("section_no", "s")).where("s is not null").select(doc, "section_no", "s.section", "s.text")
+    one = scratch.written(one, "blocks")
+    narrow = one.select(doc, "block", F.col("mark").isNotNull().alias("marked"), "words").repartition(doc).sortWithinPartitions(doc, "block")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The section of each block, from the words since the last section began: numbers only, in one pass."""
+        of, section, gathered = None, 0, 0
+        for batch in batches:
+            out = []
+            for d, marked, words in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                if d != of:
+                    of, section, gathered = d, 0, 0
+                elif marked and gathered > most_carried:
+                    section, gathered = section + 1, 0
+                gathered += words or 0
+                out.append(section)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], [doc, "block", "section_no"])
+
+    places = narrow.mapInArrow(numbered, f"`{doc}` {one.schema[doc].dataType.simpleString()}, block long, section_no int")
+    parts = one.join(places, [doc, "block"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x.text), "\n")
+    last = F.max(F.when(F.col("mark").isNotNull(), F.struct("block", "mark"))).getField("mark")
+    return parts.groupBy(doc, "section_no").agg(F.coalesce(last, F.lit("General")).alias("section"), text.alias("text"))
 
 
 def chunk_documents(documents: DataFrame, max_words: int = 400, overlap: int = 50) -> DataFrame:

@@ -17,6 +17,7 @@ from tidewatch.functions.json_maps import first_present, first_text, inner, json
 from tidewatch.functions.text import once, stripped
 from tidewatch.functions.times import found
 from tidewatch.schema import EVENT
+from tidewatch.sources import scratch
 
 # Sshd messages in the order in which they are tried: event type, pattern, groups of method, user, ip, port.
 SSH_MESSAGES = (
@@ -224,14 +225,25 @@ def normalize(df: DataFrame, kind: str, **options) -> DataFrame:
     return NORMALIZERS[log_type(kind)](df, **options)
 
 
+_NO_KIND = "-"
+
+
 def normalize_mixed(df: DataFrame, type_col: str = "log_type", **options) -> DataFrame:
     """Rows of several kinds, told apart by a column. Rows of a null or unknown kind come back as
-    `unknown_log_type`, not parsed; each kind reads the input, so a large one should be stored by kind."""
+    `unknown_log_type`, not parsed. A batch is read once: it is written by kind into the shared folder, and each
+    kind reads its own part; of a stream each kind takes its rows."""
     asked = F.lower(stripped(F.col(type_col)))
-    known = sorted({x for kind, names in ALIASES.items() for x in (*names, kind)})
-    rest = df.where(~F.coalesce(asked.isin(*known), F.lit(False)))
+    kind = F.lit(_NO_KIND)
+    for name, names in ALIASES.items():
+        kind = F.when(asked.isin(*names, name), name).otherwise(kind)
+    df = df.withColumn("_kind", F.coalesce(kind, F.lit(_NO_KIND)))
+    if not df.isStreaming:
+        path = scratch.new_path(df.sparkSession, "by-kind")
+        df.write.partitionBy("_kind").parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
+    of = lambda name: df.where(F.col("_kind") == name).drop("_kind")
     none = F.lit(None)
-    out = _finish(rest, none.cast("timestamp"), options.get("fallback_ts"), none, none, F.lit("unknown_log_type"), none, F.lit(False))
-    for kind, names in ALIASES.items():
-        out = out.unionByName(NORMALIZERS[kind](df.where(asked.isin(*names, kind)), **options))
+    out = _finish(of(_NO_KIND), none.cast("timestamp"), options.get("fallback_ts"), none, none, F.lit("unknown_log_type"), none, F.lit(False))
+    for name in ALIASES:
+        out = out.unionByName(NORMALIZERS[name](of(name), **options))
     return out
