@@ -10,6 +10,8 @@ from tidewatch.llm import bpe, line_dedup, mixing, quality_classifier, simhash_d
 from tidewatch.llm.queries import CODE_VOCABULARY, PATTERN, table
 from tidewatch.sources.scratch import new_path
 
+#: Share of a document's characters that has to be left by line dedup.
+REMNANT = 0.1
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -20,9 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their repeated lines; one that had lines and lost them all goes."""
+    """Documents less their repeated lines. One that lost lines and keeps no word, or under REMNANT of its characters
+    (n_chars; null: not known, so not asked), goes: what is left of a near copy are the few lines that were changed most."""
     got = line_dedup.dedup_lines(docs.select(*COLUMNS))
-    left = got.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    enough = F.coalesce(F.length("text") >= REMNANT * F.col("n_chars"), F.lit(True))
+    left = got.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]") & enough)
     return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
