@@ -272,7 +272,7 @@ def test_manifest_equals_trees_by_hand(spark):
     check_manifest(spark, rows)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 27, 28, 243, 244])
+@pytest.mark.parametrize("n", [1, 4, 27, 244])
 def test_manifest_of_every_shape(spark, n):
     check_manifest(spark, [(i * 7, f"t\n{i}", "en", "s", i) for i in range(n)])
 
