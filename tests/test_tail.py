@@ -98,9 +98,8 @@ def test_parts_give_each_line_once(spark, tmp_path):
         got = [x for r in tail.ranges({}, tail.state_of(path), part) for x in tail.lines_of(store, r)]
         assert [x.decode() for _, x in got] == lines
         assert all(data[at : at + len(x)] == x and (at == 0 or data[at - 1] == 10) for at, x in got)
-    for part in (64, 1 << 20):
-        got = tail.tail_lines(spark, path, stream=False, part=part)
-        assert [r.raw for r in got.orderBy("line_no").collect()] == lines
+    got = tail.tail_lines(spark, path, stream=False, part=1 << 12)
+    assert [r.raw for r in got.orderBy("line_no").collect()] == lines
     assert tail.tail_lines(spark, path, stream=False, part=1000).rdd.getNumPartitions() > 20
 
 
