@@ -153,3 +153,14 @@ def test_users_from_merged_sketches(spark):
     assert got["a"][0] == 5 and abs(got["a"][1] - 20_000) < 1000 and got["b"] == (3, 3)
     one = facts.ip_users(sketches.where("day = '2026-01-01'")).collect()
     assert [(r.ip, r.n_users) for r in one] == [("b", 1)]
+
+
+def test_users_of_days_are_exact(spark):
+    """However many they are: sketches are not from some hundred users on."""
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators import facts
+
+    e = spark.range(30_000).select(F.lit("s").alias("source_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 5 * 86_400).alias("ts"), F.concat(F.lit("a"), (F.col("id") % 3).cast("string")).alias("source_ip"), F.concat(F.lit("u"), (F.col("id") % 9_999).cast("string")).alias("user"), F.lit(True).alias("is_parsed"))
+    got = facts.exact_ip_users(facts.day_users(e)).collect()
+    assert sorted((r.ip, r.n_days, r.n_users) for r in got) == [(f"a{i}", 5, 3333) for i in range(3)]

@@ -54,16 +54,31 @@ def ip_facts(events: DataFrame, most_users: int | None = None) -> DataFrame:
 HLL_BITS = 12
 
 
+def _of_users(events: DataFrame) -> DataFrame:
+    e = events.where(F.col("is_parsed") & (F.coalesce("source_ip", F.lit("")) != "") & (F.coalesce("user", F.lit("")) != ""))
+    return e.select("source_id", F.col("source_ip").alias("ip"), F.to_date("ts").alias("day"), "user")
+
+
 def user_sketches(events: DataFrame) -> DataFrame:
     """(source_id, ip, day, users): for each address and day a sketch of its users, at most 4 KB however many they
     are. The rows of a day are stored once; ip_users() merges any of them."""
-    e = events.where(F.col("is_parsed") & (F.coalesce("source_ip", F.lit("")) != "") & (F.coalesce("user", F.lit("")) != ""))
-    return e.groupBy("source_id", F.col("source_ip").alias("ip"), F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user", HLL_BITS).alias("users"))
+    return _of_users(events).groupBy("source_id", "ip", "day").agg(F.hll_sketch_agg("user", HLL_BITS).alias("users"))
+
+
+def day_users(events: DataFrame) -> DataFrame:
+    """(source_id, ip, day, user): the users of each address and day, each once. The exact counterpart of
+    user_sketches(), a row for each user instead of 4 KB; merged by exact_ip_users()."""
+    return _of_users(events).distinct()
+
+
+def exact_ip_users(users: DataFrame) -> DataFrame:
+    """(source_id, ip, n_days, n_users) of the days of day_users() that are given, exact however many they are."""
+    return users.groupBy("source_id", "ip").agg(F.count_distinct("day").alias("n_days"), F.count_distinct("user").alias("n_users"))
 
 
 def ip_users(sketches: DataFrame) -> DataFrame:
     """(source_id, ip, n_days, n_users) of the days that are given: the distinct users over all of them, within a few
-    per cent, exact while they are few. ip_facts() has the exact list."""
+    per cent. exact_ip_users() has the exact number, ip_facts() the list."""
     got = sketches.groupBy("source_id", "ip").agg(F.count_distinct("day").alias("n_days"), F.hll_union_agg("users").alias("users"))
     return got.select("source_id", "ip", "n_days", F.hll_sketch_estimate("users").alias("n_users"))
 
