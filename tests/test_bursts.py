@@ -244,6 +244,24 @@ def test_arrival_clock_and_evidence(spark, tmp_path):
     assert sum('"root"' in r.evidence for r in got) == 1 and all('"total_lines": 2' in r.evidence for r in got)
 
 
+def test_breaches_of_one_second_keep_their_evidence_apart(spark, tmp_path):
+    """Lines of one file block have one number, so time and first line don't tell two breaches of a second apart."""
+    line = "Aug 10 14:12:01 server sshd[1]: Failed password for root from 10.0.0.1 port 22 ssh2\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text(line * 7)
+    chunks = spark.createDataFrame([("g", "d", "Guide", "S", "evidence log preservation", 3)], "chunk_id string, document_id string, source_title string, section_or_page string, content string, word_count int")
+    watched(spark, tmp_path, stream.evidence_to(str(tmp_path / "out"), chunks, "2026-01-02 03:04:05"), "c")
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len({r.incident_id for r in got}) == len(got) == 3 and all('"failed_attempts": 2' in r.evidence for r in got)
+
+
+def test_names_of_many_incidents_differ(spark):
+    """Of 32 bits, two of 200,000 breaches would share a name nearly surely; nor do keys run into each other."""
+    rows = spark.range(200_000).select(F.col("id").cast("string").alias("k"), F.lit(None).cast("string").alias("m"), F.timestamp_seconds("id").alias("ts"), "id")
+    rows = rows.unionByName(rows.limit(1).select(F.lit(None).cast("string").alias("k"), F.lit("0").alias("m"), "ts", "id"))
+    assert rows.select(bursts.incident_id(("k", "m"), F.col("ts"), F.col("id")).alias("i")).distinct().count() == 200_001
+
+
 def test_files_that_were_there_before(spark, tmp_path):
     import os
     import time

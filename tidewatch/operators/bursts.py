@@ -21,9 +21,12 @@ def check_window(threshold: int, window_seconds: int) -> None:
         raise ValueError("window_seconds must be over 0")
 
 
-def incident_id(source: Column, ts: Column, first: Column) -> Column:
-    """A name that a rerun gives again."""
-    return F.concat(F.lit("inc_"), F.substring(F.sha2(F.concat_ws("|", source, ts.cast("string"), first.cast("string")), 256), 1, 8))
+def incident_id(keys: tuple[str, ...], ts: Column, first: Column, again: Column | None = None) -> Column:
+    """A name that a rerun gives again: 128 bits, so that no two breaches of a large table share one. `again` counts the
+    breaches before it with the same keys, time and first line, where lines have no numbers of their own."""
+    of = F.to_json(F.struct(F.struct(*keys).alias("of"), F.unix_micros(ts).alias("us"), first.alias("line")), {"ignoreNullFields": "false"})
+    of = of if again is None else F.concat(of, F.when(again > 0, again.cast("string")).otherwise(""))
+    return F.concat(F.lit("inc_"), F.substring(F.sha2(of, 256), 1, 32))
 
 
 #: Failures of a key that one task reads; a key with more is cut into parts.
@@ -53,7 +56,7 @@ def burst_incidents(events: DataFrame, keys: tuple[str, ...] = ("source_id",), t
         parts = _in_parts(rows.join(named, met).select("_key", "_us", "_line"), threshold, window, part)
         found = cold.unionByName(parts.join(hot, "_key").drop("_key"))
     got = found.select(*keys, F.timestamp_micros("_us").alias("breach_ts"), F.size("lines").cast("long").alias("n_events"), F.col("lines")[0].alias("first_line"), "lines")
-    return got.withColumn("incident_id", incident_id(F.concat_ws("|", *keys), F.col("breach_ts"), F.col("first_line")))
+    return got.withColumn("incident_id", incident_id(keys, F.col("breach_ts"), F.col("first_line")))
 
 
 def _in_order(rows: DataFrame, keys: tuple[str, ...], threshold: int, window: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from heapq import merge
 from itertools import groupby
@@ -22,7 +23,7 @@ from tidewatch.plans import incidents
 _EVENT = ("us", "line_no", "source_ip", "user", "event_type", "auth_method")
 _KINDS = "us long, line_no long, source_ip string, user string, event_type string, auth_method string"
 _FIELDS = ", ".join(f.replace(" ", ":") for f in _KINDS.split(", "))
-_OUT = f"breach_us long, n_events long, first_line long, lines array<long>, events array<struct<{_FIELDS}>>"
+_OUT = f"breach_us long, n_events long, first_line long, again long, lines array<long>, events array<struct<{_FIELDS}>>"
 
 
 def _tuples(frame: pd.DataFrame) -> list[tuple]:
@@ -43,14 +44,16 @@ class _Windows(StatefulProcessor):
     def fold(self, key: Any, events: Iterable[tuple]) -> pd.DataFrame:
         """The breaches that events, in time order, give with those of the open window, which is stored."""
         live = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        out = []
+        out, told = [], Counter()
         for event in events:
             live = [x for x in live if x[0] >= event[0] - self.window_us] + [event]
             if len(live) >= self.threshold:
-                out.append((*key, event[0], len(live), live[0][1], [x[1] for x in live], [dict(zip(_EVENT, x, strict=True)) for x in live]))
+                same = event[0], live[0][1]  # lines of one block have one number
+                out.append((*key, event[0], len(live), live[0][1], told[same], [x[1] for x in live], [dict(zip(_EVENT, x, strict=True)) for x in live]))
+                told[same] += 1
                 live = []
         self.keep(live)
-        return pd.DataFrame(out, columns=[*self.keys, "breach_us", "n_events", "first_line", "lines", "events"])
+        return pd.DataFrame(out, columns=[*self.keys, "breach_us", "n_events", "first_line", "again", "lines", "events"])
 
     def keep(self, live: list[tuple]) -> None:
         if live:
@@ -163,7 +166,7 @@ def burst_stream(events: DataFrame, keys: tuple[str, ...] = ("source_id",), thre
         processor, mode = _Arriving(list(keys), threshold, window_us, clock == "arrival", timers), "ProcessingTime" if timers else "None"
     got = f.groupBy(*(f"_{k}" for k in keys)).transformWithStateInPandas(processor, f"{schema}, {_OUT}", "append", mode)
     got = got.withColumn("breach_ts", F.timestamp_micros("breach_us")).drop("breach_us")
-    return got.withColumn("incident_id", incident_id(F.concat_ws("|", *keys), F.col("breach_ts"), F.col("first_line")))
+    return got.withColumn("incident_id", incident_id(keys, F.col("breach_ts"), F.col("first_line"), F.col("again"))).drop("again")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
