@@ -91,3 +91,12 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
     got = records.split_record_files(spark, str(tmp_path / "big.json"), 1 << 20)
     rows = got.selectExpr("get_json_object(raw, '$.n') as n").distinct().count()
     assert rows == n == got.count()
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path):
+    """Tasks go by bytes: a task for each of many small ranges costs more than what it reads."""
+    for i in range(40):
+        (tmp_path / f"{i:02d}.json").write_text(json.dumps([{"n": i, "k": k} for k in range(60)]))
+    got = records.split_record_files(spark, str(tmp_path), 100)
+    assert got.count() == 2400 == got.distinct().count()
+    assert got.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism

@@ -118,17 +118,33 @@ def split_record_files(spark: SparkSession, path: str, part: int = PART) -> Data
     where record_files() takes its whole file for lines. `path` is a file, a folder with all folders in it, or a folder with a
     pattern, in a store that executors reach through pyarrow.
     """
-    store, _ = _store(path)
-    split, plain = [], []
-    for f in listed(path, True):  # the listing and the first bytes are read by the driver, as a file source does
-        with store.open_input_file(f.path) as opened:
-            head = opened.read(HEAD)
-        start = (array := _ARRAY.match(head)) or _WRAPPED.match(head)
-        (split if start else plain).append((f.path, start and start.end(), f.size, 1 if array else 2))
+    files = [(f.path, f.size) for f in listed(path, True)]  # by the driver, as a file source does
+    most = 8 * spark.sparkContext.defaultParallelism
+
+    def tasks(rows: int) -> int:
+        """As many as the bytes ask for: small files and ranges share tasks."""
+        return max(1, min(rows, most + sum(size for _, size in files) // PART))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where a file's list starts, and at which level its records are; null if it holds none."""
+        for batch in batches:
+            found = []
+            for p in batch.column("path").to_pylist():
+                with _store(p)[0].open_input_file(p) as opened:
+                    head = opened.read(HEAD)
+                start = (array := _ARRAY.match(head)) or _WRAPPED.match(head)
+                found.append((start.end(), 1 if array else 2) if start else (None, None))
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["path", "size", "begin", "level"])
+
+    known = spark.createDataFrame(files, "path string, size long").repartition(tasks(len(files))).mapInArrow(heads, "path string, size long, begin long, level long")
+    known = sorted(map(tuple, known.collect()))  # a row for each file
+    split = [(p, begin, size, level) for p, size, begin, level in known if begin is not None]
+    plain = [(p,) for p, _, begin, _ in known if begin is None]
     cuts = [(i, p, a, min(a + part, size), level) for i, (p, begin, size, level) in enumerate(split) for a in range(begin, size, part)]
     kinds = "file int, path string, start long, stop long, level int"
     names = ["file", "path", "start", "stop", "level", "state", "depth", "until", "over"]
-    ranges = spark.createDataFrame(cuts, kinds).repartition(max(1, len(cuts)), "file", "start")
+    ranges = spark.createDataFrame(cuts, kinds).repartition(tasks(len(cuts)), "file", "start")
 
     def reader(p: str):
         opened = _store(path)[0].open_input_file(p)
@@ -180,10 +196,10 @@ def split_record_files(spark: SparkSession, path: str, part: int = PART) -> Data
     sums = ranges.mapInArrow(summed, f"{kinds}, ends array<long>, deeper array<long>, higher array<array<long>>")
     sums = scratch.written(sums, "ranges").repartition("file").sortWithinPartitions("file", "start")
     states = scratch.written(sums.mapInArrow(entered, f"{kinds}, state long, depth long, until long, over boolean"), "states")
-    whole = states.groupBy("file").agg(F.max_by("over", "start").alias("good"), F.max("path").alias("p")).collect()  # a row for each file
-    bad = [r.p for r in whole if not r.good]
+    whole = states.groupBy("file").agg(F.max_by("over", "start").alias("good"), F.max("path").alias("p"))
+    bad = [r.p for r in whole.where("not good").collect()]
     good = states.where(~F.col("path").isin(bad)) if bad else states
-    out = good.repartition(max(1, len(cuts)), "file", "start").mapInArrow(found, "source_id string, line_no long, raw string")
+    out = good.repartition(tasks(len(cuts)), "file", "start").mapInArrow(found, "source_id string, line_no long, raw string")
     rest = [p for p, *_ in plain] + bad
     out = out.select("source_id", "line_no", stripped(F.col("raw")).alias("raw"))
     return out.unionByName(record_files(spark, rest)) if rest else out
