@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import facts, reports, retrieval
+from tidewatch.sources import scratch
 
 
 def incident_events(incidents: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("source_id",)) -> DataFrame:
@@ -27,8 +28,10 @@ def evidence_of(e: DataFrame, chunks: DataFrame, k: int = 5, max_words: int = 15
     queries = facts.retrieval_query(logs, facts.concept_flags(ips)).select(F.col("source_id").alias("query_id"), "query")
     # incidents of a kind ask the same: each distinct text is searched for once
     asked = queries.select("query").distinct().select(F.sha2("query", 256).alias("query_id"), "query")
-    found = retrieval.semantic_search(chunks, asked, k, digits=digits)
-    packed = retrieval.pack_context(found, max_words, per_document).join(chunks.select("chunk_id", "source_title", "section_or_page", "content"), "chunk_id")
+    # k rows for each text: written, they are what the packed ones are joined to, and all chunks are read once
+    found = scratch.written(retrieval.semantic_search(chunks, asked, k, digits=digits), "asked")
+    packed = retrieval.pack_context(found, max_words, per_document)
+    packed = packed.join(found.select("query_id", "chunk_id", "source_title", "section_or_page", "content"), ["query_id", "chunk_id"])
     block = F.struct("rank", "chunk_id", "source_title", "section_or_page", "content")
     context = packed.groupBy(F.col("query_id").alias("_q")).agg(F.array_sort(F.collect_list(block)).alias("_chunks"))
     whole = facts.nested_analysis(logs, ips).join(queries.withColumnRenamed("query_id", "source_id"), "source_id")

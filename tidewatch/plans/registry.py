@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import bursts, corpus, facts, normalize, privacy, reports, retrieval, scoring
 from tidewatch.plans import incidents, render
+from tidewatch.sources import scratch
 
 YEAR = 2024
 DAY = 86400
@@ -513,5 +514,6 @@ def incident_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = render.failures(spark, sf_dir).withColumn("ts_assumed", F.lit(False))
     found = bursts.burst_incidents(e, ("source_id", "user"), 3, 2 * DAY)
     d = render.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.col("source").alias("source_title"), F.col("text").alias("content"))
-    got = incidents.incident_evidence(found, e, corpus.chunk_documents(d), ("source_id", "user"))
+    chunks = scratch.written(corpus.chunk_documents(d), "chunks")
+    got = incidents.incident_evidence(found, e, chunks, ("source_id", "user"))
     return got.select("incident_id", "query", F.array_join("packed_ids", ",").alias("packed_ids"), F.length("evidence").alias("evidence_chars"))
