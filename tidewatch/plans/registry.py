@@ -322,7 +322,7 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results of the TF-IDF search against the documents that hold the benchmark's passage."""
     docs, asked = _search_docs(spark, sf_dir), _search_queries(spark, sf_dir)
     ranked = retrieval.tfidf_search(docs, asked, digits=6).withColumn("document_id", F.col("chunk_id") % 3)
-    relevant = docs.join(F.broadcast(asked), F.contains("content", "query")).select("query_id", "chunk_id")
+    relevant = scratch.written(docs.join(F.broadcast(asked), F.contains("content", "query")).select("query_id", "chunk_id"), "relevant")
     q = retrieval.retrieval_quality(ranked, relevant)
     return q.select("query_id", "n_sources", *(F.round(c, 6).alias(c) for c in ("recall_at_k", "precision_at_k", "reciprocal_rank")))
 
