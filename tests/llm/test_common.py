@@ -47,6 +47,28 @@ def test_contraction(monkeypatch):
     assert components(100, got) == components(100, links) and all(y < x for x, y in got)
 
 
+def test_finished_stars_are_set_aside(spark, monkeypatch):
+    """Without contraction in tasks: of many stars and a long path, rounds after the first have the path alone."""
+    from tidewatch.llm import common
+
+    left = []
+
+    def counted(df, **metrics):
+        table, got = measured(df, **metrics)
+        left.append(got["rows"])
+        return table, got
+
+    monkeypatch.setattr(common, "_contracted", lambda batches: batches)
+    monkeypatch.setattr(common, "measured", counted)
+    path = list(range(1000, 1060))
+    random.Random(6).shuffle(path)
+    links = [(10 * i, 10 * i + j) for i in range(90) for j in (3, 7, 5)] + list(zip(path, path[1:], strict=False))
+    want = components(1060, links)
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: want[x] for link in links for x in link}
+    assert len(left) > 2 and max(left) < 2 * len(path)
+
+
 def test_no_edges(spark):
     empty = spark.createDataFrame([], "a long, b long")
     assert connected_components(empty).collect() == []

@@ -244,6 +244,55 @@ def test_lines_against_edit_similarity(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_edits_are_counted_last(monkeypatch):
+    """Lines that differ in places, and lines with too few units in common, are told by bounds; the rest by edits."""
+    counted, count = [], line_dedup.edit_similarity
+    monkeypatch.setattr(line_dedup, "edit_similarity", lambda a, b: counted.append(1) or count(a, b))
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    base = [rng.choice(words) for _ in range(40)]
+
+    def changed(n):
+        return " ".join(rng.choice(words) if i in places else w for places in [set(rng.sample(range(40), n))] for i, w in enumerate(base))
+
+    assert line_dedup._cell_links([changed(4), changed(4)], 0.8, 5) == [(0, 1)]
+    assert line_dedup._cell_links([" ".join(base), changed(30)], 0.8, 5) == []
+    assert line_dedup._cell_links([" ".join(["a"] * 30 + ["b"] * 10), " ".join(["a"] * 10 + ["b"] * 30)], 0.8, 5) == []
+    assert len(line_dedup._cell_links([changed(2) for _ in range(50)], 0.8, 5)) == 49
+    assert not counted
+    for _ in range(2000):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(5, 15))] for _ in range(2))
+        b = rng.choice([b, edited(rng, a, 0.2, "abcd"), a[1:] + ["x"]])
+        for least in (0.5, 0.8, 1.0):
+            assert line_dedup._cell_links([" ".join(a), " ".join(b)], least, 1) == [(0, 1)] * (plain_edit(a, b) >= least)
+    assert counted
+
+
+def test_larger_cells(monkeypatch):
+    """Groups in a cell, some more than are kept at hand, are those of all pairs."""
+    rng = random.Random(22)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    base = [[rng.choice(words) for _ in range(12)] for _ in range(9)] + [["many"] * 12]
+    lines = [edited(rng, rng.choice(base), rng.choice([0, 0.1, 0.2, 0.3]), words) for _ in range(120)]
+    want = components(120, [(i, j) for i in range(120) for j in range(i) if plain_edit(lines[i], lines[j]) >= 0.8])
+    links = line_dedup._cell_links([" ".join(x) for x in lines], 0.8, 5)
+    assert components(120, links) == want and 9 < len(set(want)) < 110 and len(links) == 120 - len(set(want))
+
+
+def test_plain_lines():
+    """Keys are those of lines with single spaces, however the words stand."""
+    import pyarrow as pa
+
+    rng = random.Random(23)
+    gap = lambda: rng.choice([" ", " ", " ", "  ", "\t", " \r", "\x0b", "\n", "\n\n"])
+    texts = ["", " ", "\n", "one", " one", "one ", *("".join(rng.choice(["É", "ab", "c", ""]) + gap() for _ in range(rng.randint(1, 30))) for _ in range(200))]
+    ids = pa.array(range(len(texts)), pa.int64())
+    got = line_dedup._LineTable(0.8, 5, 1e-3).rows(ids, ids, texts)
+    rows = list(zip(*(got.column(c).to_pylist() for c in ("doc", "line_no", "key")), strict=True))
+    lines = [(d, i, b" ".join(x.lower().encode().split())) for d, t in enumerate(texts) for i, x in enumerate(t.split("\n"))]
+    assert [(d, i, k % (1 << 64)) for d, i, k in rows] == [(d, i, xxhash.xxh64_intdigest(x)) for d, i, x in lines if x]
+
+
 def test_short_and_unspaced_lines(spark):
     """Exact repeats of any length go, empty lines stay; lines of few words are compared by characters."""
     rng = random.Random(9)
